@@ -35,38 +35,42 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    Higher-order functions are interpreted, where common sub-expressions are not
+    shared; a lambda variable is.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def located_matches(text: Column, pattern: str) -> Column:
     """Array of ``struct(raw, pos)``; ``pos`` is the 0-based code point offset.
 
     Text between matches comes from ``split`` with the same pattern, so match i
-    starts after gaps 0..i and matches 0..i-1. Running sums are kept in a fold,
-    which makes the scan linear in the number of matches.
+    starts after gaps 0..i and matches 0..i-1; a fold carries the running sum.
     """
-    hits = all_matches(text, pattern)
-    gaps = F.split(text, java_pattern(pattern), -1)
     start = F.struct(
-        F.lit(0).alias("at"),
-        F.filter(
-            F.array(F.struct(F.lit("").alias("raw"), F.lit(0).alias("pos"))), lambda _: F.lit(False)
-        ).alias("out"),
+        F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,pos:int>>").alias("out")
     )
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["gap"])
         return F.struct(
             (at + F.length(pair["raw"])).alias("at"),
-            F.array_append(
-                acc["out"], F.struct(pair["raw"].alias("raw"), at.alias("pos"))
-            ).alias("out"),
+            F.array_append(acc["out"], F.struct(pair["raw"].alias("raw"), at.alias("pos"))).alias("out"),
         )
 
-    pairs = F.zip_with(
-        hits,
-        F.slice(gaps, 1, F.size(hits)),
-        lambda h, g: F.struct(h.alias("raw"), g.alias("gap")),
-    )
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, found)
+    def positions(hits: Column) -> Column:
+        gaps = F.split(text, java_pattern(pattern), -1)
+        pairs = F.zip_with(
+            hits,
+            F.slice(gaps, 1, F.size(hits)),
+            lambda h, g: F.struct(h.alias("raw"), g.alias("gap")),
+        )
+        return F.when(F.size(hits) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"]))
+
+    return let(all_matches(text, pattern), positions)
 
 
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
@@ -126,7 +130,6 @@ def normalise_origin(value: Column) -> Column:
     port_text = F.regexp_extract(
         authority, r"^(\[[0-9A-Fa-f:.]+\]|[^:\s<>^|%\[\]]+)(?::([0-9]*))?$", 2
     )
-    port = F.expr("try_cast(NULL as int)")
     port = port_text.try_cast("int")
     default_port = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
     bad_port = (port_text != "") & (port.isNull() | (port > 65535))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_own_dirs: dict[str, str] = {}
+
 
 def build_session(app: str = "veilgrain", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew handling on and UTC time."""
@@ -34,10 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="veilgrain-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_dirs.setdefault("path", tempfile.mkdtemp(prefix="veilgrain-"))
     return named.rstrip("/")
 
 
