@@ -183,6 +183,11 @@ def base64_text(value: Column, min_len: int = 4, max_len: int = 8192) -> Column:
     return F.when(plain.rlike(r"[\x20-\x7E]{3,}"), plain)
 
 
+def base64_of(data: Column) -> Column:
+    """Base64 on one line, whatever the session says about chunking."""
+    return F.regexp_replace(F.base64(data), r"[\r\n]", "")
+
+
 def uri_component(value: Column) -> Column:
     """Percent-encode as for a URI component (space as %20, marks kept)."""
     out = F.url_encode(value)

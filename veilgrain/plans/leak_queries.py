@@ -1,2 +1,233 @@
+"""Leak audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veilgrain import constants as K
+from veilgrain.functions import text as X
+from veilgrain.operators import detect, leaks, policy
+from veilgrain.plans import policy_queries as P
+from veilgrain.plans import views as V
+from veilgrain.plans.entity_sql import entities_sql, region_sql
+
 Q = {}
 SQL = {}
+
+# Encodings of one address appended to conversation turns by (conv_id + turn) % 6.
+ENCODED = (
+    "ann.lee@site.example",
+    "ann.lee%40site.example",
+    "\\u0061nn.lee@site.example",
+    "YW5uLmxlZUBzaXRlLmV4YW1wbGU=",
+    "%59W5uLmxlZUBzaXRlLmV4YW1wbGU%3D",
+    "nothing here.",
+)
+
+
+def _payloads(spark, d):
+    """Turns: the text itself in one string, an encoded value alone in another."""
+    conv = V.table(spark, d, "conversations")
+    code = V._pick(ENCODED, (F.col("conv_id") + F.col("turn")) % 6)
+    both = F.array(F.concat(F.col("text"), F.lit(" mail "), code), code)
+    return conv.select(F.col("conv_id").alias("task_id"), "turn", F.posexplode(both).alias("part", "text"))
+
+
+_CODE = V._case(ENCODED, "(conv_id + turn) % 6")
+# Fixed readings of the fixed encodings, spelled out for the check.
+_PAYLOADS = f"""SELECT conv_id AS task_id, turn, CAST(part AS INTEGER) AS part, code,
+    CASE part WHEN 0 THEN text || ' mail ' || code ELSE code END AS text, text AS body
+  FROM (SELECT *, {_CODE} AS code FROM conversations), (SELECT unnest([0, 1]) AS part)"""
+_VARIANTS = """SELECT task_id, turn, part, CAST(variant_ord - 1 AS INTEGER) AS variant_ord, vs[variant_ord] AS variant FROM (
+    SELECT *, unnest(range(1, len(vs) + 1)) AS variant_ord FROM (SELECT task_id, turn, part, CASE
+      WHEN part = 0 AND code = 'ann.lee%40site.example' THEN [text, body || ' mail ann.lee@site.example']
+      WHEN part = 0 AND code LIKE '_u0061%' THEN [text, body || ' mail ann.lee@site.example']
+      WHEN part = 0 AND code LIKE '|%59%' ESCAPE '|' THEN [text, body || ' mail YW5uLmxlZUBzaXRlLmV4YW1wbGU=']
+      WHEN part = 1 AND code = 'ann.lee%40site.example' THEN [text, 'ann.lee@site.example']
+      WHEN part = 1 AND code LIKE '_u0061%' THEN [text, 'ann.lee@site.example']
+      WHEN part = 1 AND code LIKE 'YW5u%' THEN [text, 'ann.lee@site.example']
+      WHEN part = 1 AND code LIKE '|%59%' ESCAPE '|' THEN [text, 'YW5uLmxlZUBzaXRlLmV4YW1wbGU=', 'ann.lee@site.example']
+      ELSE [text] END AS vs FROM payloads))"""
+VARIANTS = {"payloads": _PAYLOADS, "variants": _VARIANTS}
+
+Q["string_variants"] = lambda spark, d: leaks.string_variants(_payloads(spark, d))
+SQL["string_variants"] = V.with_views([], "SELECT * FROM variants", VARIANTS)
+
+
+def _targets_sql(source: str) -> str:
+    value = "trim(raw_value)"
+    url = f"replace(replace(replace(replace(replace(url_encode({value}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
+    return f"""SELECT DISTINCT task_id, lower(unnest([{value}, to_base64(encode({value})), {url}])) AS target FROM {source}
+      WHERE treatment <> 'KEEP' AND length({value}) >= 3"""
+
+
+Q["sensitive_targets"] = lambda spark, d: leaks.sensitive_targets(P.decided(spark, d))
+SQL["sensitive_targets"] = V.with_views(P.BASE, _targets_sql("decided"), P.DECIDED)
+
+
+def _conversation_entities(spark, d):
+    """The encoded address belongs to every third conversation; its own finds to all."""
+    conv = V.regions(spark, d)
+    found = detect.scan_region_text(conv, ["conv_id", "turn"]).select(
+        F.col("conv_id").alias("task_id"), "kind", "raw_value", "treatment"
+    )
+    owned = V.table(spark, d, "conversations").filter("conv_id % 3 = 0 AND turn = 0").select(
+        F.col("conv_id").alias("task_id"),
+        F.lit("EMAIL").alias("kind"),
+        F.lit("Ann.Lee@site.example").alias("raw_value"),
+        F.lit("TOKENIZE").alias("treatment"),
+    )
+    return found.unionByName(owned)
+
+
+def find_leaks(spark, d):
+    payloads = _payloads(spark, d)
+    targets = leaks.sensitive_targets(_conversation_entities(spark, d))
+    hot = leaks.hot_tasks(payloads, targets, budget=200)
+    hits = leaks.find_leaks(leaks.string_variants(payloads), targets, hot=hot)
+    return hits.select("task_id", "turn", "part", "variant_ord", "target")
+
+
+Q["find_leaks"] = find_leaks
+CONV_ENTITIES = {
+    "found": region_sql("regions", "conv_id, turn"),
+    "conv_entities": """SELECT conv_id AS task_id, kind, raw_value, treatment FROM found UNION ALL
+      SELECT conv_id, 'EMAIL', 'Ann.Lee@site.example', 'TOKENIZE' FROM conversations WHERE conv_id % 3 = 0 AND turn = 0""",
+}
+SQL["find_leaks"] = V.with_views(
+    ["regions"],
+    "SELECT task_id, turn, part, variant_ord, target FROM variants JOIN targets USING (task_id) WHERE contains(lower(variant), target)",
+    {**VARIANTS, **CONV_ENTITIES, "targets": _targets_sql("conv_entities")},
+)
+
+
+def pattern_leaks(spark, d):
+    docs = V.texts_synth(spark, d)
+    known = _conversation_entities(spark, d).unionByName(
+        detect.scan_all(V.table(spark, d, "documents"), "doc_id").select("kind", "raw_value", "treatment"), allowMissingColumns=True
+    )
+    return leaks.pattern_leaks(docs, known, ["doc_id"])
+
+
+Q["pattern_leaks"] = pattern_leaks
+def _cand(kind, pattern, expr):
+    return f"SELECT doc_id, '{kind}' AS kind, {expr} AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM texts_synth)"
+
+
+_DIG = "regexp_replace({}, '[^0-9]', '', 'g')"
+SQL["pattern_leaks"] = V.with_views(
+    ["texts_synth", "regions"],
+    "SELECT DISTINCT doc_id, kind, value FROM cand WHERE (kind, value) IN (SELECT (kind, value) FROM known) AND NOT (kind = 'CREDIT_CARD' AND length(value) NOT BETWEEN 13 AND 19)",
+    {
+        **CONV_ENTITIES,
+        "docs_found": entities_sql("documents", "doc_id"),
+        "owned": "SELECT raw_value, treatment FROM conv_entities UNION ALL SELECT raw_value, treatment FROM docs_found",
+        "known": f"""SELECT 'EMAIL' AS kind, lower(raw_value) AS value FROM owned WHERE treatment <> 'KEEP'
+          UNION SELECT 'CREDIT_CARD', {_DIG.format('raw_value')} FROM owned UNION SELECT 'GOVT_ID', raw_value FROM owned
+          UNION SELECT 'PHONE', {_DIG.format('raw_value')} FROM owned""",
+        "cand": " UNION ALL ".join(
+            (
+                _cand("EMAIL", K.EMAIL_PATTERN, "lower(m)"),
+                _cand("CREDIT_CARD", K.CARD_PATTERN, _DIG.format("m")),
+                _cand("GOVT_ID", K.PASSPORT_PATTERN, "m"),
+                _cand("PHONE", K.PHONE_PATTERN, _DIG.format("m")),
+            )
+        ),
+    },
+)
+
+
+def embedded_blob_flag(spark, d):
+    tail = V._pick(("", '<img src="data:image/png;base64,AA">', " base64,QUJD", " base64,QUJD [REDACTED]"), F.col("page_id") % 4)
+    pages = V.table(spark, d, "pages").select("page_id", F.concat("html", tail).alias("text"))
+    return leaks.embedded_blob_flag(pages).select("page_id", "embedded_blob")
+
+
+Q["embedded_blob_flag"] = embedded_blob_flag
+SQL["embedded_blob_flag"] = """SELECT page_id, length(text) > 500 AND (contains(text, 'data:image/') OR (contains(text, 'base64,')
+    AND NOT contains(text, '[REDACTED]'))) AS embedded_blob FROM (SELECT page_id, html || CASE page_id % 4
+    WHEN 1 THEN '<img src="data:image/png;base64,AA">' WHEN 2 THEN ' base64,QUJD' WHEN 3 THEN ' base64,QUJD [REDACTED]' ELSE '' END AS text FROM pages)"""
+
+
+def check_attestations(spark, d):
+    ev = V.table(spark, d, "events")
+    e = F.col("event_id")
+    image = F.concat(F.lit("data:image/png;base64,"), e.cast("string"))
+    images = ev.select(
+        e.alias("image_key"),
+        F.col("user_id").alias("task_id"),
+        e.alias("capture_id"),
+        F.when(e % 7 == 0, F.lit(None).cast("string")).otherwise(image).alias("image"),
+        F.when(e % 5 == 0, "VISUAL_PRIVACY_UNVERIFIED").otherwise("VERIFIED_SAFE").alias("state"),
+    )
+    att = ev.filter(e % 11 != 0).select(
+        e.alias("image_key"),
+        F.when(e % 13 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("task_id"),
+        F.when(e % 17 == 0, e + 1).otherwise(e).alias("capture_id"),
+        F.when(e % 19 == 0, "UNVERIFIED").otherwise("SANITIZED").alias("status"),
+        F.sha2(F.when(e % 23 == 0, F.lit("x")).otherwise(image), 256).alias("digest"),
+    )
+    out = leaks.check_attestations(images, att, ["image_key"])
+    return out.select("capture_id", "verdict", F.col("image").isNotNull().alias("sent"))
+
+
+Q["check_attestations"] = check_attestations
+SQL["check_attestations"] = """SELECT event_id AS capture_id, verdict, verdict = 'OK' AS sent FROM (SELECT event_id,
+    CASE WHEN event_id % 7 = 0 THEN 'NO_IMAGE' WHEN event_id % 5 = 0 THEN 'STATE_UNVERIFIED'
+      WHEN event_id % 11 = 0 OR event_id % 19 = 0 THEN 'NOT_SANITIZED' WHEN event_id % 23 = 0 THEN 'DIGEST_MISMATCH'
+      WHEN event_id % 13 = 0 THEN 'WRONG_TASK' WHEN event_id % 17 = 0 THEN 'WRONG_CAPTURE' ELSE 'OK' END AS verdict FROM events)"""
+
+
+def _outgoing(spark, d):
+    """Redacted documents; every fifth is sent as it was, every seventh is sent encoded."""
+    docs = policy.redact_spans(P.decided_docs(spark, d))
+    text = (
+        F.when(F.col("doc_id") % 5 == 0, F.col("text"))
+        .when(F.col("doc_id") % 7 == 0, X.base64_of(F.encode("text", "UTF-8")))
+        .otherwise(F.col("redacted"))
+    )
+    return docs.select("task_id", text.alias("text"))
+
+
+def _report(spark, d):
+    ents = P.decided(spark, d)
+    payloads = _outgoing(spark, d)
+    targets = leaks.sensitive_targets(ents)
+    hits = leaks.find_leaks(leaks.string_variants(payloads), targets)
+    return payloads, leaks.boundary_report(policy.disclosure_counts(ents), payloads, hits, ents)
+
+
+Q["boundary_report"] = lambda spark, d: _report(spark, d)[1].drop("leaks")
+# A base64 payload longer than 8192 characters is not decoded, by definition.
+_REPORT = {
+    **P.REDACTED,
+    "outgoing": """SELECT doc_id AS task_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN to_base64(encode(text)) ELSE redacted END AS text,
+        CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN CASE WHEN length(to_base64(encode(text))) <= 8192 THEN text ELSE '' END ELSE redacted END AS plain
+      FROM texts_synth JOIN redacted USING (doc_id)""",
+    "report_targets": _targets_sql("decided"),
+    "bad": """SELECT DISTINCT task_id FROM outgoing JOIN report_targets USING (task_id) WHERE contains(lower(text), target)
+        OR contains(lower(plain), target) OR (contains(plain, '%40') AND contains(lower(replace(plain, '%40', '@')), target))""",
+    "report": """SELECT task_id, coalesce(detected, 0) AS detected, coalesce(transmitted, 0) AS transmitted, coalesce(tokenised, 0) AS tokenised,
+        coalesce(blocked, 0) AS blocked, coalesce(local_only, 0) AS local_only, coalesce(abstracted, 0) AS abstracted,
+        task_id NOT IN (SELECT task_id FROM bad) AS zero_raw_pii, CAST(octet_length(encode(text)) AS BIGINT) AS sanitised_bytes,
+        CAST(octet_length(encode(text)) + coalesce(raw_len, 0) AS BIGINT) AS raw_bytes
+      FROM outgoing LEFT JOIN (SELECT task_id, count(*) AS detected, count(*) FILTER (treatment = 'KEEP') AS transmitted,
+        count(*) FILTER (treatment = 'TOKENIZE') AS tokenised, count(*) FILTER (treatment IN ('REMOVE', 'MASK')) AS blocked,
+        count(*) FILTER (treatment = 'LOCAL_ONLY') AS local_only, count(*) FILTER (treatment = 'ABSTRACT') AS abstracted,
+        sum(length(raw_value)) AS raw_len FROM decided GROUP BY task_id) USING (task_id)""",
+}
+SQL["boundary_report"] = V.with_views(P.BASE, "SELECT * FROM report", _REPORT)
+
+
+def gate_payloads(spark, d):
+    payloads, reports = _report(spark, d)
+    sent, held = leaks.gate_payloads(payloads, reports)
+    return sent.select("task_id", F.lit("sent").alias("route")).unionByName(
+        held.select("task_id", F.lit("quarantine").alias("route"))
+    )
+
+
+Q["gate_payloads"] = gate_payloads
+SQL["gate_payloads"] = V.with_views(
+    P.BASE, "SELECT task_id, CASE WHEN zero_raw_pii THEN 'sent' ELSE 'quarantine' END AS route FROM report", _REPORT
+)
