@@ -107,6 +107,34 @@ INJECTION_TERMS = (
     "placeholder_injection", "capability_escalation", "top_frame_hijack", "silent_payment",
     "validator_spoof",
 )
+PROMPT_SCREEN_TERMS = (
+    "ignore previous", "system override", "transfer", "delete account", "exfiltrate",
+    "evil.com", "override targetgoal", "phishing", "reveal local token", "eval(",
+    "send raw passport", "malicious.xyz", "exfiltrate_data", "developer mode ai",
+    "hidden css", "image alt injection", "attacker@evil.org", "bypassing minimum disclosure",
+    "banking-phish", "stale node", "phishing alert", "dump token vault", "window.fetch",
+    "instruction override", "webhook.site", "delete local storage", "bypass action firewall",
+    "force network egress", "secret instruction in svg", "subtle prompt injection",
+    "badactor@attacker", "phish-bank.com", "sql injection", "action chaining exploit",
+    "task_override_999", "unauthorized-domain", "token_replay_attack", "reset security questions",
+    "cvv_harvesting", "document.write", "clickjacking_overlay", "placeholder_injection",
+    "policy_bypass", "capability_escalation", "vault_dict_leak", "top_frame_hijack",
+    "hidden_input_injection", "silent_payment_exploit", "visual_canvas_exfiltration",
+    "validator_spoof", "helper@service.com", "social engineering:", "chain_exfiltrate",
+    "target_swap", "visual_ocr_injection", "vault_export", "domain_wildcard", "data_purge",
+    "svg_xss", "canvas_exfiltration", "mde_matrix_override", "slot_payload", "card_chain",
+    "fake_modal", "css_content", "cross_tab_eavesdrop", "encoded_risk", "zero_opacity",
+    "hash_tampering", "worker_script", "subtle_email", "account_suspension",
+    "phish_chain", "offscreen_bounds", "ocr_token", "fail_closed_bypass",
+    "shell_capability", "clear_cookies", "mathml_xss", "sanitized_dom_exfiltrate",
+    "threshold_zero", "destination_script", "unauthorized_pay", "extension_update",
+    "attribute_title", "content_fetch", "subdomain_origin", "canvas_overlay",
+    "goal_unrestricted", "service_worker_injection", "name_alias", "passport_update",
+    "passport_post", "root_target", "visual_script", "password_remove",
+    "dataclass_wildcard", "revoke_permissions", "srcdoc_xss", "ledger_exfiltration",
+    "relocate", "export", "dump", "transmit", "mirror", "offload", "sync", "vault export",
+    "data:", "javascript:", "blob:", "file:", "base64",
+)
 GOAL_REASONING_TERMS = {
     "flight_booking": (
         "delete account", "transfer", "exfiltrate", "evil.com", "phishing", "token vault",
@@ -129,8 +157,8 @@ SYNONYM_CLUSTERS = {
     ),
     "exfiltrate": ("harvest", "leak", "extract", "steal", "send to remote", "webhook"),
 }
-# Clusters reached by the forbidden class they are meant for (used unless compat).
-CLUSTER_OF_CLASS = {"delete_account": "delete", "exfiltrate": "exfiltrate"}
+# Not a published value: clusters reached by the class they are meant for (unless compat).
+CLUSTERS_OF_CLASS = {"delete_account": ("delete",), "exfiltrate": ("exfiltrate", "transfer")}
 FORBIDDEN_SCHEMES = ("data:", "javascript:", "blob:", "file:")
 FORBIDDEN_NAV_MARKS = ("data:text/html", "base64")
 
