@@ -106,6 +106,12 @@ def forbidden_hit(reasoning: Column, value: Column, pairs, classes: Column | Non
     return chain
 
 
+def forbidden_any(reasoning: Column, value: Column, pairs) -> Column:
+    """Whether any forbidden class or synonym is referred to."""
+    terms = list(dict.fromkeys(t for _, t in pairs))
+    return X.contains_any(reasoning, terms) | X.contains_any(value, terms)
+
+
 def screen_forbidden_classes(
     actions: DataFrame, compat: bool = False, classes: str | None = None
 ) -> DataFrame:

@@ -230,7 +230,7 @@ def actions(spark: SparkSession, d: str) -> DataFrame:
     )
     own = F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string"), F.lit(".example.com"))
     target = (
-        F.when(eid % 5 < 3, own)
+        F.when(eid % 5 < 3, F.concat(F.lit("https://"), own, F.lit("/next")))
         .when(eid % 5 == 3, F.concat(F.lit("evil.com/"), eid.cast("string")))
         .otherwise(F.lit("data:text/html,x"))
     )
@@ -337,7 +337,7 @@ CTES: dict[str, str] = {
       FROM embeddings, (SELECT unnest(range(10)) AS i)""",
     "actions": f"""SELECT user_id AS task_id, event_id AS action_id, ts, action,
         CASE WHEN event_id % 19 = 0 THEN '' ELSE 'el_' || (event_id % 12) END AS node_id,
-        CASE action WHEN 'NAVIGATE' THEN CASE WHEN event_id % 5 < 3 THEN own WHEN event_id % 5 = 3 THEN 'evil.com/' || event_id
+        CASE action WHEN 'NAVIGATE' THEN CASE WHEN event_id % 5 < 3 THEN 'https://' || own || '/next' WHEN event_id % 5 = 3 THEN 'evil.com/' || event_id
                ELSE 'data:text/html,x' END
              WHEN 'TYPE' THEN CASE WHEN event_id % 3 = 0 THEN 'ann@b.example' ELSE 'ab' END
              WHEN 'SELECT' THEN 'one' ELSE '' END AS value,
