@@ -119,25 +119,37 @@ def normalise_literal(term: str) -> str:
     return folded.lower().strip(JS_SPACES)
 
 
+# scheme, host (name or bracketed address) and port of a plain web address; a
+# user-info part makes it fail.
+_ADDRESS = (
+    r"(?s)^(?:([a-z][a-z0-9+.\-]*)://)?(\[[0-9a-f:.]+\]|[^:/?#\\@\s<>^|%\[\]]+)(?::([0-9]*))?(?:[/?#\\].*)?$"
+)
+
+
 def normalise_origin(value: Column) -> Column:
-    """``scheme://host[:port]`` in lower case, or NULL when it is not a plain web origin."""
-    trimmed = js_trim(value)
-    url = F.when(trimmed.contains("://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)", 1)
-    user_info = authority.contains("@")
-    host = F.lower(F.regexp_extract(authority, r"^(\[[0-9A-Fa-f:.]+\]|[^:\s<>^|%\[\]]+)(?::([0-9]*))?$", 1))
-    port_text = F.regexp_extract(
-        authority, r"^(\[[0-9A-Fa-f:.]+\]|[^:\s<>^|%\[\]]+)(?::([0-9]*))?$", 2
-    )
-    port = port_text.try_cast("int")
-    default_port = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-    bad_port = (port_text != "") & (port.isNull() | (port > 65535))
-    shown = F.when(
-        (port_text == "") | default_port, F.concat(scheme, F.lit("://"), host)
-    ).otherwise(F.concat(scheme, F.lit("://"), host, F.lit(":"), port.cast("string")))
-    valid = scheme.isin("http", "https") & ~user_info & (host != "") & ~bad_port
-    return F.when(valid, shown)
+    """``scheme://host[:port]`` in lower case, or NULL when it is not a plain web origin.
+
+    One pattern splits the address, and every part is bound once.
+    """
+
+    def shown(text: Column, parts: Column) -> Column:
+        scheme = F.when(parts[0] == "", "https").otherwise(parts[0])
+        default = ((scheme == "http") & (parts[2] == "80")) | ((scheme == "https") & (parts[2] == "443"))
+        port = F.when((parts[2] == "") | default, "").otherwise(
+            F.concat(F.lit(":"), parts[2].try_cast("int").cast("string"))
+        )
+        # Without a scheme in front, "://" further on makes the address invalid.
+        stray = (parts[0] == "") & text.contains("://")
+        in_range = (parts[2] == "") | (parts[2].try_cast("int") <= 65535)
+        return F.when(
+            scheme.isin("http", "https") & ~stray & in_range, F.concat(scheme, F.lit("://"), parts[1], port)
+        )
+
+    def split(text: Column) -> Column:
+        parts = F.split(F.regexp_replace(text, _ADDRESS, "$1 $2 $3"), " ", -1)
+        return F.when(text.rlike(_ADDRESS), let(parts, lambda p: shown(text, p)))
+
+    return let(F.lower(js_trim(value)), split)
 
 
 def percent_decode(value: Column) -> Column:

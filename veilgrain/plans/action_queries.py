@@ -172,7 +172,7 @@ Q["issue_tokens"] = lambda spark, d: _ntz(tokens(spark, d))
 def signature_sql(p: str = "", origin: str = "origin") -> str:
     return f"""'sha256_hmac_' || sha256('task=' || {p}task_id || '|action=' || {p}action_id || '|type=' || {p}action || '|node=' || {p}node_id ||
       '|selector=' || '' || '|origin=' || {origin} || '|decision=' || {p}decision || '|confirmed=' || {p}confirmed ||
-      '|issued=' || epoch_ms({p}issued_ts) || '|expires=' || epoch_ms({p}expires_ts) || '|secret={SECRET}')"""
+      '|issued=' || (epoch_us({p}issued_ts) // 1000) || '|expires=' || (epoch_us({p}expires_ts) // 1000) || '|secret={SECRET}')"""
 
 
 TOKENS = {
@@ -332,8 +332,8 @@ def capture_frames(events):
         e.alias("nonce"), F.col("user_id").alias("task_id"), own.alias("origin"), ts.alias("asked_ts")
     )
     copies = F.when(e % 9 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    responses = events.filter(e % 12 != 0).select(
-        (e * 10 + F.explode(copies)).alias("response_id"),
+    responses = events.filter(e % 12 != 0).withColumn("k", F.explode(copies)).select(
+        (e * 10 + F.col("k")).alias("response_id"),
         F.when(e % 53 == 0, -e).otherwise(e).alias("nonce"),
         F.when(e % 13 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("task_id"),
         F.when(e % 11 == 0, F.lit("https://other.example")).when(e % 59 == 0, F.lit(None).cast("string")).otherwise(own).alias("origin"),
