@@ -64,8 +64,9 @@ def compare(spark, con, folder, query, sql):
     if cols != ocols:
         return False, len(rows), took, f"columns {cols} != {ocols}"
     if rows != orows:
-        extra = [r for r in rows if r not in set(orows)][:3]
-        missing = [r for r in orows if r not in set(rows)][:3]
+        ours, theirs = set(rows), set(orows)
+        extra = list(ours - theirs)[:3]
+        missing = list(theirs - ours)[:3]
         return False, len(rows), took, f"{len(rows)} vs {len(orows)} rows\n   spark only {extra}\n   sql only   {missing}"
     return True, len(rows), took, ""
 

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilgrain import constants as K
 
@@ -91,7 +92,7 @@ def js_trim(value: Column) -> Column:
     return F.btrim(value, F.lit(JS_SPACES))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkd(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFKD", s), na_action="ignore")
 

@@ -436,7 +436,7 @@ SQL["bind_actions"] = V.with_views(
 def verify_grounding(spark, d):
     p = V.boxes_pred(spark, d)
     types = (*_TYPES[:5], "DISABLED_CONTROL", "UNKNOWN_VISUAL_REGION")
-    k = (F.col("conf") * 100).cast("int")
+    k = F.round(F.col("conf") * 100).cast("int")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     rows = p.select(
         F.when(k != 7, F.col("pred_id")).alias("region_id"),
@@ -461,5 +461,5 @@ SQL["verify_grounding"] = V.with_views(
       WHEN region_type = 'UNKNOWN_VISUAL_REGION' THEN 'UNKNOWN_REGION' WHEN act <> 'PRESS' AND NOT ({_COMPAT}) THEN 'INCOMPATIBLE'
       WHEN act IN ('CLICK', 'TYPE', 'SELECT') AND (k > w OR 3 > h) THEN 'OUTSIDE' WHEN k = 9 THEN 'ZERO_SIZE' WHEN k % 41 > 35 THEN 'MOVED' ELSE 'OK' END AS verdict
     FROM (SELECT *, {V._case((*_TYPES[:5], 'DISABLED_CONTROL', 'UNKNOWN_VISUAL_REGION'), 'cls % 7')} AS region_type, {V._case(_ACTS, 'k % 5')} AS act
-      FROM (SELECT *, CAST(conf * 100 AS INTEGER) AS k FROM boxes_pred))""",
+      FROM (SELECT *, CAST(round(conf * 100) AS INTEGER) AS k FROM boxes_pred))""",
 )
