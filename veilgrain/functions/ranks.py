@@ -14,9 +14,12 @@ def value_ranks(df: DataFrame, by: list[str], value: str, bins: int = BINS) -> D
     Values are counted map-side first. Running sums go over ordered bins of the
     value range (at most ``bins`` rows a group), and within one bin.
     """
+    if not by:
+        ranked = value_ranks(df.withColumn("_all", F.col(value).isNotNull()), ["_all"], value, bins)
+        return ranked.drop("_all")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     span = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("total"))
-    placed = (counts.join(span, by) if by else counts.crossJoin(F.broadcast(span))).withColumn(
+    placed = counts.join(span, by).withColumn(
         "_bin",
         F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0),
     )

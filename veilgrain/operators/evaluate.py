@@ -207,12 +207,11 @@ def threshold_sweep(gt: DataFrame, pred: DataFrame, thresholds=K.CALIBRATION_THR
     hits = used.groupBy("threshold").agg(F.sum("n").alias("tp"), F.count("*").alias("used"))
     shown = pred.select(passed(F.col("conf")).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("preds"))
     reachable = good.select("image_id", "a_gt_id").distinct().agg(F.count("*").alias("reachable"))
-    total = gt.agg(F.count("*").alias("gt"))
-    table = gt.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    # Both right sides are one row by construction.
+    reachable = reachable.select(F.explode(cuts).alias("threshold"), "reachable")
+    # The totals repeated per threshold are the frame the other counts join.
+    total = gt.agg(F.count("*").alias("gt")).select(F.explode(cuts).alias("threshold"), "gt")
     rows = (
-        table.join(hits, "threshold", "left").join(shown, "threshold", "left")
-        .crossJoin(F.broadcast(reachable)).crossJoin(F.broadcast(total))
+        total.join(reachable, "threshold").join(hits, "threshold", "left").join(shown, "threshold", "left")
     )
     z = F.lit(0)
     tp = F.coalesce("tp", z)
@@ -292,8 +291,9 @@ def failure_taxonomy(gt: DataFrame, pred: DataFrame, scheme: str = "causes", con
 def failure_shares(failures: DataFrame) -> DataFrame:
     """Count and share of each reason."""
     counts = failures.groupBy("reason").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("reason", "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("pct"))
+    # A window over the few reasons, not over the failures.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.select("reason", "n", F.round(F.col("n") / total * 100, 2).alias("pct"))
 
 
 def confusion(matches: DataFrame, min_iou: float = 0.15) -> DataFrame:
@@ -376,10 +376,13 @@ def top_failures(failures: DataFrame, n: int, order: list[str]) -> DataFrame:
 def compare_configs(runs: DataFrame, config: str, baseline: str, metrics: list[str]) -> DataFrame:
     """Metrics per configuration with their difference to the baseline's."""
     means = runs.groupBy(config).agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics])
-    base = means.filter(F.col(config) == baseline).select(*[F.col(m).alias(f"_{m}") for m in metrics])
-    # One row on the right: the baseline.
-    joined = means.crossJoin(F.broadcast(base))
-    return joined.select(config, *metrics, *[F.round(F.col(m) - F.col(f"_{m}"), 6).alias(f"{m}_delta") for m in metrics])
+    # A window over the few configurations finds the baseline's row.
+    few = Window.partitionBy(F.lit(0))
+
+    def base(m):
+        return F.max(F.when(F.col(config) == baseline, F.col(m))).over(few)
+
+    return means.select(config, *metrics, *[F.round(F.col(m) - base(m), 6).alias(f"{m}_delta") for m in metrics])
 
 
 def quality_gates(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -416,9 +419,9 @@ def stage_breakdown(marks: DataFrame, run: str, stage: str, mark: str) -> DataFr
     w = Window.partitionBy(run).orderBy(stage)
     durations = marks.withColumn("_d", F.col(mark) - F.lag(mark, 1, 0.0).over(w))
     sums = durations.groupBy(stage).agg(F.sum("_d").alias("_s"), F.count("*").alias("runs"))
-    total = sums.agg(F.sum("_s").alias("_t"))
-    return sums.crossJoin(F.broadcast(total)).select(
-        stage, "runs", F.round(F.col("_s") / F.col("runs"), 4).alias("mean"), F.round(F.col("_s") / F.col("_t") * 100, 4).alias("share_pct")
+    total = F.sum("_s").over(Window.partitionBy(F.lit(0)))  # over the few stages
+    return sums.select(
+        stage, "runs", F.round(F.col("_s") / F.col("runs"), 4).alias("mean"), F.round(F.col("_s") / total * 100, 4).alias("share_pct")
     )
 
 
