@@ -1,2 +1,83 @@
+"""Ledgers and privacy metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veilgrain.operators import ledger as L
+from veilgrain.operators import policy
+from veilgrain.plans import action_queries as AQ
+from veilgrain.plans import policy_queries as P
+from veilgrain.plans import views as V
+
 Q = {}
 SQL = {}
+
+
+def _entities(spark, d):
+    """Decided entities; every ninth names its value as kept, to give the metrics something to find."""
+    ents = P.decided(spark, d)
+    return ents.withColumn("treatment", F.when(F.col("task_id") % 9 == 0, "KEEP").otherwise(F.col("treatment")))
+
+
+def _ledger(spark, d):
+    return L.privacy_ledger(_entities(spark, d))
+
+
+def _actions(spark, d):
+    judged = AQ.judged(spark, d)
+    outcomes = judged.select("action_id", ((F.col("decision") != "BLOCK") | (F.col("action_id") % 50 == 0)).alias("executed"))
+    return L.action_ledger(judged, outcomes)
+
+
+ENTRIES = {**P.DECIDED, "entries": """SELECT *, CASE WHEN task_id % 9 = 0 THEN 'KEEP' ELSE treatment END AS t2, task_id % 9 = 0 OR treatment = 'KEEP' AS crossed,
+    sensitivity IN ('CRITICAL', 'HIGH', 'MEDIUM') AS sens FROM decided"""}
+Q["privacy_ledger"] = lambda spark, d: _ledger(spark, d).select("day", "task_id", "entity_ord", "kind", "masked", "treatment", "crossed_network")
+SQL["privacy_ledger"] = V.with_views(
+    P.BASE, "SELECT CAST(created_ts AS DATE) AS day, task_id, entity_ord, kind, masked, t2 AS treatment, crossed AS crossed_network FROM entries", ENTRIES
+)
+ACTS = {**AQ.judge_sql(False), "acts": "SELECT *, decision <> 'BLOCK' OR action_id % 50 = 0 AS executed FROM judged"}
+Q["action_ledger"] = lambda spark, d: _actions(spark, d).select("day", "action_id", "decision", "risk", "untrusted_flag", "semantic_flag", "executed")
+SQL["action_ledger"] = V.with_views(
+    AQ.ACTION_VIEWS,
+    "SELECT CAST(ts AS DATE) AS day, action_id, decision, risk, untrusted AS untrusted_flag, semantic_violation AS semantic_flag, executed FROM acts",
+    ACTS,
+)
+_MDS = "count(*) FILTER (sens) AS sensitive, count(*) FILTER (sens AND necessity = 'NONE' AND crossed) AS exposed"
+_SCORE = "round(CASE WHEN sensitive = 0 THEN 1.0 ELSE greatest(0, 1 - exposed / sensitive) END, 4) AS mds"
+Q["minimum_disclosure_score"] = lambda spark, d: L.minimum_disclosure_score(_ledger(spark, d), ["kind"])
+SQL["minimum_disclosure_score"] = V.with_views(P.BASE, f"SELECT *, {_SCORE} FROM (SELECT kind, {_MDS} FROM entries GROUP BY kind)", ENTRIES)
+Q["unsafe_action_rate"] = lambda spark, d: L.unsafe_action_rate(_actions(spark, d), ["action"])
+SQL["unsafe_action_rate"] = V.with_views(
+    AQ.ACTION_VIEWS,
+    """SELECT action, count(*) AS actions, count(*) FILTER ((untrusted OR semantic_violation) AND executed) AS unsafe,
+      round(count(*) FILTER ((untrusted OR semantic_violation) AND executed) / count(*) * 100, 2) AS unsafe_pct FROM acts GROUP BY action""",
+    ACTS,
+)
+Q["privacy_utility_efficiency"] = lambda spark, d: L.privacy_utility_efficiency(_ledger(spark, d), _actions(spark, d), ["task_id"])
+SQL["privacy_utility_efficiency"] = V.with_views(
+    [*P.BASE, *AQ.ACTION_VIEWS],
+    """SELECT task_id, round(coalesce(mds, 1.0), 4) AS mds, round(coalesce(rate, 1.0), 4) AS success_rate, round(coalesce(mds, 1.0) * coalesce(rate, 1.0), 4) AS pue
+      FROM m FULL JOIN r USING (task_id)""",
+    {
+        **ENTRIES, **ACTS,
+        "m": f"SELECT task_id, {_SCORE} FROM (SELECT task_id, {_MDS} FROM entries GROUP BY task_id)",
+        "r": "SELECT task_id, count(*) FILTER (executed) / count(*) AS rate FROM acts GROUP BY task_id",
+    },
+)
+
+
+def task_dossier(spark, d):
+    reports = policy.disclosure_counts(_entities(spark, d))
+    return L.task_dossier(_ledger(spark, d), _actions(spark, d), reports).select("task_id", "part", "seq", F.length("record").alias("size"))
+
+
+Q["task_dossier"] = task_dossier  # records are JSON text, compared in tests
+
+Q["utility_preserved"] = lambda spark, d: L.utility_preserved(policy.redact_spans(P.decided_docs(spark, d)))
+SQL["utility_preserved"] = V.with_views(
+    P.BASE,
+    """SELECT CAST(c AS BIGINT) AS chars, CAST(s AS BIGINT) AS sensitive, CAST(s AS BIGINT) AS removed, 100.0 :: DOUBLE AS sensitive_removed_pct, 100.0 :: DOUBLE AS benign_kept_pct,
+      0.0 :: DOUBLE AS over_removal_pct FROM (SELECT sum(length(text)) AS c FROM texts_synth), (SELECT sum(e - s) AS s FROM islands)""",
+    P.REDACTED,
+)
