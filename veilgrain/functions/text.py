@@ -26,9 +26,19 @@ JS_SPACES = (
 )
 
 
+# What a match can begin with, tested before the boundary: a position that cannot
+# start a match is then dismissed on one character.
+_FIRST = {
+    K.PHONE_PATTERN: r"(?=[0-9(+])",
+    K.CARD_PATTERN: r"(?=[0-9])",
+    K.PASSPORT_PATTERN: r"(?=[A-Za-z][0-9])",
+    K.SECRET_PATTERN: r"(?=[PpSs])",
+}
+
+
 def java_pattern(pattern: str) -> str:
     """Rewrite an ASCII-dialect pattern so that Java finds the same matches."""
-    return pattern.replace(r"\b", ASCII_BOUNDARY)
+    return _FIRST.get(pattern, "") + pattern.replace(r"\b", ASCII_BOUNDARY)
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:

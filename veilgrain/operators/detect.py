@@ -52,9 +52,13 @@ def _label_prefix_len(text_hit: Column, name: Column) -> Column:
     return F.length(text_hit) - F.length(name)
 
 
-def entity_array(text: Column, kind: str) -> Column:
-    """Every entity of one kind in ``text`` as an array of structs, in text order."""
+def entity_array(text: Column, kind: str, low: Column | None = None) -> Column:
+    """Every entity of one kind in ``text`` as an array of structs, in text order.
+
+    ``low`` is the text in lower case, when the caller has it at hand.
+    """
     none = F.array().cast(ENTITY_TYPE)
+    low = F.lower(text) if low is None else low
     if kind == "NAME":
         labelled = X.located_matches(text, K.LABELLED_NAME_PATTERN)
         known = X.located_matches(text, _known_name_pattern())
@@ -63,10 +67,13 @@ def entity_array(text: Column, kind: str) -> Column:
             name = F.regexp_extract(hit["raw"], X.java_pattern(K.LABELLED_NAME_PATTERN), 1)
             return _entity("NAME", name, hit["pos"] + _label_prefix_len(hit["raw"], name))
 
+        listed = F.lit(False)
+        for name in K.KNOWN_NAMES:
+            listed = listed | low.contains(name.lower())
         # The list is the fallback for texts without a labelled name.
         found = F.coalesce(
-            F.transform(labelled, of_label),
-            F.transform(known, lambda hit: _entity("NAME", hit["raw"], hit["pos"])),
+            F.when(text.contains(":"), F.transform(labelled, of_label)),
+            F.when(listed, F.transform(known, lambda hit: _entity("NAME", hit["raw"], hit["pos"]))),
         )
         return F.coalesce(found.cast(ENTITY_TYPE), none)
     pattern = {
@@ -80,18 +87,20 @@ def entity_array(text: Column, kind: str) -> Column:
     if kind == "CREDIT_CARD":
         hits = F.filter(hits, lambda h: F.length(X.digits(h["raw"])).between(13, 19))
     found = F.transform(hits, lambda h: _entity(kind, h["raw"], h["pos"]))
-    return F.coalesce(F.when(_may_hold(text, kind), found.cast(ENTITY_TYPE)), none)
+    return F.coalesce(F.when(_may_hold(text, low, kind), found.cast(ENTITY_TYPE)), none)
 
 
-def _may_hold(text: Column, kind: str) -> Column:
+def _may_hold(text: Column, low: Column, kind: str) -> Column:
     """A cheap necessary condition, so most texts never meet the full pattern."""
     if kind == "EMAIL":
         return text.contains("@")
-    if kind in ("PHONE", "CREDIT_CARD"):
-        return text.rlike(r"[0-9][^0-9]{0,3}[0-9]")
+    if kind == "PHONE":
+        return text.rlike(r"[0-9]{4}")
+    if kind == "CREDIT_CARD":
+        return text.rlike(r"[0-9][ -]*[0-9][ -]*[0-9][ -]*[0-9]")
     if kind == "GOVT_ID":
-        return text.rlike(r"[A-Za-z][0-9]{7}")
-    return text.rlike(r"(?i)pass|secret123")
+        return text.rlike(r"[0-9]{7}")
+    return low.contains("pass") | low.contains("secret123")
 
 
 # Order in which a text is scanned; it fixes ``entity_ord``.
@@ -100,7 +109,7 @@ SCAN_ORDER = ("EMAIL", "PHONE", "CREDIT_CARD", "GOVT_ID", "NAME", "PASSWORD")
 
 def entity_arrays(text: Column, kinds=SCAN_ORDER) -> Column:
     """All kinds, concatenated in scan order."""
-    return F.concat(*[entity_array(text, kind) for kind in kinds])
+    return X.let(F.lower(text), lambda low: F.concat(*[entity_array(text, kind, low) for kind in kinds]))
 
 
 def scan_array(df: DataFrame, text: str = "text", kinds=SCAN_ORDER, out: str = "entities") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.sources.tables import read_table
+from veilgrain.sources.tables import read_table, spread
 
 # Suffixes appended to document text by doc_id % 6.
 DOC_SUFFIXES = (
@@ -81,7 +81,14 @@ NODE_NAMES = (  # name_attr, id_attr, input_type by node key % 12
     ("pay", "pay-now", "submit"),
 )
 
-table = read_table
+_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table; the text tables are spread over the cores when small."""
+    df = read_table(spark, d, name)
+    return spread(df, _KEYS[name]) if name in _KEYS else df
+
 
 
 def _pick(values, index):

@@ -58,6 +58,17 @@ def read_table(
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over the cores before heavy per-row work.
+
+    A file of one row group is read by one task however many cores there are.
+    Scans that already have a split per core, as all large ones do, are left
+    alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 4, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def flatten_samples(samples: DataFrame) -> DataFrame:
     """Nested samples to one row per annotated box."""
     if "samples" in samples.columns:
