@@ -32,11 +32,16 @@ def build_session(app: str = "veilgrain", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir`` when it is set.
 
-    Only where no such folder is named (single-machine tests) is one made.
+    Only a local session may leave it unset; one is made then. On a cluster a folder
+    of one machine would lose data, so its absence is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = _own_dirs.setdefault("path", tempfile.mkdtemp(prefix="veilgrain-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        if "path" not in _own_dirs:
+            _own_dirs["path"] = tempfile.mkdtemp(prefix="veilgrain-")
+        named = _own_dirs["path"]
     return named.rstrip("/")
 
 
