@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilgrain.llm import ngram_join
+from veilgrain.llm import ngram_join, suffix_dedup
 
 Q, SQL = {}, {}
 
@@ -21,3 +22,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, folder, "documents"), n=4, percent=85)
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
