@@ -34,9 +34,9 @@ from veilgrain.llm.ngram_join import packed
 from veilgrain.session import written
 
 K = 48
-TILE_BYTES = 4 << 20
+TILE_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
-ANCHOR_BYTES = 14
+ANCHOR_BYTES = 20
 CHUNK = 8 << 20
 #: A perfect difference set: every residue modulo V is a difference of two of its members.
 V, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -45,18 +45,23 @@ _SHIFT = np.array([[next(d for d in range(V) if _ON[(a + d) % V] and _ON[(b + d)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(hash, anchor position, first window, last window) of each run of windows; windows stay inside rows."""
+    """(anchor hash, first window, last window, joined, hash of the bytes) of runs of windows inside rows.
+
+    Neighbouring runs whose anchors are equal are joined to one: in periodic text
+    they would be many, all alike. Only in a joined run can windows repeat each other.
+    """
     sizes = np.diff(offsets)
     long = np.flatnonzero(sizes >= length)
     none = np.zeros(0, np.int64)
     if not len(long):
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, none
     edge = np.zeros(len(data) + 1, np.int8)
     np.add.at(edge, offsets[:-1][long], 1)
     np.add.at(edge, offsets[1:][long] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
     first = np.arange(len(data) - K + 1)
-    hashes = span_hash(sums(BYTE_VALUES[data]), first, first + K)
+    running = sums(BYTE_VALUES[data])
+    hashes = span_hash(running, first, first + K)
     least = (hashes & ~np.uint64(0xFFFFFF)) | first.astype(np.uint64)
     width, size = length - K + 1, 1
     while 2 * size <= width:
@@ -68,12 +73,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     new = np.ones(len(at), bool)
     new[1:] = (spot[1:] != spot[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
-    stop = np.r_[begin[1:], len(at)] - 1
-    return hashes[spot[begin]], spot[begin], at[begin], at[stop]
+    name = hashes[spot[begin]]
+    apart = np.ones(len(begin), bool)
+    apart[1:] = (name[1:] != name[:-1]) | (at[begin[1:]] != at[begin[1:] - 1] + 1)
+    lead = np.flatnonzero(apart)
+    begin, joined = begin[lead], np.diff(np.r_[lead, len(apart)]) > 1
+    start, stop = at[begin], at[np.r_[begin[1:], len(at)] - 1]
+    return name[lead], start, stop, joined, span_hash(running, start, stop + length)
 
 
-SENT_SQL = "bucket int, hashes binary, nodes binary, runs binary, starts binary, tails binary"
-SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("hashes", "nodes", "runs", "starts", "tails"))])
+SENT_SQL = "bucket int, hashes binary, nodes binary, runs binary, starts binary, tails binary, looks binary"
+SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("hashes", "nodes", "runs", "starts", "tails", "looks"))])
 
 
 def _chunks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -92,15 +102,16 @@ def _send(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for nodes, data, offsets, base in _chunks(batch, length):
-                hashes, _, start, stop = anchors(data, offsets, length)
+                hashes, start, stop, joined, look = anchors(data, offsets, length)
                 if not len(hashes):
                     continue
                 row = np.searchsorted(offsets, start, side="right") - 1
                 local = (start - offsets[row] + base).astype(np.uint32)
-                tails = (stop - start).astype(np.uint16)
+                tails = (stop - start).astype(np.uint32) | (joined.astype(np.uint32) << np.uint32(31))
+                look = (look >> np.uint64(32)).astype(np.uint32)
                 to = (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
                 order = np.lexsort((row, to))
-                hashes, row, local, tails, to = (x[order] for x in (hashes, row, local, tails, to))
+                hashes, row, local, tails, look, to = (x[order] for x in (hashes, row, local, tails, look, to))
                 new = np.ones(len(to), bool)
                 new[1:] = (to[1:] != to[:-1]) | (row[1:] != row[:-1])
                 run_at = np.flatnonzero(new)
@@ -109,15 +120,24 @@ def _send(length: int, buckets: int):
                 lengths = np.diff(np.r_[run_at, len(to)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to[head]), packed(hashes, cuts), packed(nodes[row[run_at]], run_cuts), packed(lengths, run_cuts)]
-                    + [packed(local, cuts), packed(tails, cuts)],
+                    + [packed(local, cuts), packed(tails, cuts), packed(look, cuts)],
                     schema=SENT,
                 )
 
     return run
 
 
-MET_SQL = "node long, hash long, start long, tail int, tiles int"
-MET = pa.schema([("node", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("tail", pa.int32()), ("tiles", pa.int32())])
+def _groups_of(*keys: np.ndarray) -> np.ndarray:
+    """True where a sorted sequence of keys begins a new value."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+MET_SQL = "node long, hash long, start long, tail int, joined boolean, tiles int"
+MET = pa.schema([("node", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()), ("tail", pa.int32()), ("joined", pa.bool_()), ("tiles", pa.int32())])
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -127,26 +147,29 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 def _meet(length: int):
     def run(table: pa.Table) -> pa.Table:
         """Runs of windows whose anchor occurs at two places or more."""
-        hashes, start, tail = _joined(table["hashes"], np.uint64), _joined(table["starts"], np.uint32), _joined(table["tails"], np.uint16)
+        hashes, look = _joined(table["hashes"], np.uint64), _joined(table["looks"], np.uint32)
+        start, tail = _joined(table["starts"], np.uint32), _joined(table["tails"], np.uint32)
         node = np.repeat(_joined(table["nodes"], np.int64), _joined(table["runs"], np.int32))
-        order = np.lexsort((start, node, hashes))
-        hashes, start, tail, node = hashes[order], start[order], tail[order], node[order]
-        keep = np.ones(len(hashes), bool)
-        keep[1:] = (hashes[1:] != hashes[:-1]) | (node[1:] != node[:-1]) | (start[1:] != start[:-1])
-        hashes, start, tail, node = hashes[keep], start[keep], tail[keep], node[keep]
-        at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        order = np.lexsort((start, node, look, hashes))
+        hashes, look, start, tail, node = (x[order] for x in (hashes, look, start, tail, node))
+        keep = _groups_of(hashes, look, node, start)
+        hashes, look, start, tail, node = (x[keep] for x in (hashes, look, start, tail, node))
+        at = np.flatnonzero(_groups_of(hashes))
         size = np.diff(np.r_[at, len(hashes)])
-        covered = np.add.reduceat(tail.astype(np.int64) + length, at)
+        joined, tail = (tail >> np.uint32(31)) > 0, (tail & np.uint32(0x7FFFFFFF)).astype(np.int64)
+        covered = np.add.reduceat(np.where(_groups_of(hashes, look), tail + length, 0), at) if len(at) else at
         tiles = np.repeat(-(-covered // TILE_BYTES), size)
-        many = np.repeat(size > 1, size)
-        columns = (node, hashes.view(np.int64), start.astype(np.int64), tail.astype(np.int32), tiles.astype(np.int32))
+        many = np.repeat((size > 1) | (np.add.reduceat(joined, at) > 0 if len(at) else size > 1), size)
+        columns = (node, hashes.view(np.int64), start.astype(np.int64), tail.astype(np.int32), joined, tiles.astype(np.int32))
         return pa.table([pa.array(x[many]) for x in columns], schema=MET)
 
     return run
 
 
-CUT_SQL = "hash long, i int, j int, bytes binary, nodes binary, starts binary"
-CUT = pa.schema([("hash", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("bytes", pa.binary()), ("nodes", pa.binary()), ("starts", pa.binary())])
+CUT_SQL = "hash long, i int, j int, joined boolean, bytes binary, nodes binary, starts binary"
+CUT = pa.schema([("hash", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("joined", pa.bool_()), ("bytes", pa.binary()), ("nodes", pa.binary()), ("starts", pa.binary())])
+
+CUT_FIELDS = ("hash", "start", "tail", "joined", "tiles")
 
 
 def _cut(length: int):
@@ -154,10 +177,10 @@ def _cut(length: int):
 
     def flush(held: dict) -> pa.RecordBatch:
         rows = []
-        for (key, tiles, text), places in held.items():
+        for (key, tiles, joined, text), places in held.items():
             own = zlib.crc32(text) % tiles
             nodes, starts = (np.array(x, np.int64).tobytes() for x in zip(*places, strict=True))
-            rows += [(key, min(own, other), max(own, other), text, nodes, starts) for other in range(tiles)]
+            rows += [(key, min(own, other), max(own, other), joined, text, nodes, starts) for other in range(tiles)]
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), CUT, strict=True)], schema=CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +190,9 @@ def _cut(length: int):
                 node, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 text = text.encode() if isinstance(text, str) else text
                 found = batch.column(2)[row].values
-                for key, start, tail, tiles in zip(*(found.field(x).to_pylist() for x in ("hash", "start", "tail", "tiles")), strict=True):
+                for key, start, tail, joined, tiles in zip(*(found.field(x).to_pylist() for x in CUT_FIELDS), strict=True):
                     part = text[start : start + tail + length]
-                    held.setdefault((key, tiles, part), []).append((node, start))
+                    held.setdefault((key, tiles, joined, part), []).append((node, start))
                     size += len(part)
                     if size > TILE_BYTES:
                         yield flush(held)
@@ -180,15 +203,6 @@ def _cut(length: int):
     return run
 
 
-def _groups_of(*keys: np.ndarray) -> np.ndarray:
-    """True where a sorted sequence of keys begins a new value."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 def repeated_windows(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Which of the windows of ``length`` bytes at the given positions equal another of them."""
     size = len(text) + 4 * V + 8
@@ -240,29 +254,42 @@ def _sort_pack(length: int):
     def run(table: pa.Table) -> pa.Table:
         """(node, start, end) of byte ranges covered by repeated windows."""
         buckets: dict[tuple, dict[bytes, set]] = {}
-        columns = [table[c].to_pylist() for c in ("hash", "i", "j", "bytes", "nodes", "starts")]
-        for key, i, j, part, nodes, starts in zip(*columns, strict=True):
+        inner = set()
+        columns = [table[c].to_pylist() for c in ("hash", "i", "j", "joined", "bytes", "nodes", "starts")]
+        for key, i, j, joined, part, nodes, starts in zip(*columns, strict=True):
             places = zip(np.frombuffer(nodes, np.int64).tolist(), np.frombuffer(starts, np.int64).tolist(), strict=True)
             buckets.setdefault((key, i, j), {}).setdefault(part, set()).update(places)
+            if joined:
+                inner.add((key, i, j))
         del columns
-        out: list[tuple[int, int, int]] = []
+        found = [(node, start, start + len(part)) for parts in buckets.values() for part, places in parts.items() if len(places) > 1 for node, start in places]
         joint: list[tuple[bytes, set]] = []
-        for (_, i, j), parts in buckets.items():
-            out += [(node, start, start + len(part)) for part, places in parts.items() if len(places) > 1 for node, start in places]
-            if len(parts) < 2:
+        for key, parts in buckets.items():
+            if len(parts) < 2 and key not in inner:
                 continue
-            if i == j == 0:
+            if key[1] == key[2] == 0:
                 joint += parts.items()
             else:
-                out += _sorted(list(parts.items()), length)
+                found += _sorted(list(parts.items()), length)
         if joint:
-            out += _sorted(joint, length)
-        node, start, end = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+            found += _sorted(joint, length)
+        node, start, end = _merged(np.array(found, np.int64).reshape(-1, 3).T)
         return pa.table({"node": node, "start": start, "end": end})
 
     return run
 
 
+def _merged(ranges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes of each node as ranges that do not touch."""
+    node, start, end = ranges[:, np.lexsort((ranges[1], ranges[0]))]
+    fresh = _groups_of(node)
+    base = np.cumsum(fresh) * (1 << 40)
+    top = np.maximum.accumulate(end + base) - base
+    fresh[1:] |= start[1:] > top[:-1]
+    at = np.flatnonzero(fresh)
+    return node[at], start[at], top[np.r_[at[1:], len(fresh)][: len(at)] - 1]
+
+
 def _sorted(parts: list[tuple[bytes, set]], length: int) -> Iterator[tuple[int, int, int]]:
     text = np.frombuffer(b"".join(x for x, _ in parts), np.uint8)
     sizes = np.array([len(x) for x, _ in parts])
@@ -337,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = rows.where(F.col("size") >= length).select("node", "text").mapInArrow(_send(length, buckets), SENT_SQL)
     met = written(sent.groupBy("bucket").applyInArrow(_meet(length), MET_SQL), "met")
     packs = max(1, math.ceil(((met.agg(F.sum((F.col("tail") + length) * F.col("tiles"))).first()[0]) or 0) / TILE_BYTES))
-    wanted = met.groupBy("node").agg(F.collect_list(F.struct("hash", "start", "tail", "tiles")).alias("found"))
+    wanted = met.groupBy("node").agg(F.collect_list(F.struct("hash", "start", "tail", "joined", "tiles")).alias("found"))
     wanted = wanted.join(nodes.select("node", "rep"), "node")
     match = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("key"))
     chosen = rows.where(F.col("size") >= length).join(wanted.withColumnRenamed("node", "key").hint("shuffle_hash"), match)
