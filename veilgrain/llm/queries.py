@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.llm import ngram_join, suffix_dedup
+from veilgrain.llm import fingerprints, ngram_join, suffix_dedup
 
 Q, SQL = {}, {}
 
@@ -28,3 +28,8 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
