@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.llm import fingerprints, ngram_join, suffix_dedup
+from veilgrain.llm import fingerprints, ngram_join, quality, secrets, suffix_dedup
 
 Q, SQL = {}, {}
 
@@ -33,3 +33,25 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+def _joined(spans: F.Column) -> F.Column:
+    """kind:start:end of each span, by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+
+    def of(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    count = [of(k).alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.filter("spans", lambda x: x["kind"] != "format")
+    return found.select("doc_id", *count, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
