@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.llm import fingerprints, ngram_join, quality, secrets, suffix_dedup
+from veilgrain.llm import boilerplate, decontaminate, fingerprints, ngram_join, quality, secrets, suffix_dedup
 
 Q, SQL = {}, {}
 
@@ -55,3 +55,33 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_key")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = boilerplate.drop_boilerplate(table(spark, folder, "documents"))
+    return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+SQL["op2_line_dedup"] = r"""
+with l as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
+p as (select source, count(*) as pages from documents group by source),
+u as (select distinct doc_id, source, unnest(lines) as line from l),
+bad as (
+  select u.source, list(line) as lines from (
+    select source, line, count(*) as pages_on from u where line <> '' group by source, line having count(*) >= 3
+  ) u join p on u.source is not distinct from p.source where pages_on > 0.05 * pages group by u.source),
+k as (
+  select l.doc_id, l.source, l.lines,
+    list_filter(l.lines, lambda x: not coalesce(list_contains(bad.lines, x), false)) as kept
+  from l left join bad on l.source is not distinct from bad.source)
+select doc_id, source, coalesce(len(lines), 0) as n_lines, coalesce(len(lines) - len(kept), 0) as n_dropped,
+  array_to_string(kept, chr(10)) as text
+from k
+"""
