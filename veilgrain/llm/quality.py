@@ -98,29 +98,35 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return total.astype(np.float32)
 
 
-def _pool(vectors: np.ndarray):
-    out = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
+def features(vectors: np.ndarray, column: pa.Array) -> np.ndarray:
+    """One row of FEATURES for each text; an empty text has zeros."""
+    pooled = np.zeros((len(column), FEATURES), np.float32)
+    for first, last, data, offsets in pieces(column, 1 << 19):
+        word, cut = word_classes(data, offsets)
+        count = np.diff(cut)
+        full = np.flatnonzero(count)
+        if not len(full):
+            continue
+        own = pooled[first:last]
+        rows = np.repeat(np.arange(len(count)), count)
+        n = count[full]
+        own[full, :DIMS] = np.add.reduceat(vectors[word], cut[full], axis=0) / n[:, None]
+        own[full, DIMS] = np.linalg.norm(own[full, :DIMS], axis=1)
+        own[full, DIMS + 1] = np.log1p(n)
+        pairs = np.unique(rows * BUCKETS + word)
+        own[full, DIMS + 2] = np.bincount(pairs // BUCKETS, minlength=len(count))[full] / n
+        own[full, DIMS + 3] = np.diff(offsets)[full] / n / 10
+        again = np.zeros(len(word))
+        again[1:] = (word[1:] == word[:-1]) & (rows[1:] == rows[:-1])
+        own[full, DIMS + 4] = np.bincount(rows, again, minlength=len(count))[full] / n
+    return pooled
+
 
+def _pool(vectors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in pieces(batch.column(1), 1 << 19):
-                word, cut = word_classes(data, offsets)
-                count = np.diff(cut)
-                pooled = np.zeros((last - first, FEATURES), np.float32)
-                full = np.flatnonzero(count)
-                if len(full):
-                    rows = np.repeat(np.arange(len(count)), count)
-                    pooled[full, :DIMS] = np.add.reduceat(vectors[word], cut[full], axis=0) / count[full, None]
-                    pooled[full, DIMS] = np.linalg.norm(pooled[full, :DIMS], axis=1)
-                    pooled[:, DIMS + 1] = np.log1p(count)
-                    pairs = np.unique(rows * BUCKETS + word)
-                    pooled[full, DIMS + 2] = np.bincount(pairs // BUCKETS, minlength=len(count))[full] / count[full]
-                    pooled[full, DIMS + 3] = np.diff(offsets)[full] / count[full] / 10
-                    again = np.zeros(len(word))
-                    again[1:] = (word[1:] == word[:-1]) & (rows[1:] == rows[:-1])
-                    pooled[full, DIMS + 4] = np.bincount(rows, again, minlength=len(count))[full] / count[full]
-                features = pa.array([x.tobytes() for x in pooled], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), features], schema=out)
+            blobs = pa.array([x.tobytes() for x in features(vectors, batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["doc_id", "features"])
 
     return run
 
@@ -192,6 +198,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     empty and has a score too. Null labels are ignored; a label joins every row of its id. Without labels
     of both values the score is their share.
     """
+    _, network, pooled = fit(docs, labels, id_col, text_col, label_col, sample)
+    scored = pooled.mapInArrow(_score(network), "doc_id long, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, Network, DataFrame]:
+    """(word vectors, network, features of all rows)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     vectors = word_vectors(rows)
     pooled = written(rows.mapInArrow(_pool(vectors), "doc_id long, features binary"), "pooled")
@@ -201,5 +214,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     x = np.frombuffer(b"".join(r.features for r in taken), np.float32).reshape(-1, FEATURES)
     y = np.array([r.label for r in taken], np.int64)
     late = np.array([r.at % 5 == 0 for r in taken], bool)
-    scored = pooled.mapInArrow(_score(Network(x, y, late)), "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return vectors, Network(x, y, late), pooled
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``; fitted as in score_quality, no shuffle of texts."""
+    vectors, network, _ = fit(docs, labels, id_col, text_col, label_col, sample)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(network.score(features(vectors, batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.llm import boilerplate, decontaminate, fingerprints, ngram_join, quality, secrets, suffix_dedup
+import corpus_pipeline
+from veilgrain.llm import (
+    boilerplate,
+    decontaminate,
+    fingerprints,
+    languages,
+    licenses,
+    ngram_join,
+    packing,
+    quality,
+    secrets,
+    suffix_dedup,
+)
 
 Q, SQL = {}, {}
 
@@ -85,3 +97,28 @@ select doc_id, source, coalesce(len(lines), 0) as n_lines, coalesce(len(lines) -
   array_to_string(kept, chr(10)) as text
 from k
 """
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents")).drop("text_key")
+
+
+@query
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with all evidence, and documents with the evidence that they have: text and source."""
+    docs = table(spark, folder, "documents")
+    model = languages.text_model(languages.learning_rows(docs))
+    pages = languages.identify(languages.page_rows(table(spark, folder, "pages")), model, ["page_id"])
+    own = languages.identify(languages.document_rows(docs), model, ["doc_id"], markup=False)
+    return own.withColumn("page_id", F.lit(None).cast("long")).unionByName(pages.withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@query
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
