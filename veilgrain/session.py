@@ -50,7 +50,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df, label: str):
+def written(df, label: str, compression: str = "snappy"):
     """Materialise ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several consumers or a loop: it cuts the lineage
@@ -58,5 +58,5 @@ def written(df, label: str):
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
