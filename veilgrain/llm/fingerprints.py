@@ -223,7 +223,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.desc_nulls_last("doc_id"), F.col("tie")]
     ranges = rows.repartitionByRange(max(1, math.ceil(total / RANGE_BYTES)), *order).sortWithinPartitions(*order)
-    done = written(ranges.select("doc_id", "text").mapInArrow(_walk, COLUMNS + ", part int, edge string, text string"), "ranges")
+    done = written(ranges.select("doc_id", "text").mapInArrow(_walk, COLUMNS + ", part int, edge string, text string"), "ranges", compression="zstd")
     ends = done.where("edge is not null")
     parts = sorted(r.part for r in ends.where("edge = 'first'").select("part").collect())
     turn = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, after int")
