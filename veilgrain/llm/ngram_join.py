@@ -52,7 +52,13 @@ class Plan:
         self.lows, self.highs = np.array(lows[:-1]), np.array(highs)
         reach = 100 * self.highs // percent
         differ = (100 - percent) * (self.highs + reach) // (100 + percent)
-        self.spare = np.where(differ > 0, 3 + differ // 50, 0)
+        # cells left empty by the smallest set of a class and four standard deviations; small sets have few cells anyway
+        spare = np.zeros(len(differ))
+        for _ in range(20):
+            cells = differ + 1 + spare
+            empty = cells * np.exp(-self.lows / cells)
+            spare = np.minimum(np.ceil(3 + empty + 4 * np.sqrt(empty)), np.maximum(3, differ // 2))
+        self.spare = np.where(differ > 0, spare, 0).astype(np.int64)
         self.cells = np.where(differ > 0, differ + 1 + self.spare, 0)
         self.reach = reach
 
