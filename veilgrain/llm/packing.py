@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
@@ -25,6 +26,7 @@ from veilgrain.session import written
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 GROUP_ROWS = 20_000
+BATCH_CHARS = 1 << 21
 
 
 def best_fit(sizes: Sequence[int], opening: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], int]:
@@ -114,13 +116,37 @@ def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, over
     return cut.withColumn("part", part).groupBy("part").applyInArrow(_group(capacities, overhead), OUT_SQL)
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PART_SQL = "bin string, capacity int, used int, slot int, doc_id long, text string"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document as texts."""
+    schema = pa.schema([("bin", pa.string()), ("capacity", pa.int32()), ("used", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        rows, size = [], 0
+        for doc_id, text, pieces in zip(*batch.columns, strict=True):
+            words = _WORD.findall(text.as_py())
+            for p in pieces.as_py():
+                part = " ".join(words[p["first_word"] : p["first_word"] + p["n_words"]])
+                rows.append((p["bin"], p["capacity"], p["used"], p["slot"], doc_id.as_py(), part))
+                size += len(part)
+            if size > BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+
+
 def sequences(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bin, capacity, used, doc_ids, text): the packed sequences, pieces in order and joined by a newline."""
+    """(bin, capacity, used, doc_ids, text): the packed sequences, pieces in order and joined by a newline.
+
+    Texts are shuffled once to their places and once to their bins; a bin is bounded by its length.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("k"), words.alias("w")).dropDuplicates(["d", "k"])
-    joined = placed.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    piece = F.array_join(F.slice("w", F.col("first_word") + 1, F.col("n_words")), " ")
-    rows = joined.select("bin", "capacity", "used", F.struct("slot", "doc_id", piece.alias("text")).alias("p"))
-    bins = rows.groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
+    places = placed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("bin", "capacity", "used", "slot", "first_word", "n_words")).alias("pieces"))
+    match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+    parts = rows.join(places.hint("shuffle_hash"), match).select("doc_id", "text", "pieces").mapInArrow(_cut, PART_SQL)
+    # equal rows bring the same pieces twice; a slot is one place
+    bins = parts.groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_set(F.struct("slot", "doc_id", "text"))).alias("p"))
     return bins.select("bin", "capacity", "used", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", "\n").alias("text"))
