@@ -113,13 +113,13 @@ def signatures(hashes: np.ndarray, firsts: np.ndarray, plan: Plan) -> tuple[np.n
         found.append(mix(total + mix(code)))
         owner.append(r)
         full = np.bincount(r, minlength=len(counts))
-        for row in np.flatnonzero(on & (k - full > plan.spare[use])):
-            empty = np.setdiff1d(np.arange(k[row], dtype=np.uint64), cell[r == row])
-            some = np.array(list(itertools.combinations(empty.tolist(), int(plan.spare[use[row]]) + 1)), np.uint64)
-            weights = mix(np.arange(1, some.shape[1] + 1, dtype=np.uint64))
-            value = (mix(some + np.uint64(7)) * weights).sum(axis=1, dtype=np.uint64) + mix(np.array([use[row]], np.uint64))
-            found.append(mix(value))
-            owner.append(np.full(len(value), row))
+        # where more cells are empty than there are to spare, the equal ones of two such sets may
+        # all be empty; these sets also share one of their least elements
+        sparse = on & (k - full > plan.spare[use])
+        place = np.arange(len(hashes)) - firsts[rows]
+        least = np.flatnonzero(sparse[rows] & (place <= counts[rows] + -plan.percent * counts[rows] // 100))
+        found.append(mix(spread[least] + mix(use[rows[least]].astype(np.uint64) + np.uint64(1 << 40))))
+        owner.append(rows[least])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(owner)
