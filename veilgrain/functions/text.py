@@ -193,16 +193,20 @@ def unescape_unicode(value: Column) -> Column:
     return F.when(value.rlike(_ESCAPE), joined)
 
 
-def base64_text(value: Column, min_len: int = 4, max_len: int = 8192) -> Column:
-    """Text hidden in a base64 string, or NULL when it does not look like one."""
+def base64_text(value: Column, min_len: int = 4) -> Column:
+    """Text hidden in a base64 string of any length, or NULL when it does not look like one.
+
+    Bytes that are valid UTF-8 are read as such, others as Latin-1.
+    """
     packed = F.regexp_replace(value, r"\s+", "")
     fits = (
-        F.length(packed).between(min_len, max_len)
+        (F.length(packed) >= min_len)
         & packed.rlike(r"^[A-Za-z0-9+/=_-]+$")
     )
     standard = F.translate(packed, "-_", "+/")
     padded = F.rpad(standard, (F.ceil(F.length(standard) / F.lit(4)) * 4).cast("int"), F.lit("="))
-    plain = F.decode(F.try_to_binary(F.when(fits, padded), F.lit("base64")), "ISO-8859-1")
+    data = F.try_to_binary(F.when(fits, padded), F.lit("base64"))
+    plain = F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "ISO-8859-1"))
     return F.when(plain.rlike(r"[\x20-\x7E]{3,}"), plain)
 
 

@@ -207,7 +207,9 @@ def judge_actions(actions: DataFrame, anchors: DataFrame, nodes: DataFrame, comp
     )
     forbidden = screen.forbidden_any(F.col("_reason"), F.col("_value"), screen.class_terms(compat))
     scheme = nav & screen.scheme_hit(F.col("_value"), compat)
-    foreign = nav & ~screen.scheme_hit(F.col("_value"), compat) & ~F.contains(F.col("_value"), F.col("_ndomain"))
+    # A task without an allowed domain may go nowhere.
+    at_home = F.coalesce((F.col("_ndomain") != "") & F.contains(F.col("_value"), F.col("_ndomain")), F.lit(False))
+    foreign = nav & ~screen.scheme_hit(F.col("_value"), compat) & ~at_home
     conflict = has_node & _conflict(
         F.col("_goal"),
         F.col("action"),
@@ -217,7 +219,7 @@ def judge_actions(actions: DataFrame, anchors: DataFrame, nodes: DataFrame, comp
     hard = (
         F.when(F.col("_task").isNull(), "TASK_MISMATCH")
         .when(~F.coalesce(origin_ok, F.lit(False)), "ORIGIN_HIJACK")
-        .when(~F.col("action").isin(*K.PERMITTED_ACTIONS), "ACTION_TYPE")
+        .when(~F.coalesce(F.col("action").isin(*K.PERMITTED_ACTIONS), F.lit(False)), "ACTION_TYPE")
         .when(~has_node & ~F.col("action").isin("WAIT", "SCROLL"), "STALE_TARGET")
     )
     soft = (
@@ -348,26 +350,29 @@ def verify_tokens(uses: DataFrame, secret: str) -> DataFrame:
     first valid use per token is a map-side combined ``min``.
     """
     t = {c: F.col(f"t_{c}") for c in TOKEN_COLUMNS}
-    required = [t[c] for c in ("action_id", "task_id", "action", "origin", "signature", "issued_ts", "expires_ts")]
+    fields = ("action_id", "task_id", "action", "origin", "decision", "confirmed", "signature", "issued_ts", "expires_ts")
+    required = [t[c] for c in fields]
     malformed = F.lit(False)
     for column in required:
         malformed = malformed | column.isNull() | (column.cast("string") == "")
-    checks = (
-        ("MISSING", t["token_id"].isNull()),
-        ("MALFORMED", malformed),
-        ("BAD_WINDOW", t["expires_ts"] <= t["issued_ts"]),
-        ("BAD_SIGNATURE", t["signature"] != token_signature(secret, X.normalise_origin(t["origin"]), "t_")),
-        ("EXPIRED", F.col("use_ts") > t["expires_ts"]),
-        ("TASK_MISMATCH", t["task_id"] != F.col("task_id")),
-        ("ACTION_MISMATCH", t["action_id"] != F.col("action_id")),
-        ("TYPE_MISMATCH", t["action"] != F.col("action")),
-        ("NODE_MISMATCH", ~F.coalesce(t["node_id"], F.lit("")).eqNullSafe(F.coalesce("node_id", F.lit("")))),
-        ("ORIGIN_MISMATCH", ~origin_match(F.col("live_origin"), t["origin"])),
-        ("UNCONFIRMED", (t["decision"] == "CONFIRM") & ~t["confirmed"]),
+    # What must be true; an unknown answer fails like a wrong one.
+    demands = (
+        ("MISSING", t["token_id"].isNotNull()),
+        ("MALFORMED", ~malformed),
+        ("BAD_WINDOW", t["expires_ts"] > t["issued_ts"]),
+        ("BAD_SIGNATURE", t["signature"].eqNullSafe(token_signature(secret, X.normalise_origin(t["origin"]), "t_"))),
+        ("EXPIRED", F.col("use_ts") <= t["expires_ts"]),
+        ("TASK_MISMATCH", t["task_id"].eqNullSafe(F.col("task_id"))),
+        ("ACTION_MISMATCH", t["action_id"].eqNullSafe(F.col("action_id"))),
+        ("TYPE_MISMATCH", t["action"].eqNullSafe(F.col("action"))),
+        ("NODE_MISMATCH", F.coalesce(t["node_id"], F.lit("")).eqNullSafe(F.coalesce("node_id", F.lit("")))),
+        ("ORIGIN_MISMATCH", origin_match(F.col("live_origin"), t["origin"])),
+        ("UNCONFIRMED", (t["decision"] != "CONFIRM") | t["confirmed"]),
     )
     chain = None
-    for name, cond in checks:
-        chain = F.when(cond, name) if chain is None else chain.when(cond, name)
+    for name, demand in demands:
+        fails = ~F.coalesce(demand, F.lit(False))
+        chain = F.when(fails, name) if chain is None else chain.when(fails, name)
     tested = uses.withColumn("_fault", chain)
     first = (
         tested.filter(F.col("_fault").isNull())
@@ -440,11 +445,11 @@ def capture_integrity(requests: DataFrame, pre: DataFrame, post: DataFrame) -> D
         F.when(F.col("sender_tab_id").isNull(), "NO_SENDER")
         .when(F.col("claimed_tab_id").isNotNull() & (F.col("claimed_tab_id") != F.col("sender_tab_id")), "SPOOFED_TAB")
         .when(~F.col("_pre_tab_id").eqNullSafe(F.col("sender_tab_id")), "PRE_TAB")
-        .when(~F.col("_pre_active"), "PRE_INACTIVE")
+        .when(~F.coalesce("_pre_active", F.lit(False)), "PRE_INACTIVE")
         .when(wrong_window("pre"), "PRE_WINDOW")
         .when(wrong_origin("pre"), "PRE_ORIGIN")
         .when(~F.col("_post_tab_id").eqNullSafe(F.col("sender_tab_id")), "POST_TAB")
-        .when(~F.col("_post_active"), "POST_INACTIVE")
+        .when(~F.coalesce("_post_active", F.lit(False)), "POST_INACTIVE")
         .when(wrong_window("post"), "POST_WINDOW")
         .when(wrong_origin("post"), "POST_ORIGIN")
         .otherwise("OK")

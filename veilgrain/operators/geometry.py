@@ -685,17 +685,19 @@ def redaction_coverage(pii: DataFrame, pad: int = 2, vp_w: int = 800, vp_h: int
     """Area truly sensitive against area filled (with padding), per image.
 
     Boxes are expected to be disjoint (merge them first), as in the definition.
+    A box outside of the viewport fills nothing; an image where nothing is filled has no precision.
     """
     x, y, w, h = B.box()
     px, py = F.greatest(F.lit(0), x - pad), F.greatest(F.lit(0), y - pad)
-    filled = F.least(vp_w - px, w + 2 * pad) * F.least(vp_h - py, h + 2 * pad)
+    wide, high = F.least(vp_w - px, w + 2 * pad), F.least(vp_h - py, h + 2 * pad)
+    filled = F.greatest(F.lit(0), wide) * F.greatest(F.lit(0), high)
     sums = pii.groupBy("image_id").agg(F.sum(w * h).alias("sensitive"), F.sum(filled).alias("filled"))
     benign = vp_w * vp_h - F.col("sensitive")
     return sums.select(
         "image_id",
         "sensitive",
         "filled",
-        F.round(F.least(F.col("sensitive"), F.col("filled")) / F.col("filled"), 6).alias("precision"),
+        F.round(F.least(F.col("sensitive"), F.col("filled")) / F.nullif(F.col("filled"), F.lit(0)), 6).alias("precision"),
         F.round(F.least(F.col("sensitive"), F.col("filled")) / F.col("sensitive"), 6).alias("recall"),
         F.when(benign > 0, F.round((F.col("filled") - F.col("sensitive")) / benign, 6)).alias("over_redaction"),
     )

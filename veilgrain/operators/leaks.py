@@ -46,12 +46,13 @@ def string_variants(payloads: DataFrame, text: str = "text", layers: int = 2) ->
 
 
 def sensitive_targets(entities: DataFrame, by: str = "task_id") -> DataFrame:
-    """Lower-cased raw, base64 and percent-encoded forms of what must not go out."""
+    """Lower-cased raw, base64 (both encodings) and percent-encoded forms of what must not go out."""
     value = X.js_trim(F.col("raw_value"))
     latin = value.rlike(r"^[\x{00}-\x{ff}]*$")
     forms = F.array(
         value,
         X.base64_of(F.encode(F.when(latin, value), "ISO-8859-1")),
+        X.base64_of(F.encode(value, "UTF-8")),
         X.uri_component(value),
     )
     wanted = entities.filter(
@@ -182,8 +183,8 @@ def check_attestations(images: DataFrame, attestations: DataFrame, keys: list[st
         .when(F.col("state") == "VISUAL_PRIVACY_UNVERIFIED", "STATE_UNVERIFIED")
         .when(F.col("_status").isNull() | (F.col("_status") != "SANITIZED"), "NOT_SANITIZED")
         .when(~F.col("_digest").eqNullSafe(F.sha2("image", 256)), "DIGEST_MISMATCH")
-        .when(F.col("_task") != F.col("task_id"), "WRONG_TASK")
-        .when(F.col("_capture") != F.col("capture_id"), "WRONG_CAPTURE")
+        .when(~F.col("_task").eqNullSafe(F.col("task_id")), "WRONG_TASK")
+        .when(~F.col("_capture").eqNullSafe(F.col("capture_id")), "WRONG_CAPTURE")
         .otherwise("OK")
     )
     return (

@@ -168,8 +168,15 @@ def build_vault(
 
 def tokenise(entities: DataFrame, vault: DataFrame) -> DataFrame:
     """Put the token on every TOKENIZE row."""
-    scope = ["task_id", "origin", "raw_value"]
-    joined = entities.join(vault.select(*scope, F.col("token").alias("_token")), scope, "left")
+    held = vault.select(
+        F.col("task_id").alias("_task"), F.col("origin").alias("_origin"), F.col("raw_value").alias("_raw"), F.col("token").alias("_token")
+    )
+    same = (
+        F.col("task_id").eqNullSafe(F.col("_task"))
+        & F.col("origin").eqNullSafe(F.col("_origin"))
+        & F.col("raw_value").eqNullSafe(F.col("_raw"))
+    )
+    joined = entities.join(held, same, "left").drop("_task", "_origin", "_raw")
     return joined.withColumn("token", F.when(F.col("treatment") == "TOKENIZE", F.col("_token"))).drop("_token")
 
 

@@ -288,7 +288,7 @@ Q["redaction_coverage_disjoint"] = lambda spark, d: G.redaction_coverage(
 )
 SQL["redaction_coverage_disjoint"] = V.with_views(
     ["boxes_gt"],
-    """SELECT image_id, CAST(s AS BIGINT) AS sensitive, CAST(f AS BIGINT) AS filled, round(least(s, f) / f, 6) AS precision, round(least(s, f) / s, 6) AS recall,
+    """SELECT image_id, CAST(s AS BIGINT) AS sensitive, CAST(f AS BIGINT) AS filled, round(least(s, f) / nullif(f, 0), 6) AS precision, round(least(s, f) / s, 6) AS recall,
       CASE WHEN 1440000 - s > 0 THEN round((f - s) / (1440000 - s), 6) END AS over_redaction FROM (
-      SELECT image_id, sum(w * h) AS s, sum(least(1600 - greatest(0, x - 2), w + 4) * least(900 - greatest(0, y - 2), h + 4)) AS f FROM boxes_gt WHERE cls = 3 GROUP BY image_id)""",
+      SELECT image_id, sum(w * h) AS s, sum(greatest(0, least(1600 - greatest(0, x - 2), w + 4)) * greatest(0, least(900 - greatest(0, y - 2), h + 4))) AS f FROM boxes_gt WHERE cls = 3 GROUP BY image_id)""",
 )

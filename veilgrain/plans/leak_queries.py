@@ -198,11 +198,10 @@ def _report(spark, d):
 
 
 Q["boundary_report"] = lambda spark, d: _report(spark, d)[1].drop("leaks")
-# A base64 payload longer than 8192 characters is not decoded, by definition.
 _REPORT = {
     **P.REDACTED,
     "outgoing": """SELECT doc_id AS task_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN to_base64(encode(text)) ELSE redacted END AS text,
-        CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN CASE WHEN length(to_base64(encode(text))) <= 8192 THEN text ELSE '' END ELSE redacted END AS plain
+        CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN text ELSE redacted END AS plain
       FROM texts_synth JOIN redacted USING (doc_id)""",
     "report_targets": _targets_sql("decided"),
     "bad": """SELECT DISTINCT task_id FROM outgoing JOIN report_targets USING (task_id) WHERE contains(lower(text), target)

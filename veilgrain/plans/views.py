@@ -302,7 +302,7 @@ def perturbed(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings")
     shift = F.when(F.col("vec_id") % 7 == 0, 0.1).when(F.col("vec_id") % 4 == 0, 1e-4).otherwise(0.0)
     first = F.array(F.col("embedding")[0].cast("double") + shift)
-    rest = F.transform(F.slice("embedding", 2, 10000), lambda v: v.cast("double"))
+    rest = F.transform(F.slice("embedding", F.lit(2), F.greatest(F.lit(0), F.size("embedding") - 1)), lambda v: v.cast("double"))
     return emb.select("vec_id", F.concat(first, rest).alias("v"))
 
 
