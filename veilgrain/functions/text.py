@@ -171,10 +171,11 @@ def percent_decode(value: Column) -> Column:
     return F.when(value.contains("%"), F.when(~broken, decoded))
 
 
-# One \uXXXX outside the surrogate range, or a surrogate pair.
+# One \uXXXX outside the surrogate range, or a surrogate pair. Longer runs fall into
+# adjoining matches: the pattern engine recurses once per repetition.
 _ESCAPE = (
     r"(?:\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
-    r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})+"
+    r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}){1,500}"
 )
 
 

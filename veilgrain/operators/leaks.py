@@ -7,42 +7,59 @@ from pyspark.sql import functions as F
 
 from veilgrain import constants as K
 from veilgrain.functions import text as X
+from veilgrain.session import written
 
 
 def payload_strings(payload: Column) -> Column:
     """Every string of a JSON text, keys included, at any depth; else the text itself.
 
     String literals are cut out of the JSON source and unescaped, so no depth,
-    array or key limit is needed.
+    array or key limit is needed. Escaped backslashes and quotes are set aside as
+    control characters, which valid JSON cannot hold, so that quotes alternate;
+    a pattern for literals would recurse once per letter.
     """
     is_json = payload.rlike(r"^\s*[\[{]") & F.try_parse_json(payload).isNotNull()
-    literals = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
-    plain = F.from_json(
-        F.concat(F.lit("["), F.array_join(literals, ","), F.lit("]")), "array<string>"
-    )
-    return F.when(is_json, plain).otherwise(F.array(payload))
+    backslash, quote = F.lit("\\\\"), F.lit('\\"')
+    hidden = F.replace(F.replace(payload, backslash, F.lit("\x01")), quote, F.lit("\x02"))
+    literals = F.filter(F.split(hidden, '"', -1), lambda _, i: i % 2 == 1)
+    shown = F.replace(F.replace(F.array_join(literals, '","'), F.lit("\x02"), quote), F.lit("\x01"), backslash)
+    listed = F.when(F.size(literals) > 0, F.concat(F.lit('["'), shown, F.lit('"]'))).otherwise("[]")
+    plain = F.from_json(listed, "array<string>")
+    return F.coalesce(F.when(is_json, plain), F.array(payload))
 
 
-def string_variants(payloads: DataFrame, text: str = "text", layers: int = 2) -> DataFrame:
+def string_variants(payloads: DataFrame, text: str = "text", layers: int = 5) -> DataFrame:
     """One row per distinct reading of each string: as is and decoded.
 
     A layer tries percent-decoding, then ``\\u`` escapes, then base64, each on
-    the result so far. Every step is its own column, so it is computed once.
+    the result so far; a layer is only tried when the one before it changed
+    something. Every step is its own column, so it is computed once.
+    ``undecoded`` marks strings that could be decoded further still: nothing is
+    known about those, so ``outgoing_findings`` reports them.
     """
+    decoders = (("p", X.percent_decode), ("u", X.unescape_unicode), ("b", X.base64_text))
+
+    def changed(decode, cur: Column) -> Column:
+        got = decode(cur)
+        return F.when((got != cur) & (got != ""), got)
+
     df = payloads.withColumn("_cur", F.col(text))
     steps: list[str] = []
+    more = F.lit(True)
     for layer in range(1, layers + 1):
-        for name, decode in (("p", X.percent_decode), ("u", X.unescape_unicode), ("b", X.base64_text)):
-            step = f"_{name}{layer}"
-            got = decode(F.col("_cur"))
-            changed = F.when((got != F.col("_cur")) & (got != ""), got)
-            df = df.withColumn(step, changed).withColumn("_cur", F.coalesce(step, "_cur"))
-            steps.append(step)
+        names = [f"_{name}{layer}" for name, _ in decoders]
+        for step, (_, decode) in zip(names, decoders):
+            df = df.withColumn(step, F.when(more, changed(decode, F.col("_cur")))).withColumn("_cur", F.coalesce(step, "_cur"))
+        steps += names
+        more = F.coalesce(*names).isNotNull()
+    rest = F.coalesce(*[changed(decode, F.col("_cur")) for _, decode in decoders]).isNotNull()
     readings = F.array_distinct(
         F.filter(F.array(F.col(text), *[F.col(s) for s in steps]), lambda v: v.isNotNull())
     )
     kept = [c for c in payloads.columns if c != text]
-    return df.select(*kept, F.posexplode(readings).alias("variant_ord", "variant"))
+    return df.withColumn("undecoded", more & rest).select(
+        *kept, "undecoded", F.posexplode(readings).alias("variant_ord", "variant")
+    )
 
 
 def sensitive_targets(entities: DataFrame, by: str = "task_id") -> DataFrame:
@@ -81,35 +98,28 @@ def _searchable(variant: Column, compat: bool) -> Column:
     return F.lower(F.regexp_replace(variant, _MARKS, "\n"))
 
 
-def hot_tasks(payloads: DataFrame, targets: DataFrame, by: str = "task_id", budget: int = 4_000_000) -> DataFrame:
-    """Tasks whose payload strings times targets exceed ``budget`` comparisons."""
-    p = payloads.groupBy(by).agg(F.count("*").alias("p"))
-    t = targets.groupBy(by).agg(F.count("*").alias("t"))
-    return p.join(t, by).filter(F.col("p") * F.col("t") > budget).select(by)
-
-
 def find_leaks(
-    variants: DataFrame, targets: DataFrame, by: str = "task_id", compat: bool = False,
-    hot: DataFrame | None = None,
+    variants: DataFrame, targets: DataFrame, by: str = "task_id", compat: bool = False
 ) -> DataFrame:
     """Variants that contain a target of the same task.
 
-    The join key is the task. Tasks listed in ``hot`` (see ``hot_tasks``) are
-    joined on task and three-letter gram instead: a target is looked up by its
-    first gram in the distinct grams of a variant, which is exact because every
-    target has three letters or more, and it spreads one task over many keys.
+    A target has three letters or more, so it is looked up by its first three:
+    each task's distinct first grams (a set bounded by the alphabet, not by the
+    rows) select those grams of a variant that can start a target, and the pairs
+    are formed on (task, gram). One busy task thus spreads over many keys.
     """
-    v = variants.withColumn("_text", _searchable(F.col("variant"), compat))
-    hit = F.contains(F.col("_text"), F.col("target"))
-    if hot is None:
-        return v.join(targets, by).filter(hit).drop("_text")
-    calm = v.join(hot, by, "left_anti").join(targets, by).filter(hit).drop("_text")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - 2))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_text"), i, F.lit(3))))
-    busy = v.join(hot, by, "left_semi").withColumn("_gram", F.explode(grams))
-    keyed = targets.join(hot, by, "left_semi").withColumn("_gram", F.substring("target", 1, 3))
-    crowded = busy.join(keyed, [by, "_gram"]).filter(hit).drop("_text", "_gram")
-    return calm.unionByName(crowded)
+    keyed = targets.withColumn("_gram", F.substring("target", 1, 3))
+    wanted = keyed.select(by, "_gram").distinct().groupBy(by).agg(F.collect_list("_gram").alias("_wanted"))
+    letters = F.split("_text", "")
+    grams = F.transform("_letters", lambda c, i: F.concat(c, F.get("_letters", i + 1), F.get("_letters", i + 2)))
+    found = (
+        variants.withColumn("_text", _searchable(F.col("variant"), compat))
+        .join(wanted, by)
+        .withColumn("_letters", letters)
+        .withColumn("_gram", F.explode(F.array_intersect(grams, "_wanted")))
+        .drop("_letters", "_wanted")
+    )
+    return found.join(keyed, [by, "_gram"]).filter(F.contains(F.col("_text"), F.col("target"))).drop("_text", "_gram")
 
 
 def _candidates(text: Column) -> Column:
@@ -194,26 +204,63 @@ def check_attestations(images: DataFrame, attestations: DataFrame, keys: list[st
     )
 
 
+def outgoing_findings(payloads: DataFrame, entities: DataFrame, by: str = "task_id", text: str = "text") -> DataFrame:
+    """Everything that speaks against sending: rows ``by, variant_ord, finding``.
+
+    All strings of a payload are read in all their encodings. ``VALUE`` is a raw
+    or encoded value of the task, ``PATTERN`` a differently written one,
+    ``IMAGE`` an embedded picture, ``UNDECODED`` a string encoded too deeply to
+    be judged. The readings feed three searches, so they are written once.
+    """
+    strings = payloads.select(by, F.explode(payload_strings(F.col(text))).alias(text))
+    variants = written(string_variants(strings, text), "readings")
+
+    def named(rows: DataFrame, finding: str) -> DataFrame:
+        return rows.select(by, "variant_ord", F.lit(finding).alias("finding"))
+
+    marks = F.array_compact(
+        F.array(F.when(F.col("embedded_blob"), "IMAGE"), F.when(F.col("undecoded"), "UNDECODED"))
+    )
+    flagged = embedded_blob_flag(variants, "variant").select(by, "variant_ord", F.explode(marks).alias("finding"))
+    return (
+        named(find_leaks(variants, sensitive_targets(entities, by), by), "VALUE")
+        .unionByName(named(pattern_leaks(variants, entities, [by, "variant_ord"], "variant", [by]), "PATTERN"))
+        .unionByName(flagged)
+    )
+
+
 def boundary_report(
     counts: DataFrame, payloads: DataFrame, leaks: DataFrame, raw_sizes: DataFrame, by: str = "task_id",
-    text: str = "text",
+    text: str = "text", images: DataFrame | None = None,
 ) -> DataFrame:
     """One row per task: what was found, what leaks, and payload sizes.
 
-    Each input is reduced to one row per task before it is joined.
+    ``leaks`` are rows of ``outgoing_findings`` or ``find_leaks``; ``images`` those
+    of ``check_attestations``, whose refused bytes are gone already. A picture is
+    verified when there is one and none was refused. Each input is reduced to
+    one row per task before it is joined; payloads of no task are never clean.
     """
-    sent = payloads.groupBy(by).agg(F.sum(F.octet_length(text)).alias("sanitised_bytes"))
+    sent = payloads.groupBy(by).agg(F.sum(F.octet_length(text)).alias("_sent"))
     leaked = leaks.groupBy(by).agg(F.count("*").alias("leaks"))
     raw = raw_sizes.groupBy(by).agg(F.sum(F.length("raw_value")).alias("_raw"))
     joined = sent.join(counts, by, "left").join(leaked, by, "left").join(raw, by, "left")
+    if images is None:
+        joined = joined.withColumn("_seen", F.lit(False)).withColumn("_image", F.lit(0))
+    else:
+        seen = images.filter(F.col("verdict") != "NO_IMAGE").groupBy(by).agg(
+            F.bool_and(F.col("verdict") == "OK").alias("_seen"), F.sum(F.octet_length("image")).alias("_image")
+        )
+        joined = joined.join(seen, by, "left")
     numbers = [c for c in counts.columns if c != by]
+    size = F.coalesce("_sent", F.lit(0)) + F.coalesce("_image", F.lit(0))
     return joined.select(
         by,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers],
         F.coalesce("leaks", F.lit(0)).alias("leaks"),
-        F.col("leaks").isNull().alias("zero_raw_pii"),
-        "sanitised_bytes",
-        (F.col("sanitised_bytes") + F.coalesce("_raw", F.lit(0))).alias("raw_bytes"),
+        (F.col("leaks").isNull() & F.col(by).isNotNull()).alias("zero_raw_pii"),
+        F.coalesce("_seen", F.lit(False)).alias("visual_redaction_verified"),
+        size.alias("sanitised_bytes"),
+        (size + F.coalesce("_raw", F.lit(0))).alias("raw_bytes"),
     )
 
 
@@ -227,8 +274,15 @@ def report_details(entities: DataFrame, leaks: DataFrame, by: str = "task_id") -
         .when(t == "LOCAL_ONLY", "kept local")
         .otherwise("abstracted")
     )
+    named = {
+        "PATTERN": "differently written value", "IMAGE": "embedded picture", "UNDECODED": "string encoded too deeply",
+    }
+    what_leaks = F.lit("raw or encoded value")
+    if "finding" in leaks.columns:
+        for finding, words in named.items():
+            what_leaks = F.when(F.col("finding") == finding, words).otherwise(what_leaks)
     decided = entities.select(by, F.concat_ws(" ", "kind", what).alias("detail"))
-    found = leaks.select(by, F.concat(F.lit("raw or encoded value in variant "), F.col("variant_ord").cast("string")).alias("detail"))
+    found = leaks.select(by, F.concat(what_leaks, F.lit(" in variant "), F.col("variant_ord").cast("string")).alias("detail"))
     return decided.unionByName(found)
 
 

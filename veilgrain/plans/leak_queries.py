@@ -14,13 +14,14 @@ from veilgrain.plans.entity_sql import entities_sql, region_sql
 Q = {}
 SQL = {}
 
-# Encodings of one address appended to conversation turns by (conv_id + turn) % 6.
+# Encodings of one address appended to conversation turns by (conv_id + turn) % 7.
 ENCODED = (
     "ann.lee@site.example",
     "ann.lee%40site.example",
     "\\u0061nn.lee@site.example",
     "YW5uLmxlZUBzaXRlLmV4YW1wbGU=",
     "%59W5uLmxlZUBzaXRlLmV4YW1wbGU%3D",
+    "V1ZjMWRVeHRlR3hhVlVKNllWaFNiRXh0VmpSWlZ6RjNZa2RWUFE9PQ==",  # base64 three times
     "nothing here.",
 )
 
@@ -28,27 +29,32 @@ ENCODED = (
 def _payloads(spark, d):
     """Turns: the text itself in one string, an encoded value alone in another."""
     conv = V.table(spark, d, "conversations")
-    code = V._pick(ENCODED, (F.col("conv_id") + F.col("turn")) % 6)
+    code = V._pick(ENCODED, (F.col("conv_id") + F.col("turn")) % len(ENCODED))
     both = F.array(F.concat(F.col("text"), F.lit(" mail "), code), code)
     return conv.select(F.col("conv_id").alias("task_id"), "turn", F.posexplode(both).alias("part", "text"))
 
 
-_CODE = V._case(ENCODED, "(conv_id + turn) % 6")
-# Fixed readings of the fixed encodings, spelled out for the check.
+_CODE = V._case(ENCODED, f"(conv_id + turn) % {len(ENCODED)}")
 _PAYLOADS = f"""SELECT conv_id AS task_id, turn, CAST(part AS INTEGER) AS part, code,
     CASE part WHEN 0 THEN text || ' mail ' || code ELSE code END AS text, text AS body
   FROM (SELECT *, {_CODE} AS code FROM conversations), (SELECT unnest([0, 1]) AS part)"""
-_VARIANTS = """SELECT task_id, turn, part, CAST(variant_ord - 1 AS INTEGER) AS variant_ord, vs[variant_ord] AS variant FROM (
-    SELECT *, unnest(range(1, len(vs) + 1)) AS variant_ord FROM (SELECT task_id, turn, part, CASE
-      WHEN part = 0 AND code = 'ann.lee%40site.example' THEN [text, body || ' mail ann.lee@site.example']
-      WHEN part = 0 AND code LIKE '_u0061%' THEN [text, body || ' mail ann.lee@site.example']
-      WHEN part = 0 AND code LIKE '|%59%' ESCAPE '|' THEN [text, body || ' mail YW5uLmxlZUBzaXRlLmV4YW1wbGU=']
-      WHEN part = 1 AND code = 'ann.lee%40site.example' THEN [text, 'ann.lee@site.example']
-      WHEN part = 1 AND code LIKE '_u0061%' THEN [text, 'ann.lee@site.example']
-      WHEN part = 1 AND code LIKE 'YW5u%' THEN [text, 'ann.lee@site.example']
-      WHEN part = 1 AND code LIKE '|%59%' ESCAPE '|' THEN [text, 'YW5uLmxlZUBzaXRlLmV4YW1wbGU=', 'ann.lee@site.example']
-      ELSE [text] END AS vs FROM payloads))"""
-VARIANTS = {"payloads": _PAYLOADS, "variants": _VARIANTS}
+
+
+def _readings_sql(source: str, keys: str) -> str:
+    """Readings of ``source.text``, one decoding step a round, as rows of ``steps``."""
+    packed = r"regexp_replace(cur, '\s+', '', 'g')"
+    bare = f"rtrim(translate({packed}, '-_', '+/'), '=')"
+    b64 = f"""CASE WHEN length({packed}) >= 4 AND regexp_full_match({packed}, '[A-Za-z0-9+/=_-]+')
+        THEN TRY(decode(from_base64(rpad({bare}, CAST(ceil(length({bare}) / 4.0) * 4 AS INTEGER), '=')))) END"""
+    return f"""SELECT {keys}, 0 AS step, 0 AS variant_ord, text AS cur, true AS fresh FROM {source} UNION ALL
+      SELECT {keys}, step + 1, variant_ord + CASE WHEN got IS NULL THEN 0 ELSE 1 END, coalesce(got, cur), got IS NOT NULL
+      FROM (SELECT *, nullif(nullif(CASE WHEN step % 3 = 2 AND NOT regexp_matches(raw, '[\x20-\x7E]{{3,}}') THEN NULL ELSE raw END, cur), '') AS got
+        FROM (SELECT *, CASE step % 3 WHEN 0 THEN CASE WHEN contains(cur, '%') THEN TRY(url_decode(cur)) END
+          WHEN 1 THEN replace(cur, '\\u0061', 'a') ELSE {b64} END AS raw FROM steps WHERE step < 15))"""
+
+
+_VARIANTS = "SELECT task_id, turn, part, false AS undecoded, CAST(variant_ord AS INTEGER) AS variant_ord, cur AS variant FROM steps WHERE fresh"
+VARIANTS = {"payloads": _PAYLOADS, "steps": _readings_sql("payloads", "task_id, turn, part"), "variants": _VARIANTS}
 
 Q["string_variants"] = lambda spark, d: leaks.string_variants(_payloads(spark, d))
 SQL["string_variants"] = V.with_views([], "SELECT * FROM variants", VARIANTS)
@@ -83,8 +89,7 @@ def _conversation_entities(spark, d):
 def find_leaks(spark, d):
     payloads = _payloads(spark, d)
     targets = leaks.sensitive_targets(_conversation_entities(spark, d))
-    hot = leaks.hot_tasks(payloads, targets, budget=200)
-    hits = leaks.find_leaks(leaks.string_variants(payloads), targets, hot=hot)
+    hits = leaks.find_leaks(leaks.string_variants(payloads), targets)
     return hits.select("task_id", "turn", "part", "variant_ord", "target")
 
 
@@ -110,11 +115,19 @@ def pattern_leaks(spark, d):
 
 
 Q["pattern_leaks"] = pattern_leaks
-def _cand(kind, pattern, expr):
-    return f"SELECT doc_id, '{kind}' AS kind, {expr} AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM texts_synth)"
+_DIG = "regexp_replace({}, '[^0-9]', '', 'g')"
 
 
-_DIG = "regexp_replace({}, '[^0-9]', '', 'g')"
+def _cand_in(source, key, column, kind, pattern, expr):
+    return f"SELECT {key}, '{kind}' AS kind, {expr} AS value FROM (SELECT {key}, unnest(regexp_extract_all({column}, '{pattern}')) AS m FROM {source})"
+
+
+_KINDS = (
+    ("EMAIL", K.EMAIL_PATTERN, "lower(m)"),
+    ("CREDIT_CARD", K.CARD_PATTERN, _DIG.format("m")),
+    ("GOVT_ID", K.PASSPORT_PATTERN, "m"),
+    ("PHONE", K.PHONE_PATTERN, _DIG.format("m")),
+)
 SQL["pattern_leaks"] = V.with_views(
     ["texts_synth", "regions"],
     "SELECT DISTINCT doc_id, kind, value FROM cand WHERE (kind, value) IN (SELECT (kind, value) FROM known) AND NOT (kind = 'CREDIT_CARD' AND length(value) NOT BETWEEN 13 AND 19)",
@@ -125,14 +138,7 @@ SQL["pattern_leaks"] = V.with_views(
         "known": f"""SELECT 'EMAIL' AS kind, lower(raw_value) AS value FROM owned WHERE treatment <> 'KEEP'
           UNION SELECT 'CREDIT_CARD', {_DIG.format('raw_value')} FROM owned UNION SELECT 'GOVT_ID', raw_value FROM owned
           UNION SELECT 'PHONE', {_DIG.format('raw_value')} FROM owned""",
-        "cand": " UNION ALL ".join(
-            (
-                _cand("EMAIL", K.EMAIL_PATTERN, "lower(m)"),
-                _cand("CREDIT_CARD", K.CARD_PATTERN, _DIG.format("m")),
-                _cand("GOVT_ID", K.PASSPORT_PATTERN, "m"),
-                _cand("PHONE", K.PHONE_PATTERN, _DIG.format("m")),
-            )
-        ),
+        "cand": " UNION ALL ".join(_cand_in("texts_synth", "doc_id", "text", *k) for k in _KINDS),
     },
 )
 
@@ -178,39 +184,97 @@ SQL["check_attestations"] = """SELECT event_id AS capture_id, verdict, verdict =
       WHEN event_id % 13 = 0 THEN 'WRONG_TASK' WHEN event_id % 17 = 0 THEN 'WRONG_CAPTURE' ELSE 'OK' END AS verdict FROM events)"""
 
 
+_PICTURE = ' <img src="data:image/png;base64,' + "QUJD" * 150 + '">'
+_TEL = " tel 212.555.0187"
+
+
 def _outgoing(spark, d):
-    """Redacted documents; every fifth is sent as it was, every seventh is sent encoded."""
+    """Redacted documents, and some that are not: as they were, encoded once or thrice, inside JSON,
+    with a number written differently or with a picture. Each task has a picture of its own too."""
     docs = policy.redact_spans(P.decided_docs(spark, d))
+    i = F.col("doc_id")
+
+    def coded(text):
+        return X.base64_of(F.encode(text, "UTF-8"))
+
     text = (
-        F.when(F.col("doc_id") % 5 == 0, F.col("text"))
-        .when(F.col("doc_id") % 7 == 0, X.base64_of(F.encode("text", "UTF-8")))
+        F.when(i % 5 == 0, F.col("text"))
+        .when(i % 7 == 0, coded(F.col("text")))
+        .when(i % 11 == 0, F.to_json(F.struct(i.alias("id"), F.array(F.struct(F.col("text").alias("note"))).alias("parts"))))
+        .when(i % 13 == 0, coded(coded(coded(F.col("text")))))
+        .when(i % 17 == 0, F.concat("redacted", F.lit(_TEL)))
+        .when(i % 19 == 0, F.concat("redacted", F.lit(_PICTURE)))
         .otherwise(F.col("redacted"))
     )
     return docs.select("task_id", text.alias("text"))
 
 
+def _pictures(spark, d):
+    i = F.col("doc_id")
+    image = F.concat(F.lit("data:image/png;base64,"), F.sha2(i.cast("string"), 256))
+    docs = V.table(spark, d, "documents")
+    images = docs.filter(i % 3 != 0).select(
+        i.alias("task_id"), i.alias("capture_id"), image.alias("image"),
+        F.when(i % 4 == 0, "VISUAL_PRIVACY_UNVERIFIED").otherwise("VERIFIED_SAFE").alias("state"),
+    )
+    made = F.when(i % 10 == 1, F.concat(image, F.lit("x"))).otherwise(image)
+    held = docs.select(
+        i.alias("task_id"), F.when(i % 10 != 3, i).alias("capture_id"),
+        F.when(i % 10 == 7, "UNKNOWN").otherwise("SANITIZED").alias("status"), F.sha2(made, 256).alias("digest"),
+    )
+    # The image is looked up by its task; the attestation's own fields are then compared.
+    return leaks.check_attestations(
+        images.withColumn("image_key", F.col("task_id")), held.withColumn("image_key", F.col("task_id")), ["image_key"]
+    )
+
+
 def _report(spark, d):
     ents = P.decided(spark, d)
     payloads = _outgoing(spark, d)
-    targets = leaks.sensitive_targets(ents)
-    hits = leaks.find_leaks(leaks.string_variants(payloads), targets)
-    return payloads, leaks.boundary_report(policy.disclosure_counts(ents), payloads, hits, ents)
+    found = leaks.outgoing_findings(payloads, ents)
+    return payloads, leaks.boundary_report(
+        policy.disclosure_counts(ents), payloads, found, ents, images=_pictures(spark, d)
+    )
 
 
 Q["boundary_report"] = lambda spark, d: _report(spark, d)[1].drop("leaks")
+
+
 _REPORT = {
     **P.REDACTED,
-    "outgoing": """SELECT doc_id AS task_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN to_base64(encode(text)) ELSE redacted END AS text,
-        CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN text ELSE redacted END AS plain
+    "outgoing": f"""SELECT doc_id AS task_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN to_base64(encode(text))
+          WHEN doc_id % 11 = 0 THEN CAST(json_object('id', doc_id, 'parts', [json_object('note', text)]) AS VARCHAR)
+          WHEN doc_id % 13 = 0 THEN to_base64(encode(to_base64(encode(to_base64(encode(text))))))
+          WHEN doc_id % 17 = 0 THEN redacted || '{_TEL}' WHEN doc_id % 19 = 0 THEN redacted || '{_PICTURE}' ELSE redacted END AS text
       FROM texts_synth JOIN redacted USING (doc_id)""",
+    "strings": """SELECT task_id, unnest(CASE WHEN text LIKE '{"id":%' AND json_valid(text)
+        THEN ['id', 'parts', 'note', json_extract_string(text, '$.parts[0].note')] ELSE [text] END) AS text FROM outgoing""",
+    "steps": _readings_sql("strings", "task_id"),
+    "readings": "SELECT task_id, cur AS variant FROM steps WHERE fresh",
     "report_targets": _targets_sql("decided"),
-    "bad": """SELECT DISTINCT task_id FROM outgoing JOIN report_targets USING (task_id) WHERE contains(lower(text), target)
-        OR contains(lower(plain), target) OR (contains(plain, '%40') AND contains(lower(replace(plain, '%40', '@')), target))""",
+    "known": f"""SELECT task_id, 'EMAIL' AS kind, lower(raw_value) AS value FROM decided WHERE treatment <> 'KEEP'
+        UNION SELECT task_id, 'CREDIT_CARD', {_DIG.format('raw_value')} FROM decided
+        UNION SELECT task_id, 'GOVT_ID', raw_value FROM decided UNION SELECT task_id, 'PHONE', {_DIG.format('raw_value')} FROM decided""",
+    "found": " UNION ALL ".join(_cand_in("readings", "task_id", "variant", *k) for k in _KINDS),
+    "bad": r"""SELECT DISTINCT task_id FROM readings JOIN report_targets USING (task_id)
+          WHERE contains(lower(regexp_replace(variant, '\[REDACTED[^\]]*\]|\b[A-Z_]+#[A-F0-9]+\b|•+', chr(10), 'g')), target)
+        UNION SELECT task_id FROM found WHERE value <> '' AND (kind <> 'CREDIT_CARD' OR length(value) BETWEEN 13 AND 19)
+          AND (task_id, kind, value) IN (SELECT (task_id, kind, value) FROM known)
+        UNION SELECT task_id FROM readings WHERE length(variant) > 500 AND (contains(variant, 'data:image/')
+          OR (contains(variant, 'base64,') AND NOT contains(variant, '[REDACTED]')))""",
+    "pictures": """SELECT task_id, coalesce(state = 'VERIFIED_SAFE' AND status = 'SANITIZED' AND digest = sha256(image)
+          AND capture_id = held_capture, false) AS fine, octet_length(encode(image)) AS bytes
+      FROM (SELECT doc_id AS task_id, doc_id AS capture_id, 'data:image/png;base64,' || sha256(CAST(doc_id AS VARCHAR)) AS image,
+          CASE WHEN doc_id % 4 = 0 THEN 'VISUAL_PRIVACY_UNVERIFIED' ELSE 'VERIFIED_SAFE' END AS state FROM documents WHERE doc_id % 3 <> 0)
+      JOIN (SELECT doc_id AS task_id, CASE WHEN doc_id % 10 <> 3 THEN doc_id END AS held_capture,
+          CASE WHEN doc_id % 10 = 7 THEN 'UNKNOWN' ELSE 'SANITIZED' END AS status, sha256('data:image/png;base64,'
+          || sha256(CAST(doc_id AS VARCHAR)) || CASE WHEN doc_id % 10 = 1 THEN 'x' ELSE '' END) AS digest FROM documents) USING (task_id)""",
     "report": """SELECT task_id, coalesce(detected, 0) AS detected, coalesce(transmitted, 0) AS transmitted, coalesce(tokenised, 0) AS tokenised,
         coalesce(blocked, 0) AS blocked, coalesce(local_only, 0) AS local_only, coalesce(abstracted, 0) AS abstracted,
-        task_id NOT IN (SELECT task_id FROM bad) AS zero_raw_pii, CAST(octet_length(encode(text)) AS BIGINT) AS sanitised_bytes,
-        CAST(octet_length(encode(text)) + coalesce(raw_len, 0) AS BIGINT) AS raw_bytes
-      FROM outgoing LEFT JOIN (SELECT task_id, count(*) AS detected, count(*) FILTER (treatment = 'KEEP') AS transmitted,
+        task_id NOT IN (SELECT task_id FROM bad) AS zero_raw_pii, coalesce(fine, false) AS visual_redaction_verified,
+        CAST(octet_length(encode(text)) + CASE WHEN fine THEN bytes ELSE 0 END AS BIGINT) AS sanitised_bytes,
+        CAST(octet_length(encode(text)) + CASE WHEN fine THEN bytes ELSE 0 END + coalesce(raw_len, 0) AS BIGINT) AS raw_bytes
+      FROM outgoing LEFT JOIN pictures USING (task_id) LEFT JOIN (SELECT task_id, count(*) AS detected, count(*) FILTER (treatment = 'KEEP') AS transmitted,
         count(*) FILTER (treatment = 'TOKENIZE') AS tokenised, count(*) FILTER (treatment IN ('REMOVE', 'MASK')) AS blocked,
         count(*) FILTER (treatment = 'LOCAL_ONLY') AS local_only, count(*) FILTER (treatment = 'ABSTRACT') AS abstracted,
         sum(length(raw_value)) AS raw_len FROM decided GROUP BY task_id) USING (task_id)""",
