@@ -175,14 +175,26 @@ def judge_actions(actions: DataFrame, anchors: DataFrame, nodes: DataFrame, comp
     history of a task: everything but the chain test is decided first, the
     earliest approved input per task is a map-side combined ``min``, and the
     chain test is a comparison with it.
+
+    A task's own rules apply where the anchors carry them, as arrays:
+    ``permitted_actions`` and ``nav_domains`` (NULL allows nothing) and
+    ``forbidden_classes`` (NULL forbids all known ones). Anchors without these
+    columns get the general lists and the one ``nav_domain``.
     """
+    domains = F.col("nav_domains") if "nav_domains" in anchors.columns else F.array("nav_domain")
+    permitted = F.array(*[F.lit(a) for a in K.PERMITTED_ACTIONS])
+    general = F.array(*[F.lit(c) for c in K.FORBIDDEN_CLASSES])
+    own_classes = "forbidden_classes" in anchors.columns
     rules = anchors.select(
         "task_id",
         F.lit(True).alias("_task"),
         F.col("goal").alias("_goal"),
         F.col("origin").alias("_origin"),
         X.normalise_text(F.col("origin")).alias("_norigin"),
-        X.normalise_text(F.col("nav_domain")).alias("_ndomain"),
+        # Python is not allowed inside a lambda; domain names are folded without NFKD.
+        F.transform(domains, X.fold_lookalikes).alias("_domains"),
+        (F.col("permitted_actions") if "permitted_actions" in anchors.columns else permitted).alias("_permitted"),
+        (F.coalesce("forbidden_classes", general) if own_classes else general).alias("_classes"),
     )
     live = nodes.select(
         "task_id", "node_id", "tag", "name_attr", "id_attr", "input_type", F.lit(True).alias("_node")
@@ -205,10 +217,17 @@ def judge_actions(actions: DataFrame, anchors: DataFrame, nodes: DataFrame, comp
         | X.contains_any(F.col("_value"), keywords)
         | screen.goal_rule_hit(F.col("_goal"), F.col("_reason"), F.col("_value"))
     )
-    forbidden = screen.forbidden_any(F.col("_reason"), F.col("_value"), screen.class_terms(compat))
+    pairs = screen.class_terms(compat)
+    if own_classes:
+        forbidden = screen.forbidden_hit(F.col("_reason"), F.col("_value"), pairs, F.col("_classes")).isNotNull() | F.exists(
+            F.transform("_classes", X.fold_lookalikes),
+            lambda c: F.contains(F.col("_reason"), c) | F.contains(F.col("_value"), c),
+        )
+    else:
+        forbidden = screen.forbidden_any(F.col("_reason"), F.col("_value"), pairs)
     scheme = nav & screen.scheme_hit(F.col("_value"), compat)
     # A task without an allowed domain may go nowhere.
-    at_home = F.coalesce((F.col("_ndomain") != "") & F.contains(F.col("_value"), F.col("_ndomain")), F.lit(False))
+    at_home = F.coalesce(F.exists("_domains", lambda a: (a != "") & F.contains(F.col("_value"), a)), F.lit(False))
     foreign = nav & ~screen.scheme_hit(F.col("_value"), compat) & ~at_home
     conflict = has_node & _conflict(
         F.col("_goal"),
@@ -219,7 +238,7 @@ def judge_actions(actions: DataFrame, anchors: DataFrame, nodes: DataFrame, comp
     hard = (
         F.when(F.col("_task").isNull(), "TASK_MISMATCH")
         .when(~F.coalesce(origin_ok, F.lit(False)), "ORIGIN_HIJACK")
-        .when(~F.coalesce(F.col("action").isin(*K.PERMITTED_ACTIONS), F.lit(False)), "ACTION_TYPE")
+        .when(~F.coalesce(F.array_contains("_permitted", F.col("action")), F.lit(False)), "ACTION_TYPE")
         .when(~has_node & ~F.col("action").isin("WAIT", "SCROLL"), "STALE_TARGET")
     )
     soft = (
@@ -554,6 +573,7 @@ def bind_actions(actions: DataFrame, regions: DataFrame, cell: int = 256) -> Dat
     over an equi-join: points meet regions on grid cells, texts are reduced to
     the first region per (image, action, text), the fallback to one per
     (image, action). Regions carry ``region_ord`` as their order in the image.
+    An action for which an image has no compatible region stays, as ``UNBOUND``.
     """
     known = F.upper("action").isin(*K.ACTION_COMPATIBILITY)
     acts = actions.withColumn("_action", F.when(known, F.upper("action")).otherwise("CLICK"))
@@ -593,12 +613,13 @@ def bind_actions(actions: DataFrame, regions: DataFrame, cell: int = 256) -> Dat
     )
     first = open_.groupBy("image_id", "_action").agg(F.min(picked).alias("_f"))
     joined = (
-        acts.join(first, ["image_id", "_action"])
+        acts.join(first, ["image_id", "_action"], "left")
         .join(by_point, "action_id", "left")
         .join(by_text, "action_id", "left")
     )
     best = F.coalesce("_p", "_t", "_f")
-    how = F.when(F.col("_p").isNotNull(), "POINT").when(F.col("_t").isNotNull(), "TEXT").otherwise("FIRST")
+    how = F.when(F.col("_p").isNotNull(), "POINT").when(F.col("_t").isNotNull(), "TEXT")
+    how = how.when(F.col("_f").isNotNull(), "FIRST").otherwise("UNBOUND")
     r = joined.withColumn("_best", best)
     return r.select(
         *actions.columns,

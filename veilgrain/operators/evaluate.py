@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilgrain import constants as K
 from veilgrain.functions import ranks as R
-from veilgrain.operators.geometry import overlap_pairs, with_iou
+from veilgrain.operators.geometry import nms, overlap_pairs, with_iou
 
 GT = ["image_id", "gt_id", "cls", "x", "y", "w", "h"]
 PRED = ["image_id", "pred_id", "cls", "conf", "x", "y", "w", "h"]
@@ -249,10 +249,14 @@ def failure_taxonomy(gt: DataFrame, pred: DataFrame, scheme: str = "causes", con
     """Why each ground truth was missed.
 
     ``causes`` is the fine rule set, ``grades`` puts every box (found ones too)
-    into one of six grades, ``short`` is the three-way set.
+    into one of six grades, ``short`` is the three-way set. A box counts as found
+    under ``causes`` when a prediction that survives suppression meets it; the
+    cause is read off the raw predictions, so suppression can be one.
     """
     raw = best_match(gt, pred)
-    found = iou_pairs(gt, pred.filter(F.col("conf") >= conf), min_iou=iou).select("image_id", F.col("a_gt_id").alias("gt_id")).distinct()
+    sure = pred.filter(F.col("conf") >= conf)
+    kept = nms(sure, "pred_id") if scheme == "causes" else sure
+    found = iou_pairs(gt, kept, min_iou=iou).select("image_id", F.col("a_gt_id").alias("gt_id")).distinct()
     largest, area = F.greatest("w", "h"), F.col("w") * F.col("h")
     same = F.coalesce(F.col("pred_cls") == F.col("cls"), F.lit(False))
     name = {c: i for i, c in enumerate(K.UI_CLASSES)}

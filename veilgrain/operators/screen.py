@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from veilgrain import constants as K
 from veilgrain.functions import text as X
 
-MAX_INLINE_TERMS = 1000
-
-
 def normalise_text(df: DataFrame, text: str = "text", out: str = "normalised") -> DataFrame:
     """NFKD, look-alikes to ASCII, lower case, trimmed."""
     return df.withColumn(out, X.normalise_text(F.col(text)))
@@ -18,17 +15,15 @@ def normalise_text(df: DataFrame, text: str = "text", out: str = "normalised") -
 
 def _normalised_terms(terms, normalise: bool = True) -> list[str]:
     terms = list(terms)
-    if len(terms) > MAX_INLINE_TERMS:
-        raise ValueError("more terms than a plan should carry; use screen_term_table")
     return [X.normalise_literal(t) for t in terms] if normalise else terms
 
 
 def screen_keywords(
     df: DataFrame, text: str = "text", terms=K.INJECTION_TERMS, normalise_terms: bool = True
 ) -> DataFrame:
-    """Flag and matched terms for a short list; terms are normalised like the text.
+    """Flag and matched terms of a list in the plan; ``screen_term_table`` takes lists from a table.
 
-    The normalised text is a column of its own, so Python sees it once, and only
+    Terms are normalised like the text. The normalised text is a column of its own, so Python sees it once, and only
     when it is not ASCII.
     """
     listed = _normalised_terms(terms, normalise_terms)

@@ -118,7 +118,27 @@ def judged(spark, d, compat=False):
     return A.judge_actions(V.actions(spark, d), V.anchors(spark, d), V.live_nodes(spark, d), compat)
 
 
-def judge_sql(compat: bool) -> dict[str, str]:
+def ruled_anchors(spark, d):
+    """Anchors with lists of their own: some without navigation, domains or forbidden classes."""
+    t = F.col("task_id")
+
+    def words(*values):
+        return F.array(*[F.lit(v) for v in values])
+
+    return V.anchors(spark, d).select(
+        "task_id", "goal", "origin",
+        F.when(t % 11 == 0, F.array("nav_domain", F.lit("evil.com"))).when(t % 13 != 0, F.array("nav_domain")).alias("nav_domains"),
+        F.when(t % 7 == 0, words("CLICK", "SCROLL", "TYPE")).otherwise(words(*K.PERMITTED_ACTIONS)).alias("permitted_actions"),
+        F.when(t % 5 == 0, F.array().cast("array<string>")).when(t % 5 == 1, words("guests")).when(t % 5 == 2, words(*K.FORBIDDEN_CLASSES)).alias("forbidden_classes"),
+    )
+
+
+def judge_sql(compat: bool, ruled: bool = False) -> dict[str, str]:
+    at_home, forbidden, permitted = f"contains(nv, {ascii_norm_sql('nav_domain')})", f"{hit_sql(compat, 'cls')} IS NOT NULL", "true"
+    if ruled:
+        at_home = f"(task_id % 11 = 0 OR task_id % 13 <> 0) AND {at_home} OR task_id % 11 = 0 AND contains(nv, 'evil.com')"
+        forbidden = f"CASE task_id % 5 WHEN 0 THEN false WHEN 1 THEN contains(nr, 'guests') OR contains(nv, 'guests') ELSE {forbidden} END"
+        permitted = "task_id % 7 <> 0 OR action IN ('CLICK', 'SCROLL', 'TYPE')"
     injected = any_sql("nr", [X.normalise_literal(t) for t in K.INJECTION_TERMS]) + " OR " + any_sql(
         "nv", [X.normalise_literal(t) for t in K.INJECTION_TERMS]
     )
@@ -128,17 +148,17 @@ def judge_sql(compat: bool) -> dict[str, str]:
     origin_ok = f"contains({ascii_norm_sql('live_origin')}, {ascii_norm_sql('origin')})" if compat else "live_origin = origin"
     return {
         "base": f"""SELECT *, {origin_ok} AS origin_ok, {CONFLICT_SQL} AS conflict, {RISK_SQL} AS r,
-            action = 'NAVIGATE' AND {scheme} AS scheme, action = 'NAVIGATE' AND NOT {scheme} AND NOT contains(nv, {ascii_norm_sql('nav_domain')}) AS foreign_,
-            {hit_sql(compat, 'cls')} IS NOT NULL AS forbidden, ({injected}) OR {GOAL_HIT_SQL} AS injected, {_AWAY} AS away, {_INPUT} AS input
+            action = 'NAVIGATE' AND {scheme} AS scheme, action = 'NAVIGATE' AND NOT {scheme} AND NOT ({at_home}) AS foreign_,
+            {forbidden} AS forbidden, {permitted} AS permitted, ({injected}) OR {GOAL_HIT_SQL} AS injected, {_AWAY} AS away, {_INPUT} AS input
           FROM (SELECT *, {ascii_norm_sql('reasoning')} AS nr, {ascii_norm_sql('value')} AS nv FROM actions) JOIN anchors USING (task_id)
             LEFT JOIN live_nodes USING (task_id, node_id)""",
-        "hist": """SELECT *, bool_or(input AND origin_ok AND (tag IS NOT NULL OR action = 'SCROLL') AND NOT conflict AND NOT scheme AND NOT foreign_
+        "hist": """SELECT *, bool_or(input AND origin_ok AND permitted AND (tag IS NOT NULL OR action = 'SCROLL') AND NOT conflict AND NOT scheme AND NOT foreign_
             AND NOT forbidden AND NOT injected) OVER (PARTITION BY task_id ORDER BY ts, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM base""",
         "judged": """SELECT *, CASE WHEN reason <> 'AUTHORISED' THEN 'BLOCK' WHEN r IN ('CRITICAL', 'HIGH') THEN 'CONFIRM' ELSE 'ALLOW' END AS decision,
-            CASE reason WHEN 'AUTHORISED' THEN r WHEN 'STALE_TARGET' THEN 'MEDIUM' ELSE 'CRITICAL' END AS risk,
-            reason NOT IN ('AUTHORISED', 'ORIGIN_HIJACK', 'STALE_TARGET') AS untrusted,
+            CASE reason WHEN 'AUTHORISED' THEN r WHEN 'ACTION_TYPE' THEN 'HIGH' WHEN 'STALE_TARGET' THEN 'MEDIUM' ELSE 'CRITICAL' END AS risk,
+            reason NOT IN ('AUTHORISED', 'ORIGIN_HIJACK', 'ACTION_TYPE', 'STALE_TARGET') AS untrusted,
             reason NOT IN ('AUTHORISED', 'STALE_TARGET') AS semantic_violation
-          FROM (SELECT *, CASE WHEN NOT origin_ok THEN 'ORIGIN_HIJACK' WHEN tag IS NULL AND action <> 'SCROLL' THEN 'STALE_TARGET'
+          FROM (SELECT *, CASE WHEN NOT origin_ok THEN 'ORIGIN_HIJACK' WHEN NOT permitted THEN 'ACTION_TYPE' WHEN tag IS NULL AND action <> 'SCROLL' THEN 'STALE_TARGET'
             WHEN conflict THEN 'TARGET_CONFLICT' WHEN action = 'NAVIGATE' AND coalesce(prior, false) AND away THEN 'EXFIL_CHAIN'
             WHEN scheme THEN 'FORBIDDEN_SCHEME' WHEN foreign_ THEN 'FOREIGN_DOMAIN' WHEN forbidden THEN 'FORBIDDEN_CLASS'
             WHEN injected THEN 'INJECTION' ELSE 'AUTHORISED' END AS reason FROM hist)""",
@@ -155,6 +175,14 @@ for _name, _compat in (("judge_actions", False), ("judge_actions_compat", True))
     )
 
 
+Q["judge_actions_own_rules"] = lambda spark, d: A.judge_actions(
+    V.actions(spark, d), ruled_anchors(spark, d), V.live_nodes(spark, d)
+).select("action_id", "decision", "reason", "risk", "untrusted", "semantic_violation")
+SQL["judge_actions_own_rules"] = V.with_views(
+    ACTION_VIEWS, "SELECT action_id, decision, reason, risk, untrusted, semantic_violation FROM judged", judge_sql(False, ruled=True)
+)
+
+
 def tokens(spark, d):
     return A.issue_tokens(judged(spark, d), SECRET)
 
@@ -418,12 +446,12 @@ _COMPAT = " OR ".join(
 )
 SQL["bind_actions"] = V.with_views(
     ["boxes_pred"],
-    f"""SELECT action_id, CASE rank WHEN 1 THEN 'POINT' WHEN 2 THEN 'TEXT' ELSE 'FIRST' END AS bound_by, region_id, region_type,
+    f"""SELECT action_id, CASE rank WHEN 1 THEN 'POINT' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'FIRST' ELSE 'UNBOUND' END AS bound_by, region_id, region_type,
       coalesce(click_x, x + CAST(floor(w / 2 + 0.5) AS BIGINT)) AS bound_x, coalesce(click_y, y + CAST(floor(h / 2 + 0.5) AS BIGINT)) AS bound_y
     FROM (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY rank, region_id) AS rn FROM (
-      SELECT acts.action_id, click_x, click_y, r.*, CASE WHEN click_x BETWEEN x AND x + w AND click_y BETWEEN y AND y + h THEN 1
+      SELECT acts.action_id, click_x, click_y, r.*, CASE WHEN region_id IS NULL THEN 4 WHEN click_x BETWEEN x AND x + w AND click_y BETWEEN y AND y + h THEN 1
           WHEN coalesce(contains(reasoning, lower(region_text)), false) THEN 2 ELSE 3 END AS rank
-      FROM acts JOIN regions_ r ON acts.image_id = r.image_id AND ({_COMPAT}))) WHERE rn = 1""",
+      FROM acts LEFT JOIN regions_ r ON acts.image_id = r.image_id AND ({_COMPAT}))) WHERE rn = 1""",
     {
         "regions_": f"""SELECT image_id, pred_id AS region_id, {V._case(_TYPES, 'cls % 6')} AS region_type,
           CASE WHEN cls % 4 = 0 THEN 'Item ' || cls END AS region_text, x, y, w, h FROM boxes_pred""",

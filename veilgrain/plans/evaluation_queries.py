@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilgrain import constants as K
 from veilgrain.operators import evaluate as E
 from veilgrain.plans import views as V
-from veilgrain.plans.geometry_queries import INTER_SQL, IOU_SQL
+from veilgrain.plans.geometry_queries import INTER_SQL, IOU_SQL, NMS_KEPT, nms_ctes
 
 Q = {}
 SQL = {}
@@ -132,9 +132,13 @@ _FAIL = {
 for _scheme, _expr in _FAIL.items():
     Q[f"failure_taxonomy_{_scheme}"] = lambda spark, d, s=_scheme: E.failure_shares(E.failure_taxonomy(_gt(spark, d), _pred(spark, d), s))
     _where = "" if _scheme == "grades" else "WHERE (image_id, gt_id) NOT IN (SELECT (image_id, gt_id) FROM pairs WHERE conf >= 0.3 AND iou >= 0.3)"
+    if _scheme == "causes":
+        _where = _where.replace("0.3)", "0.3 AND (image_id, pred_id) IN (SELECT (image_id, pred_id) FROM survivors))")
+    _more = {**nms_ctes("image_id, cls", "r.cls = s.cls", "conf >= 0.3"), "survivors": NMS_KEPT} if _scheme == "causes" else {}
     SQL[f"failure_taxonomy_{_scheme}"] = sql(
         f"""SELECT reason, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct FROM (SELECT {_expr} AS reason FROM (
-          SELECT *, count(*) OVER (PARTITION BY image_id) AS density FROM best) {_where}) GROUP BY reason"""
+          SELECT *, count(*) OVER (PARTITION BY image_id) AS density FROM best) {_where}) GROUP BY reason""",
+        _more,
     )
 
 

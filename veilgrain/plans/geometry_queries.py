@@ -125,20 +125,23 @@ SQL["fuse_text_regions"] = V.with_views(
 )
 
 
+NMS_KEPT = "SELECT image_id, k.id AS pred_id FROM (SELECT image_id, unnest(kept) AS k FROM steps WHERE n = total)"
+
+
+def nms_ctes(keys: str, same: str, where: str = "true") -> dict[str, str]:
+    return {
+        "ranked": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY conf DESC, pred_id) AS n, count(*) OVER (PARTITION BY {keys}) AS total FROM boxes_pred WHERE {where}""",
+        "steps": f"""SELECT image_id, cls, n, total, [{{id: pred_id, x: x, y: y, w: w, h: h}}] AS kept FROM ranked WHERE n = 1
+          UNION ALL SELECT s.image_id, s.cls, r.n, s.total, CASE WHEN len(list_filter(kept, lambda k: list_sum(list_transform(
+            [greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y))],
+            lambda i: CAST(i AS DOUBLE) / (k.w * k.h + r.w * r.h - i))) >= 0.4)) > 0 THEN kept
+            ELSE list_append(kept, {{id: r.pred_id, x: r.x, y: r.y, w: r.w, h: r.h}}) END
+          FROM steps s JOIN ranked r ON r.image_id = s.image_id AND {same} AND r.n = s.n + 1""",
+    }
+
+
 def _nms_sql(keys: str, same: str) -> str:
-    return V.with_views(
-        ["boxes_pred"],
-        "SELECT image_id, k.id AS pred_id FROM (SELECT image_id, unnest(kept) AS k FROM steps WHERE n = total)",
-        {
-            "ranked": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY conf DESC, pred_id) AS n, count(*) OVER (PARTITION BY {keys}) AS total FROM boxes_pred""",
-            "steps": f"""SELECT image_id, cls, n, total, [{{id: pred_id, x: x, y: y, w: w, h: h}}] AS kept FROM ranked WHERE n = 1
-              UNION ALL SELECT s.image_id, s.cls, r.n, s.total, CASE WHEN len(list_filter(kept, lambda k: list_sum(list_transform(
-                [greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y))],
-                lambda i: CAST(i AS DOUBLE) / (k.w * k.h + r.w * r.h - i))) >= 0.4)) > 0 THEN kept
-                ELSE list_append(kept, {{id: r.pred_id, x: r.x, y: r.y, w: r.w, h: r.h}}) END
-              FROM steps s JOIN ranked r ON r.image_id = s.image_id AND {same} AND r.n = s.n + 1""",
-        },
-    )
+    return V.with_views(["boxes_pred"], NMS_KEPT, nms_ctes(keys, same))
 
 
 Q["nms"] = lambda spark, d: G.nms(V.boxes_pred(spark, d), "pred_id").select("image_id", "pred_id")

@@ -69,10 +69,20 @@ SQL["privacy_utility_efficiency"] = V.with_views(
 
 def task_dossier(spark, d):
     reports = policy.disclosure_counts(_entities(spark, d))
-    return L.task_dossier(_ledger(spark, d), _actions(spark, d), reports).select("task_id", "part", "seq", F.length("record").alias("size"))
+    fields = F.json_tuple("record", "kind", "treatment", "action_id", "decision", "detected").alias(
+        "kind", "treatment", "action_id", "decision", "detected"
+    )
+    return L.task_dossier(_ledger(spark, d), _actions(spark, d), reports).select("task_id", "part", "seq", fields)
 
 
-Q["task_dossier"] = task_dossier  # records are JSON text, compared in tests
+Q["task_dossier"] = task_dossier
+SQL["task_dossier"] = V.with_views(
+    [*P.BASE, *AQ.ACTION_VIEWS],
+    """SELECT task_id, 'privacy' AS part, CAST(entity_ord AS BIGINT) AS seq, kind, t2 AS treatment, NULL AS action_id, NULL AS decision, NULL AS detected FROM entries
+      UNION ALL SELECT task_id, 'action', action_id, NULL, NULL, CAST(action_id AS VARCHAR), decision, NULL FROM acts
+      UNION ALL SELECT task_id, 'report', 0, NULL, NULL, NULL, NULL, CAST(count(*) AS VARCHAR) FROM entries GROUP BY task_id""",
+    {**ENTRIES, **ACTS},
+)
 
 Q["utility_preserved"] = lambda spark, d: L.utility_preserved(policy.redact_spans(P.decided_docs(spark, d)))
 SQL["utility_preserved"] = V.with_views(
