@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veilgrain import constants as K
 from veilgrain.functions import ranks as R
 from veilgrain.operators.geometry import nms, overlap_pairs, with_iou
+from veilgrain.session import written
 
 GT = ["image_id", "gt_id", "cls", "x", "y", "w", "h"]
 PRED = ["image_id", "pred_id", "cls", "conf", "x", "y", "w", "h"]
@@ -189,30 +190,47 @@ def bucket_recall(matches: DataFrame, kind: str, iou: float = K.MATCH_IOU) -> Da
 def threshold_sweep(gt: DataFrame, pred: DataFrame, thresholds=K.CALIBRATION_THRESHOLDS, iou: float = K.MATCH_IOU) -> DataFrame:
     """TP/FP/FN, ratios and recoverable misses at each confidence cut, from one IoU pass.
 
-    Whether and by whom a box is matched is settled by pairs at or above the
-    IoU threshold, so only those are repeated per threshold. Every count is a
-    map-side combined aggregate with one row per threshold.
+    A pair's level is the number of cuts it passes. The best pair of each box
+    and level is kept, at most one per cut; from the highest level down, the
+    best so far matches the box between two levels. These spans go to their
+    prediction, whose number per cut gives both the matches and the used ones.
     """
-    cuts = F.array(*[F.lit(float(t)) for t in thresholds])
-    good = iou_pairs(gt, pred, min_iou=iou)
-
-    def passed(conf):
-        return F.explode(F.filter(cuts, lambda t: t <= conf))
-
-    per_cut = good.select("image_id", "a_gt_id", "b_pred_id", "iou", passed(F.col("b_conf")).alias("threshold"))
-    best = per_cut.groupBy("threshold", "image_id", "a_gt_id").agg(
-        F.min(F.struct((-F.col("iou")).alias("neg"), "b_pred_id")).alias("m")
+    cuts = sorted({float(t) for t in thresholds})
+    listed = F.array(*[F.lit(t) for t in cuts])
+    places = range(1, len(cuts) + 1)
+    level = F.size(F.filter(listed, lambda t: t <= F.col("b_conf")))
+    firsts = iou_pairs(gt, pred, min_iou=iou).groupBy("image_id", "a_gt_id", level.alias("level")).agg(
+        F.min(F.struct((-F.col("iou")).alias("neg"), F.col("b_pred_id").alias("pred_id"))).alias("m")
     )
-    used = best.groupBy("threshold", "image_id", F.col("m.b_pred_id").alias("p")).agg(F.count("*").alias("n"))
-    hits = used.groupBy("threshold").agg(F.sum("n").alias("tp"), F.count("*").alias("used"))
-    shown = pred.select(passed(F.col("conf")).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("preds"))
-    reachable = good.select("image_id", "a_gt_id").distinct().agg(F.count("*").alias("reachable"))
-    reachable = reachable.select(F.explode(cuts).alias("threshold"), "reachable")
-    # The totals repeated per threshold are the frame the other counts join.
-    total = gt.agg(F.count("*").alias("gt")).select(F.explode(cuts).alias("threshold"), "gt")
-    rows = (
-        total.join(reachable, "threshold").join(hits, "threshold", "left").join(shown, "threshold", "left")
+    boxes = firsts.groupBy("image_id", "a_gt_id").agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("level", "m")))).alias("es")
+    )
+    span = F.transform(
+        "es",
+        lambda e, i: F.struct(
+            F.array_min(F.transform(F.slice("es", 1, i + 1), lambda x: x["m"]))["pred_id"].alias("pred_id"),
+            F.coalesce(F.get("es", i + 1)["level"], F.lit(0)).alias("low"),
+            e["level"].alias("high"),
+            (i == 0).cast("long").alias("box"),
+        ),
     )
+    spans = boxes.select("image_id", F.explode(span).alias("s")).select("image_id", "s.*")
+    held = spans.groupBy("image_id", "pred_id").agg(
+        F.sum("box").alias("boxes"),
+        *[F.count_if((F.col("low") < j) & (F.lit(j) <= F.col("high"))).alias(f"n{j}") for j in places],
+    )
+    sums = held.agg(
+        F.coalesce(F.sum("boxes"), F.lit(0)).alias("reachable"),
+        F.array(*[F.struct(F.sum(f"n{j}").alias("tp"), F.count_if(F.col(f"n{j}") > 0).alias("used")) for j in places]).alias("at"),
+    )
+    hits = sums.select("reachable", F.explode(F.arrays_zip(listed.alias("threshold"), F.col("at").alias("at"))).alias("r")).select(
+        F.col("r.threshold").alias("threshold"), "reachable", "r.at.tp", "r.at.used"
+    )
+    counted = pred.agg(F.array(*[F.count_if(F.col("conf") >= t) for t in cuts]).alias("n"))
+    shown = counted.select(F.explode(F.arrays_zip(listed.alias("threshold"), F.col("n").alias("preds"))).alias("r")).select("r.*")
+    # The totals repeated per threshold are the frame the other counts join.
+    total = gt.agg(F.count("*").alias("gt")).select(F.explode(listed).alias("threshold"), "gt")
+    rows = total.join(hits, "threshold", "left").join(shown, "threshold", "left")
     z = F.lit(0)
     tp = F.coalesce("tp", z)
     fp = F.coalesce("preds", z) - F.coalesce("used", z)
@@ -329,6 +347,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, ious=(0.50,)) -> DataFrame
         F.explode(cuts).alias("iou_thr"), "cls", "conf", F.lit(0).cast("long").alias("tp"), "n"
     )
     steps = hits.unionByName(shown).groupBy("iou_thr", "cls", "conf").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    # One row per confidence, read by several branches: written once, so the pairs are formed once.
+    steps = written(steps, "ap-steps")
     steps = steps.withColumn("_b", F.floor(F.col("conf") * R.BINS))
     key = ["iou_thr", "cls"]
     before = Window.partitionBy(*key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
