@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgrain.functions import text as X
-from veilgrain.operators import detect, leaks, policy, screen
+from veilgrain.operators import detect, leaks, ledger, policy, screen
 
 ENTITIES = [
     ("NAME", "Zoë Aßmann", "TOKENIZE"),
@@ -184,3 +184,18 @@ def test_outgoing_findings_beyond_plain_values(spark):
         counts = ents.groupBy("task_id").agg(F.count("*").alias("detected"))
         report = leaks.boundary_report(counts, sent, found, ents).first()
         assert report.zero_raw_pii == (want is None and task is not None) and not report.visual_redaction_verified
+
+
+def test_utility_of_a_redaction(spark):
+    entity = "array<struct<kind:string,pos:int,raw_value:string,treatment:string>>"
+    rows = [
+        # Caught with two letters too many; missed; a false find; empty.
+        ("call Ina now", "cal[REDACTED NAME] now", [("NAME", 3, "l Ina", "REMOVE")], [("NAME", 5, "Ina", "")]),
+        ("call Ida now", "call Ida now", [("NAME", 5, "Ida", "KEEP")], [("NAME", 5, "Ida", "")]),
+        ("call me now", "call [REDACTED NAME] now", [("NAME", 5, "me", "REMOVE")], []),
+        ("", "", [], []),
+    ]
+    docs = spark.createDataFrame(rows, f"text string, redacted string, entities {entity}, truth {entity}")
+    got = ledger.utility_preserved(docs, truth="truth").first()
+    assert (got.chars, got.sensitive, got.removed, got.readable) == (35, 6, 7, 1)
+    assert (got.sensitive_removed_pct, got.benign_kept_pct, got.over_removal_pct) == (50.0, 86.21, 13.79)

@@ -199,7 +199,7 @@ def _alignments(p: str) -> list[Column]:
     return [y, y + h, y + h / 2, x, x + w, x + w / 2]
 
 
-def near_pairs(boxes: DataFrame, cell: int = CELL) -> DataFrame:
+def near_pairs(boxes: DataFrame, cell: int = 2 * CELL) -> DataFrame:
     """Ordered pairs with close centres that do not overlap.
 
     The box with the wider reach looks through the cells within its reach; the
@@ -222,13 +222,14 @@ def near_pairs(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     apart = B.intersection(B.box("a_"), B.box("b_")) == 0
     half = look.join(sit, ["image_id", "_gx", "_gy"]).filter(leads & (distance <= F.col("a_r")) & apart)
     kept = [c for c in boxes.columns if c != "image_id"]
-    one = half.select("image_id", *[f"{p}{c}" for p in ("a_", "b_") for c in kept])
-    other = half.select(
-        "image_id",
-        *[F.col(f"b_{c}").alias(f"a_{c}") for c in kept],
-        *[F.col(f"a_{c}").alias(f"b_{c}") for c in kept],
-    )
-    return one.unionByName(other)
+
+    def order(p: str, q: str) -> Column:
+        return F.struct(
+            *[F.col(f"{p}{c}").alias(f"a_{c}") for c in kept], *[F.col(f"{q}{c}").alias(f"b_{c}") for c in kept]
+        )
+
+    both = F.explode(F.array(order("a_", "b_"), order("b_", "a_")))
+    return half.select("image_id", both.alias("_p")).select("image_id", "_p.*")
 
 
 def aligned_pairs(boxes: DataFrame, slack: int = 8) -> DataFrame:
@@ -238,10 +239,11 @@ def aligned_pairs(boxes: DataFrame, slack: int = 8) -> DataFrame:
     first agreeing line only.
     """
     cols = [c for c in boxes.columns if c != "image_id"]
-    band = slack + 1
+    # Bands of four times the slack: most values look into one band, few into two.
+    band = 4 * (slack + 1)
     lines = F.posexplode(F.array(*[v.cast("double") for v in _alignments("")]))
     rows = boxes.select("*", lines.alias("_k", "_v"))
-    a = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_v") / band) - 1, F.floor(F.col("_v") / band) + 1)))
+    a = rows.withColumn("_b", _cells(F.col("_v") - slack, F.col("_v") + slack, band))
     a = a.select("image_id", "_k", "_b", *[F.col(c).alias(f"a_{c}") for c in cols])
     b = rows.select("image_id", "_k", F.floor(F.col("_v") / band).alias("_b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     agree = [F.abs(p - q) <= slack for p, q in zip(_alignments("a_"), _alignments("b_"))]
@@ -269,17 +271,17 @@ def spatial_relations(df: DataFrame, ident: str, directional: str = "near") -> D
     near = near_pairs(boxes).withColumn("relation", F.lit("NEAR"))
     aligned = aligned_pairs(boxes).withColumn("relation", F.lit("ALIGNED_WITH"))
     local = touching.unionByName(near)
+    directions = F.filter(F.array(*_directions()), lambda r: r.isNotNull())
     if directional == "all":
         a = boxes.select("image_id", *[F.col(c).alias(f"a_{c}") for c in ("id", *"xywh")])
         b = boxes.select("image_id", *[F.col(c).alias(f"b_{c}") for c in ("id", *"xywh")])
         base = a.join(b, "image_id").filter("a_id <> b_id")
+        out = local.unionByName(aligned).unionByName(base.withColumn("relation", F.explode(directions)))
     else:
-        base = local.drop("relation")
-    directed = base.withColumn(
-        "relation", F.explode(F.filter(F.array(*_directions()), lambda r: r.isNotNull()))
-    )
+        # Each near or touching pair carries its directions along; no second pass.
+        named = F.explode(F.concat(F.array("relation"), directions))
+        out = local.withColumn("relation", named).unionByName(aligned)
     confidence = F.create_map(*[F.lit(v) for kv in RELATION_CONFIDENCE.items() for v in kv])
-    out = local.unionByName(aligned).unionByName(directed)
     return out.select(
         "image_id", F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "relation",
         confidence[F.col("relation")].alias("confidence"),

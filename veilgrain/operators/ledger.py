@@ -95,17 +95,23 @@ def task_dossier(entries: DataFrame, actions: DataFrame, reports: DataFrame) ->
     )
 
 
-def utility_preserved(docs: DataFrame, text: str = "text", redacted: str = "redacted", entities: str = "entities") -> DataFrame:
-    """Characters: sensitive removed, benign kept, and benign lost to over-removal.
-
-    ``entities`` is the decided array of each row. Overlapping spans are counted
-    once; a span of treatment KEEP is sensitive but not removed.
+def utility_preserved(
+    docs: DataFrame, text: str = "text", redacted: str = "redacted", entities: str = "entities", truth: str | None = None
+) -> DataFrame:
+    """Characters: sensitive ones removed, benign ones kept or lost, and values still to be read.
+
+    ``entities`` is the decided array of each row; what it does not KEEP is removed.
+    ``truth`` holds what is sensitive indeed, as an array with ``pos`` and
+    ``raw_value``, and is the decided array unless named. Overlapping spans count
+    once. ``readable`` counts true values the redacted text still contains.
     """
-    def covered(spans):
-        ordered = F.array_sort(F.transform(spans, lambda e: F.struct(e["pos"].alias("s"), (e["pos"] + F.length(e["raw_value"])).alias("e"))))
+    def spans(values):
+        return F.transform(values, lambda e: F.struct(e["pos"].alias("s"), (e["pos"] + F.length(e["raw_value"])).alias("e")))
+
+    def covered(listed):
         start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
         return F.aggregate(
-            ordered, start,
+            F.array_sort(listed), start,
             lambda acc, s: F.struct(
                 F.greatest(acc["at"], s["e"]).alias("at"),
                 (acc["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(acc["at"], s["s"]))).alias("n"),
@@ -113,15 +119,20 @@ def utility_preserved(docs: DataFrame, text: str = "text", redacted: str = "reda
             lambda acc: acc["n"],
         )
 
-    every = covered(F.col(entities))
-    gone = covered(F.filter(F.col(entities), lambda e: e["treatment"] != "KEEP"))
-    counted = docs.select(F.length(text).alias("chars"), every.alias("sensitive"), gone.alias("removed"))
-    sums = counted.agg(*[F.sum(c).alias(c) for c in ("chars", "sensitive", "removed")])
-    benign = F.col("chars") - F.col("sensitive")
-    over = F.greatest(F.lit(0), F.col("removed") - F.col("sensitive"))
+    known = F.col(truth or entities)
+    gone = spans(F.filter(F.col(entities), lambda e: e["treatment"] != "KEEP"))
+    seen = F.filter(known, lambda e: (F.length(e["raw_value"]) > 2) & F.contains(F.col(redacted), e["raw_value"]))
+    counted = docs.select(
+        F.length(text).alias("chars"), covered(spans(known)).alias("sensitive"), covered(gone).alias("removed"),
+        covered(F.concat(spans(known), gone)).alias("either"), F.size(seen).alias("readable"),
+    )
+    sums = counted.agg(*[F.sum(c).alias(c) for c in counted.columns])
+    benign, over = F.col("chars") - F.col("sensitive"), F.col("either") - F.col("sensitive")
+    caught = F.col("removed") + F.col("sensitive") - F.col("either")
     return sums.select(
         "chars", "sensitive", "removed",
-        F.when(F.col("sensitive") > 0, F.round(F.least("removed", "sensitive") / F.col("sensitive") * 100, 2)).otherwise(100.0).alias("sensitive_removed_pct"),
+        F.when(F.col("sensitive") > 0, F.round(caught / F.col("sensitive") * 100, 2)).otherwise(100.0).alias("sensitive_removed_pct"),
         F.when(benign > 0, F.round((benign - over) / benign * 100, 2)).otherwise(100.0).alias("benign_kept_pct"),
         F.when(benign > 0, F.round(over / benign * 100, 2)).otherwise(0.0).alias("over_removal_pct"),
+        "readable",
     )

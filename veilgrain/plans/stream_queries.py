@@ -42,16 +42,7 @@ SQL["response_join"] = f"SELECT event_id AS nonce FROM ({AQ.RESPONSES_SQL}) WHER
 
 
 def exfil_chain_stream(spark, d):
-    original = V.table
-
-    def streamed(session, folder, name):
-        return _events(session, folder) if name == "events" else original(session, folder, name)
-
-    V.table = streamed
-    try:
-        acts = V.actions(spark, d)
-    finally:
-        V.table = original
+    acts = V.actions(spark, d, _events(spark, d))
     rules = V.anchors(spark, d).select("task_id", X.normalise_text(F.col("origin")).alias("_o"))
     nav, live = X.normalise_text(F.col("value")), X.normalise_text(F.col("live_origin"))
     tagged = acts.withColumn("_n", nav).withColumn("_l", live).join(rules, "task_id").select(

@@ -224,9 +224,9 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, d: str) -> DataFrame:
-    """One proposed action per event; ``seq`` orders a task's actions by time, then id."""
-    ev = table(spark, d, "events")
+def actions(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """One proposed action per event, of the table or of a stream of its rows."""
+    ev = table(spark, d, "events") if events is None else events
     eid = F.col("event_id")
     kind = (
         F.when(F.col("event_type") == "view", "SCROLL")
