@@ -226,6 +226,47 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(table(spark, texts), tests.limit(0)).count() == 0
 
 
+def brute_contaminated(text, item, identity=0.7, share=0.5, words=13, least=5):
+    """Agreeing words of all stretches of all diagonals."""
+    text, item = text.lower().split(), item.lower().split()
+    hit = set()
+    for shift in range(-len(item), len(text)):
+        same = [0 <= i + shift < len(text) and w == text[i + shift] for i, w in enumerate(item)]
+        low, high = max(0, -shift), min(len(item), len(text) - shift)
+        for a in range(low, high):
+            for b in range(a + least, high + 1):
+                on = [i for i in range(a, b) if same[i]]
+                if len(on) >= least and len(on) * 10 >= round(identity * 10) * (b - a):
+                    hit.update(on)
+    return len(hit) if len(hit) >= least and (len(hit) >= words or len(hit) >= share * len(item)) else None
+
+
+def test_decontaminate_misses_no_substituted_item(spark):
+    rng = random.Random(11)
+    sizes = (5, 6, 7, 8, 9, 10, 13, 15, 20, 25, 30, 40)
+    items = [prose(500 + k, n) for k, n in enumerate(sizes * 2)]
+    texts = []
+    for k, item in enumerate(items):
+        n = len(item.split())
+        for cut in {0, 1, n // 5, n * 3 // 10, n * 3 // 10 + 1}:
+            for _ in range(3):
+                changed = item.split()
+                for at in rng.sample(range(n), cut):
+                    changed[at] = "other"
+                texts.append(prose(900 + k, 7) + " " + " ".join(changed) + " " + prose(950 + k, 5))
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(table(spark, texts), tests).collect()}
+    want = {(d, i): brute_contaminated(t, item) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    assert found == {k: v for k, v in want.items() if v}
+
+
+def test_masks_fit_every_stretch():
+    for n in range(5, 14):
+        for same in itertools.product((0, 1), repeat=n):
+            if sum(same) >= 5 and sum(same) * 10 >= 7 * n:
+                assert any(all(same[a + k] for k, on in enumerate(m) if on == "1") for m in decontaminate.MASKS for a in range(n - len(m) + 1))
+
+
 def test_boilerplate(spark):
     texts = [f"page {i}\nmenu\n\nfoot" if i < 8 else f"page {i}\nmenu\nmenu" for i in range(10)] + [None, "", "menu"]
     docs = table(spark, texts).unionByName(table(spark, ["menu\nown"], 50, None))

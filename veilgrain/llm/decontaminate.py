@@ -6,7 +6,7 @@ there. Hashes of all test items and of all documents meet in an equi-join; befor
 the shuffle, document hashes pass a Bloom filter of fixed size over the
 test hashes (a false positive only costs a row). Every hit fixes a diagonal (position in the document less
 position in the item). Along it the words are compared, substitutions allowed, and
-the best stretch is kept.
+the agreeing words of every stretch that is equal enough count.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from veilgrain.llm.arrays import mix, pieces, word_hashes
 from veilgrain.session import written
 
-MASKS = ("111111", "11011011", "101101101", "1100110011")
+#: One of them fits every stretch of five agreeing words or more of which 70 % agree, whatever the places of the others.
+#: That holds for 5 to 13 words, and a longer stretch has a part of 7 to 13 words with the same share.
+MASKS = ("11101", "10111", "11011", "100111", "1101001", "1110001")
 FILTER_BITS = 1 << 24
 LEAST_WORDS = 5
 
 
 def seeds(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, first word) for every mask at every place where it fits in a row; a row shorter than all masks is one seed."""
+    """(seed, first word) for every mask at every place where it fits in a row."""
     rows = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     at = np.arange(len(hashes))
     room = firsts[1:][rows] - at
@@ -43,22 +45,6 @@ def seeds(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found), np.concatenate(place)
 
 
-def _short(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of ``size`` words in a row, for items shorter than every mask."""
-    rows = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    at = np.arange(len(hashes))
-    start = at[firsts[1:][rows] - at >= size]
-    total = np.full(len(start), 1000 + size, np.uint64)
-    for k in range(size):
-        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + hashes[start + k])
-    return total, start
-
-
-def _all_seeds(hashes: np.ndarray, firsts: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [seeds(hashes, firsts), *(_short(hashes, firsts, n) for n in sizes)]
-    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-
-
 def _bits(seed: np.ndarray) -> list[np.ndarray]:
     """Four bit numbers of each seed."""
     out = []
@@ -80,8 +66,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(firsts, firsts[1:], strict=False):
                 own = hashes[a:b]
                 cut = np.array([0, len(own)])
-                short = (len(own),) if LEAST_WORDS <= len(own) < min(map(len, MASKS)) else ()
-                seed, at = _all_seeds(own, cut, short)
+                seed, at = seeds(own, cut)
                 words.append(own.tobytes())
                 lists.append([{"seed": s, "at": p} for s, p in zip(seed.view(np.int64).tolist(), at.tolist(), strict=True)])
                 bits.append(np.unique(np.concatenate(_bits(seed)) if len(seed) else np.zeros(0, np.int64)).astype(np.int32).tobytes())
@@ -103,7 +88,7 @@ def _either(table: pa.Table) -> pa.Table:
     return pa.table([table["k"][:1], pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())], names=["k", "bits"])
 
 
-def _hits(bits, sizes: tuple[int, ...]):
+def _hits(bits):
     """Of each document the seeds that pass the filter, with the hashes of its words where any do."""
     kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("words", pa.binary()), ("seeds", kind)])
@@ -114,7 +99,7 @@ def _hits(bits, sizes: tuple[int, ...]):
             ids, keys, words, lists = [], [], [], []
             for first, _, data, offsets in pieces(batch.column(2), 1 << 20):
                 hashes, firsts = word_hashes(data, offsets)
-                seed, at = _all_seeds(hashes, firsts, sizes)
+                seed, at = seeds(hashes, firsts)
                 mixed = seed
                 for k in range(4):
                     if not len(seed):
@@ -137,30 +122,39 @@ def _hits(bits, sizes: tuple[int, ...]):
     return run
 
 
-FOUND_SQL = "doc_id long, text_key long, item_id long, start int, end int, item_words int, hit binary, matched int, length int"
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())] + [("item_words", pa.int32()), ("hit", pa.binary()), ("matched", pa.int32()), ("length", pa.int32())])
+FOUND_SQL = "doc_id long, text_key long, item_id long, start int, end int, item_words int, hit binary"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())] + [("item_words", pa.int32()), ("hit", pa.binary())])
 
 
-def best_stretch(same: np.ndarray, penalty: int = 2) -> tuple[int, int]:
-    """[start, end) of the stretch with the most matches less ``penalty`` times the other words."""
-    score = np.r_[0, np.cumsum(np.where(same, 1, -penalty))]
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    return int(np.flatnonzero(score[: end + 1] == low[end])[-1]), end
+def counted(same: np.ndarray, identity: float) -> np.ndarray:
+    """The agreeing words that stand in a stretch with LEAST_WORDS of them or more and at least ``identity`` of its words."""
+    agree = np.r_[0, np.cumsum(same)]
+    score = agree - identity * np.arange(len(agree))
+    top = np.maximum.accumulate(score[::-1])
+    # the last end of an equal enough stretch from each start; it holds all shorter ones from there
+    end = len(top) - 1 - np.searchsorted(top, score - 1e-9)
+    start = np.flatnonzero(agree[end] - agree >= LEAST_WORDS)
+    edges = np.zeros(len(agree), np.int64)
+    edges[start] += 1
+    np.subtract.at(edges, end[start], 1)
+    return same & (np.cumsum(edges)[:-1] > 0)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, key, item_id, shift, document, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            document, item = np.frombuffer(document, np.uint64), np.frombuffer(item, np.uint64)
-            a, b = max(0, -shift), min(len(item), len(document) - shift)
-            same = item[a:b] == document[a + shift : b + shift]
-            start, end = best_stretch(same)
-            hit = np.zeros(len(item), bool)
-            hit[a + start : a + end] = same[start:end]
-            rows.append((doc_id, key, item_id, a + start + shift, a + end + shift, len(item), np.packbits(hit).tobytes(), int(hit.sum()), end - start))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(FOUND)], schema=FOUND)
+def _verify(identity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, key, item_id, shift, document, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                document, item = np.frombuffer(document, np.uint64), np.frombuffer(item, np.uint64)
+                a, b = max(0, -shift), min(len(item), len(document) - shift)
+                hit = np.zeros(len(item), bool)
+                hit[a:b] = counted(item[a:b] == document[a + shift : b + shift], identity)
+                on = np.flatnonzero(hit)
+                if len(on):
+                    rows.append((doc_id, key, item_id, int(on[0]) + shift, int(on[-1]) + 1 + shift, len(item), np.packbits(hit).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(FOUND)], schema=FOUND)
+
+    return run
 
 
 def _cover(table: pa.Table) -> pa.Table:
@@ -190,8 +184,9 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, text_key, item_id, start, end, item_words, matched) for each document and item that overlap.
 
-    Words are runs free of ASCII white space, A-Z lower-cased. A stretch counts if at
-    least ``identity`` of its words agree; the document is reported with the item if the agreeing words are at
+    Words are runs free of ASCII white space, A-Z lower-cased. A stretch without words put in or left out counts if
+    five of its words or more, and at least ``identity`` of them, agree; from an identity of 0.7 up no such stretch is
+    missed. All agreeing words of an item's stretches count together; the document is reported with the item if the agreeing words are at
     least ``share`` of the item's, or ``words`` of them. ``start`` and ``end`` are word positions in the document;
     ``text_key`` is xxhash64 of its text, which tells rows of one id apart (equal rows are reported once).
     Items of fewer than five words, null and empty texts match nothing.
@@ -201,19 +196,15 @@ def contaminated(
     items = written(items.where("text is not null").mapInArrow(_items, ITEM_SQL), "items")
     merged = items.select("bits").mapInArrow(_filter, "k int, bits binary").groupBy("k").applyInArrow(_either, "k int, bits binary").collect()
     bits = merged[0].bits if merged else bytes(FILTER_BITS // 8)
-    size = F.octet_length("words") / 8
-    short = items.where((size >= LEAST_WORDS) & (size < min(map(len, MASKS)))).select(size.cast("int").alias("n")).distinct()
-    sizes = tuple(sorted(r.n for r in short.collect()))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    hits = written(rows.mapInArrow(_hits(spark.sparkContext.broadcast(bits), sizes), "doc_id long, text_key long, words binary, seeds array<struct<seed:long,at:int>>"), "hits")
+    hits = written(rows.mapInArrow(_hits(spark.sparkContext.broadcast(bits)), "doc_id long, text_key long, words binary, seeds array<struct<seed:long,at:int>>"), "hits")
     left = hits.select("doc_id", "text_key", F.inline("seeds"))
     right = items.select("item_id", F.inline("seeds")).withColumnRenamed("at", "item_at")
     lines = left.join(right, "seed").select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     document = hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("words").alias("document")).dropDuplicates(["d", "t"])
     pairs = lines.join(document, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
     pairs = pairs.join(items.select(F.col("item_id").alias("i"), F.col("words").alias("item")), F.col("item_id").eqNullSafe(F.col("i")))
-    checked = pairs.select("doc_id", "text_key", "item_id", "shift", "document", "item").mapInArrow(_verify, FOUND_SQL)
-    kept = checked.where(F.col("matched") >= identity * F.col("length"))
+    checked = pairs.select("doc_id", "text_key", "item_id", "shift", "document", "item").mapInArrow(_verify(identity), FOUND_SQL)
     columns = "doc_id long, text_key long, item_id long, start int, end int, item_words int, matched int"
-    whole = kept.groupBy("doc_id", "text_key").applyInArrow(_cover, columns)
+    whole = checked.groupBy("doc_id", "text_key").applyInArrow(_cover, columns)
     return whole.where((F.col("matched") >= share * F.col("item_words")) | (F.col("matched") >= words)).where(f"matched >= {LEAST_WORDS}")
