@@ -374,6 +374,46 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_finds_every_copy():
+    templates = {n: [w for w, _, _ in licenses.normal(t)] for n, t in licenses.TEMPLATES.items()}
+    short, mit = licenses.TEMPLATES["Apache-2.0-notice"], licenses.TEMPLATES["MIT"]
+    for text, copy, name in ((f"The notice: {short} Later again: {short} The end", short, "Apache-2.0-notice"), (f"{mit} and the license {mit}\n{mit}", mit, "MIT")):
+        got = [(n["start"], n["end"], n["coverage"]) for n in licenses.find(text, templates) if n["license"] == name]
+        starts = [m.start() for m in re.finditer(re.escape(copy), text)]
+        assert [x[0] for x in got] == starts and all(c == 1 for _, _, c in got)
+    # all starts and ends, by the plain recurrence
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(400):
+        template = [rng.choice("abcdefg") for _ in range(rng.randrange(2, 8))]
+        words = [rng.choice("abcdefgxy") for _ in range(rng.randrange(0, 12))]
+        for _ in range(rng.randrange(4)):
+            words += [w for w in template if rng.random() < 0.9] + [rng.choice("abcdefgxy") for _ in range(rng.randrange(4))]
+        need, reach, begin, want = 0.8 * len(template), licenses.STRETCH * len(template), 0, 0
+        for end in range(1, len(words) + 1):
+            if any(common(words[a:end], template) >= need for a in range(max(begin, end - reach), end)):
+                want, begin = want + 1, end
+        got = licenses.find(" ".join(words), {"t": template}, 0.8)
+        assert len(got) == want
+        seen += want
+        last = -1
+        for n in got:
+            a, b = n["start"] // 2, (n["end"] + 1) // 2
+            assert a > last and b - a <= reach and common(words[a:b], template) == round(n["coverage"] * len(template)) >= need
+            last = b - 1
+    assert seen > 300
+
+
 def test_alignment_is_common_and_rising():
     rng = random.Random(5)
     for _ in range(200):

@@ -3,7 +3,10 @@
 Words that occur once in the text and once in the template are anchors. Of these the longest
 run that rises in both (patience sorting) is kept, and the gaps between its members are aligned
 the same way, where more words are unique; where none are, equal words at the ends of a gap
-still match. Coverage is the share of the template's words that are aligned.
+still match. That settles a stretch that holds the whole template and no word of it more often.
+Where words are repeated, changed or missing, the longest common subsequence with the template
+decides, from bit vectors, so copies side by side do not hide each other.
+Coverage is the share of the template's words that are aligned.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,6 +95,66 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _masks(template: list[str]) -> dict[str, int]:
+    """The places of each word of a template as bits."""
+    out: dict[str, int] = {}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def _common(words: Iterable[str], masks: dict[str, int], size: int) -> Iterator[int]:
+    """Length of the longest common subsequence with the template after each word."""
+    full = (1 << size) - 1
+    row = full
+    for w in words:
+        hit = row & masks.get(w, 0)
+        row = (row + hit | row - hit) & full
+        yield size - row.bit_count()
+
+
+def _places(marks: list[int], names: list[str], template: list[str], need: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, aligned words) of each notice, left to right; ``marks`` are the places of template words.
+
+    A notice is a stretch of at most STRETCH template lengths that has ``need`` words or more in common with the
+    template, in order. Of stretches that overlap the one that ends first is taken, so that as many as possible are found; each then
+    grows over free words, no further than the next one's beginning, if that aligns more.
+    """
+    reach = STRETCH * len(template)
+    size = len(template)
+    ahead, back = _masks(template), _masks(template[::-1])
+    words = [names[i] for i in marks]
+    least: list[tuple[int, int]] = []
+    begin = 0
+    while begin < len(marks):
+        # every short enough stretch that starts in the first half of these words ends in them
+        stop = bisect_left(marks, marks[begin] + 2 * reach)
+        end = next((k for k, n in enumerate(_common(words[begin:stop], ahead, size), begin) if n >= need), None)
+        if end is None:
+            begin = bisect_left(marks, marks[begin] + reach)
+            continue
+        start = next(end - k for k, n in enumerate(_common(reversed(words[begin : end + 1]), back, size)) if n >= need)
+        # a stretch from an earlier start ends no sooner, so it is too long as well
+        if marks[end] - marks[start] >= reach:
+            begin = start + 1
+            continue
+        least.append((start, end))
+        begin = end + 1
+    out = []
+    free = 0
+    for k, (start, end) in enumerate(least):
+        stop = least[k + 1][0] if k + 1 < len(least) else len(marks)
+        stop = min(stop, bisect_left(marks, marks[start] + reach))
+        sizes = list(_common(words[start:stop], ahead, size))
+        end = start + sizes.index(sizes[-1])
+        first = max(free, bisect_left(marks, marks[end] - reach + 1))
+        sizes = list(_common(reversed(words[first : end + 1]), back, size))
+        start = end - sizes.index(sizes[-1])
+        out.append((marks[start], marks[end], sizes[-1]))
+        free = end + 1
+    return out
+
+
 def find(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE) -> list[dict]:
     """Notices in a text: template, coverage, start and end (code points), best first in each place."""
     plain = text.lower()
@@ -126,20 +189,18 @@ def find(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE)
                 count[w] -= 1
                 low += 1
             if have >= need:
-                if spans and marks[low] <= spans[-1][1]:
-                    spans[-1][1] = i + 1
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high + 1
                 else:
-                    spans.append([marks[low], i + 1])
+                    spans.append([low, high + 1])
         for a, b in spans:
-            begin = a
-            while begin < b:
-                pairs = align(names[begin : min(b, begin + 2 * reach)], template)
-                if len(pairs) < need:
-                    begin += reach
-                    continue
-                first, last = begin + pairs[0][0], begin + pairs[-1][0]
-                found.append({"license": name, "coverage": len(pairs) / len(template), "start": words[first][1], "end": words[last][2]})
-                begin = last + 1
+            own = marks[a:b]
+            if len(own) == len(template) and own[-1] - own[0] < reach and len(align([names[i] for i in own], template)) == len(template):
+                places = [(own[0], own[-1], len(template))]
+            else:
+                places = _places(own, names, template, need)
+            for first, last, n in places:
+                found.append({"license": name, "coverage": n / len(template), "start": words[first][1], "end": words[last][2]})
     found.sort(key=lambda x: (x["start"], -x["end"], x["license"]))
     return found
 
@@ -163,7 +224,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """(doc_id, notices) for each row; ``notices`` holds (license, coverage, start, end) by place, end exclusive, code points.
 
     Words are compared in lower case without the signs around them. Every place where a template is covered to
-    ``coverage`` is reported, also where a longer template covers it. A null or empty text has no notices; ids may
+    ``coverage`` within STRETCH times its length is reported, as many as fit side by side, also where a longer template covers it. A null or empty text has no notices; ids may
     be null or repeated.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
