@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against what its operators say, and the registered queries of the folder."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -44,3 +46,29 @@ def test_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
+
+
+def rows(spark, texts):
+    """(doc_id, text) as documents of one source."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def page(seed, lines=12):
+    rng = random.Random(seed)
+    return "\n".join(" ".join(f"w{rng.randrange(5000)}" for _ in range(9)) for _ in range(lines))
+
+
+def test_one_text_of_each_group_of_copies_is_packed(spark):
+    menu = "home about us contact"
+    texts = [f"{menu}\n{page(k)}" for k in range(40)]
+    near = page(1000, 20).split("\n")
+    near = ["\n".join([*near[:k], "another " + near[k], *near[k + 1 :]]) for k in range(6)]
+    docs = rows(spark, enumerate(texts + [page(999)] * 20 + near))
+    for name, stage in corpus_pipeline.STAGES[1:3] + corpus_pipeline.STAGES[4:]:
+        docs = written(stage(spark, docs, SF), name)
+        if name == "near_duplicates":
+            kept = {r.doc_id: r.text for r in docs.collect()}
+    assert kept == {k: page(k) for k in range(40)} | {40: page(999), 60: near[0]}
+    packed = docs.select(F.explode("doc_ids").alias("doc_id")).collect()
+    assert sorted(r.doc_id for r in packed) == sorted(kept)
+    assert docs.agg(F.sum("used")).first()[0] == sum(len(t.split()) for t in kept.values())

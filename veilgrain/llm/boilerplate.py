@@ -13,7 +13,7 @@ def _name(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(17), line).alias("b"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counted: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs``, the text without its boilerplate, and ``n_lines`` and ``n_dropped``.
 
     Pages are rows, grouped by host. A line (between newlines, exactly as written) is boilerplate
@@ -21,11 +21,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", id_col: str = "doc_i
     the host's pages; several times on a page count once. All its occurrences go, and
     the other lines keep their order. Empty lines stay. Hosts that are null are
     one host; a null text stays null, has no lines and counts as a page; repeated rows are pages of their own.
+    With ``counted``, only its rows are pages and lines are counted over them: ``docs`` without its copies, for one.
     A host's boilerplate has at most (mean lines of a page) / ratio lines, which bounds the array that is joined.
     ``docs`` must not have columns named n_lines, n_dropped, or beginning with ``_line``.
     """
     lines = F.split(F.col(text_col), "\n", -1)
-    base = docs.select(F.col(host).alias("_line_host"), lines.alias("l"))
+    base = (docs if counted is None else counted).select(F.col(host).alias("_line_host"), lines.alias("l"))
     pages = base.groupBy("_line_host").agg(F.count("*").alias("pages"))
     each = base.select("_line_host", F.explode(F.array_distinct(F.transform(F.filter("l", lambda x: x != ""), _name))).alias("name"))
     often = each.groupBy("_line_host", "name").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
