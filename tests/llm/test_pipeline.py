@@ -72,3 +72,16 @@ def test_one_text_of_each_group_of_copies_is_packed(spark):
     packed = docs.select(F.explode("doc_ids").alias("doc_id")).collect()
     assert sorted(r.doc_id for r in packed) == sorted(kept)
     assert docs.agg(F.sum("used")).first()[0] == sum(len(t.split()) for t in kept.values())
+
+
+def test_null_and_repeated_ids(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    dirty = page(1) + "\n" + item
+    docs = rows(spark, [(None, page(2)), (None, page(2) + " more"), (5, page(2) + " end"), (None, page(3)), (None, page(3) + " more"), (7, page(4)), (7, page(4)), (8, page(2)), (8, page(5)), (9, None), (None, page(6))])
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_stage(spark, docs, SF).collect())
+    third = [t for i, t in got if i == 0 and t.startswith(page(3))]
+    assert len(third) == 1
+    assert got == sorted([(5, page(2) + " end"), (0, third[0]), (7, page(4)), (8, page(5)), (9, ""), (0, page(6))])
+    docs = rows(spark, [(None, dirty), (None, page(2)), (4, dirty), (4, page(3)), (5, None)])
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.benchmark_stage(spark, docs, SF).collect())
+    assert got == sorted([(0, page(2)), (4, page(3)), (5, "")])
