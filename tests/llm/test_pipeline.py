@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from veilgrain.llm import boilerplate, decontaminate, ngram_join, quality
+from veilgrain.llm import boilerplate, decontaminate, ngram_join, packing, quality
 from veilgrain.session import written
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +85,16 @@ def test_null_and_repeated_ids(spark):
     docs = rows(spark, [(None, dirty), (None, page(2)), (4, dirty), (4, page(3)), (5, None)])
     got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.benchmark_stage(spark, docs, SF).collect())
     assert got == sorted([(0, page(2)), (4, page(3)), (5, "")])
+
+
+def test_packed_text_keeps_its_white_space(spark):
+    texts = ["  one\n\n\ttwo  three ", "x\n" * 9000 + "  end\n"]
+    docs = rows(spark, enumerate(texts))
+    placed = packing.pack_documents(docs).cache()
+    made = {r.bin: r.text for r in corpus_pipeline.packing_stage(spark, docs, SF).collect()}
+    cut = packing.sequences(placed.withColumn("bin", F.concat_ws("-", "bin", "doc_id", "first_word")), docs, spacing=True)
+    parts = {r.bin: r.text for r in cut.collect()}
+    for k, text in enumerate(texts):
+        own = sorted((int(b.split("-")[-1]), t) for b, t in parts.items() if int(b.split("-")[-2]) == k)
+        assert "".join(t for _, t in own) == text
+    assert sum(map(len, made.values())) == sum(map(len, texts)) + placed.count() - len(made)

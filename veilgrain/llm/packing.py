@@ -120,33 +120,45 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PART_SQL = "bin string, capacity int, used int, slot int, doc_id long, text string"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(spacing: bool):
     """The pieces of each document as texts."""
     schema = pa.schema([("bin", pa.string()), ("capacity", pa.int32()), ("used", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())])
-    for batch in batches:
-        rows, size = [], 0
-        for doc_id, text, pieces in zip(*batch.columns, strict=True):
-            words = _WORD.findall(text.as_py())
-            for p in pieces.as_py():
-                part = " ".join(words[p["first_word"] : p["first_word"] + p["n_words"]])
-                rows.append((p["bin"], p["capacity"], p["used"], p["slot"], doc_id.as_py(), part))
-                size += len(part)
-            if size > BATCH_CHARS:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
-                rows, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
-
-
-def sequences(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+    def part(text: str, words: list[re.Match], first: int, after: int) -> str:
+        if not spacing:
+            return " ".join(m[0] for m in words[first:after])
+        return text[words[first].start() if first else 0 : words[after].start() if after < len(words) else len(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, value, pieces in zip(*batch.columns, strict=True):
+                text = value.as_py()
+                words = list(_WORD.finditer(text))
+                for p in pieces.as_py():
+                    own = part(text, words, p["first_word"], p["first_word"] + p["n_words"])
+                    rows.append((p["bin"], p["capacity"], p["used"], p["slot"], doc_id.as_py(), own))
+                    size += len(own)
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def sequences(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spacing: bool = False) -> DataFrame:
     """(bin, capacity, used, doc_ids, text): the packed sequences, pieces in order and joined by a newline.
 
+    Words of a piece are joined by single spaces; with ``spacing`` a piece is the document's own text up to the
+    next piece's first word, white space included, so the pieces of a document put together are the document.
     Texts are shuffled once to their places and once to their bins; a bin is bounded by its length.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
     places = placed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("bin", "capacity", "used", "slot", "first_word", "n_words")).alias("pieces"))
     match = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-    parts = rows.join(places.hint("shuffle_hash"), match).select("doc_id", "text", "pieces").mapInArrow(_cut, PART_SQL)
+    parts = rows.join(places.hint("shuffle_hash"), match).select("doc_id", "text", "pieces").mapInArrow(_cut(spacing), PART_SQL)
     # equal rows bring the same pieces twice; a slot is one place
     bins = parts.groupBy("bin", "capacity", "used").agg(F.sort_array(F.collect_set(F.struct("slot", "doc_id", "text"))).alias("p"))
     return bins.select("bin", "capacity", "used", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.text", "\n").alias("text"))
