@@ -14,9 +14,12 @@ from veilgrain.llm import (
     licenses,
     ngram_join,
     packing,
+    prefix_trie,
     quality,
     secrets,
+    simhash,
     suffix_dedup,
+    token_links,
 )
 
 Q, SQL = {}, {}
@@ -119,6 +122,61 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op12_token_links(spark: SparkSession, folder: str) -> DataFrame:
+    return token_links.align_documents(table(spark, folder, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    keys = prefix_trie.conversation_keys(table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(keys))
+
+
+SQL["op13_prefix_trie"] = r"""
+with crc_table as (
+  select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8),
+    lambda c, k: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end, n)) as steps),
+own as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+  group by conv_id),
+heads as (
+  select conv_id, turns, xor(4294967295::bigint, list_reduce(
+    list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii((conv_id::varchar)[i])::bigint),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::bigint)) % 9 as h
+  from own, crc_table),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) as seq
+  from heads c left join own b on b.conv_id = c.conv_id - c.conv_id % 5),
+members as (
+  select conv_id, d, seq[1:d] as p, len(seq) = d as here
+  from (select conv_id, seq, unnest(range(0, len(seq) + 1)) as d from rebuilt)),
+nodes as (
+  select p, d, min(conv_id) as conv_id, count(*) as n,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (here), '') as ends
+  from members group by p, d),
+kids as (select p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by 1),
+sized as (
+  select nodes.p, nodes.d, coalesce(kids.n, 0) as n_children,
+    case when nodes.d = 0 then 0 else (nodes.n - 1) * strlen(nodes.p[nodes.d].text) end as saved
+  from nodes left join kids on nodes.p = kids.p),
+below as (
+  select p[1:e] as p, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved
+  from (select p, n_children, saved, unnest(range(0, d + 1)) as e from sized) group by 1)
+select nodes.conv_id, nodes.d as depth, parent.conv_id as parent_conv_id, nodes.n as n_convs, n_children, n_leaves,
+  below.saved::bigint as saved_tokens, sha256(nodes.ends) as ends_sha256
+from nodes join sized on nodes.p = sized.p join below on nodes.p = below.p
+  left join nodes parent on nodes.d > 0 and parent.p = nodes.p[1:nodes.d - 1] and parent.d = nodes.d - 1
+"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
