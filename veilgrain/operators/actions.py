@@ -66,9 +66,7 @@ def risk_level(has_target: Column) -> Column:
         | ident.contains("delete")
         | ident.contains("reset")
     )
-    high = (_low("tag") == "button") & (
-        (kind == "submit") | ident.contains("book") | ident.contains("pay")
-    )
+    high = (_low("tag") == "button") & ((kind == "submit") | ident.contains("book"))
     return (
         F.when(F.col("action").isin("SCROLL", "HOVER", "WAIT"), "LOW")
         .when(has_target & critical, "CRITICAL")
@@ -410,11 +408,24 @@ def verify_tokens(uses: DataFrame, secret: str) -> DataFrame:
     return joined.withColumn("verdict", verdict).drop("_fault", "_first")
 
 
+def _first_failing(*demands: tuple[str, Column]) -> Column:
+    """The name of the first demand that is not plainly true; an unknown answer fails like a wrong one."""
+    chain = F
+    for name, demand in demands:
+        chain = chain.when(~F.coalesce(demand, F.lit(False)), name)
+    return chain.otherwise("OK")
+
+
 # --- page and capture integrity ---------------------------------------------
 
 
 def recheck_targets(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """What became of each approved target between two snapshots of the page."""
+    """What became of each approved target between two snapshots of the page.
+
+    What is not known counts against the target: an approval without an action is
+    void, and a target without both sizes is hidden. An attribute that is null is one
+    that the element does not have.
+    """
     old = before.select(*keys, F.col("origin").alias("_o"), F.col("action").alias("_action"), F.lit(True).alias("_was"))
     new = after.select(
         *keys,
@@ -432,14 +443,17 @@ def recheck_targets(before: DataFrame, after: DataFrame, keys: list[str]) -> Dat
         | F.col("_id").contains("delete")
         | F.col("_id").contains("reset")
         | F.col("_data").contains("exfiltrate")
-        | ((F.col("_type") == "password") & (F.col("_action") != "TYPE"))
+        | ((F.col("_type") == "password") & ~F.col("_action").eqNullSafe("TYPE"))
     )
+    sized = F.col("w").isNotNull() & F.col("h").isNotNull() & ((F.col("w") != 0) | (F.col("h") != 0))
+    seen = sized | (F.col("_action") == "WAIT")
     verdict = (
         F.when(F.col("_was").isNull(), "NEW")
         .when(F.col("_is").isNull(), "VANISHED")
         .when(~origin_match(F.col("_no"), F.col("_o")), "ORIGIN_CHANGED")
         .when(mutated, "MUTATED")
-        .when((F.col("w") == 0) & (F.col("h") == 0) & (F.col("_action") != "WAIT"), "HIDDEN")
+        .when(F.col("_action").isNull(), "UNKNOWN_ACTION")
+        .when(~F.coalesce(seen, F.lit(False)), "HIDDEN")
         .otherwise("OK")
     )
     return joined.select(*keys, verdict.alias("verdict"))
@@ -510,11 +524,14 @@ def capture_response_valid(requests: DataFrame, responses: DataFrame, compat: bo
 
 
 def navigation_binding(uses: DataFrame, navigations: DataFrame, bucket_seconds: int = 60) -> DataFrame:
-    """Confirmed uses are void when the tab navigated between confirmation and use.
+    """Uses are void on another tab or origin, and confirmed ones when the tab navigated since the confirmation.
 
     The latest navigation inside (confirm, use] is found by an equi-join on
     (task, time bucket): a use is repeated for the few buckets its interval
-    touches, so a busy task is spread over its buckets.
+    touches, so a busy task is spread over its buckets. A use must prove its tab,
+    origin and decision; a confirmed one also its task and both times, or nobody
+    can say what happened in between (``NO_INTERVAL``). A navigation without a time
+    may have happened at any time.
     """
 
     def bucket(ts):
@@ -532,14 +549,18 @@ def navigation_binding(uses: DataFrame, navigations: DataFrame, bucket_seconds:
     last = (
         spans.join(moves, ["task_id", "_b"]).filter(inside).groupBy("use_id").agg(F.max("nav_ts").alias("last_nav_ts"))
     )
-    joined = uses.join(last, "use_id", "left")
-    verdict = (
-        F.when(F.col("tab_id") != F.col("anchor_tab_id"), "CROSS_TAB")
-        .when(~origin_match(F.col("anchor_origin"), F.col("current_origin")), "ORIGIN_HIJACK")
-        .when((F.col("decision") == "CONFIRM") & F.col("last_nav_ts").isNotNull(), "NAVIGATED")
-        .otherwise("OK")
+    undated = navigations.filter("nav_ts is null").select("task_id").distinct().withColumn("_undated", F.lit(True))
+    joined = uses.join(last, "use_id", "left").join(undated, "task_id", "left")
+    allowed = F.col("decision") == "ALLOW"
+    known = F.col("use_id").isNotNull() & F.col("task_id").isNotNull() & (F.col("use_ts") >= F.col("confirm_ts"))
+    verdict = _first_failing(
+        ("CROSS_TAB", F.col("tab_id") == F.col("anchor_tab_id")),
+        ("ORIGIN_HIJACK", origin_match(F.col("anchor_origin"), F.col("current_origin"))),
+        ("NO_DECISION", F.col("decision").isin("ALLOW", "CONFIRM")),
+        ("NO_INTERVAL", allowed | known),
+        ("NAVIGATED", allowed | (F.col("last_nav_ts").isNull() & F.col("_undated").isNull())),
     )
-    return joined.withColumn("verdict", verdict)
+    return joined.select(*uses.columns, "last_nav_ts", verdict.alias("verdict"))
 
 
 # --- binding to regions -----------------------------------------------------
@@ -640,6 +661,9 @@ def verify_grounding(bindings: DataFrame) -> DataFrame:
 
     Columns: ``region_id, region_type, action, bound_ts, now_ts, bound_x,
     bound_y``, the bound box ``rx, ry, rw, rh`` and the live box ``lx, ly, lw, lh``.
+    Every demand must hold; a value that is missing fails like a wrong one. Only
+    a click point that was never given is no fault: there is nothing to be outside of.
+    An absent action counts as CLICK, and one without rules binds to any region.
     """
     age = F.unix_millis("now_ts") - F.unix_millis("bound_ts")
     act = F.upper(F.coalesce("action", F.lit("CLICK")))
@@ -648,16 +672,18 @@ def verify_grounding(bindings: DataFrame) -> DataFrame:
     inside = B.contains_point(
         (F.col("rx"), F.col("ry"), F.col("rw"), F.col("rh")), F.col("bound_x"), F.col("bound_y")
     )
-    shift = F.greatest(F.abs(F.col("lx") - F.col("rx")), F.abs(F.col("ly") - F.col("ry")))
-    verdict = (
-        F.when(F.col("region_id").isNull(), "MISSING")
-        .when(~age.between(0, K.GROUNDING_MAX_AGE_MS), "STALE")
-        .when(F.col("region_type") == "DISABLED_CONTROL", "DISABLED")
-        .when(F.col("region_type") == "UNKNOWN_VISUAL_REGION", "UNKNOWN_REGION")
-        .when(known & ~fits, "INCOMPATIBLE")
-        .when(act.isin("CLICK", "TYPE", "SELECT") & ~inside, "OUTSIDE")
-        .when((F.col("lw") <= 0) | (F.col("lh") <= 0), "ZERO_SIZE")
-        .when(shift > K.GROUNDING_MAX_SHIFT, "MOVED")
-        .otherwise("OK")
+    pointed = act.isin("CLICK", "TYPE", "SELECT") & (F.col("bound_x").isNotNull() | F.col("bound_y").isNotNull())
+    boxed = F.col("rx").isNotNull() & F.col("ry").isNotNull() & F.col("rw").isNotNull() & F.col("rh").isNotNull()
+    # greatest() passes over nulls, so both shifts are asked for
+    near = (F.abs(F.col("lx") - F.col("rx")) <= K.GROUNDING_MAX_SHIFT) & (F.abs(F.col("ly") - F.col("ry")) <= K.GROUNDING_MAX_SHIFT)
+    verdict = _first_failing(
+        ("MISSING", F.col("region_id").isNotNull()),
+        ("STALE", age.between(0, K.GROUNDING_MAX_AGE_MS)),
+        ("DISABLED", F.coalesce("region_type", F.lit("")) != "DISABLED_CONTROL"),
+        ("UNKNOWN_REGION", F.col("region_type") != "UNKNOWN_VISUAL_REGION"),
+        ("INCOMPATIBLE", ~known | fits),
+        ("OUTSIDE", ~pointed | inside),
+        ("ZERO_SIZE", (F.col("lw") > 0) & (F.col("lh") > 0)),
+        ("MOVED", near & boxed),
     )
     return bindings.withColumn("verdict", verdict)

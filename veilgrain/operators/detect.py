@@ -267,10 +267,9 @@ def media_entities(nodes: DataFrame) -> DataFrame:
     """Canvas, svg and img elements: readable ones are scanned, the rest fail closed.
 
     Small svg (20 px) and img (30 px) elements and ``aria-hidden`` svg may stay
-    unread; a size column that is absent counts as large enough.
+    unread; a size that is absent or unknown counts as large enough.
     """
-    width = F.col("w") if "w" in nodes.columns else F.lit(100)
-    height = F.col("h") if "h" in nodes.columns else F.lit(100)
+    width, height = (F.coalesce(c, F.lit(100)) if c in nodes.columns else F.lit(100) for c in ("w", "h"))
     media = nodes.filter(F.col("tag").isin(*MEDIA_TAGS)).withColumn("_text", _media_text())
     least = F.when(F.col("tag") == "img", 30).otherwise(20)
     decorative = (F.col("tag") == "svg") & F.coalesce(

@@ -179,7 +179,11 @@ def embedded_blob_flag(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def check_attestations(images: DataFrame, attestations: DataFrame, keys: list[str]) -> DataFrame:
-    """Ordered verdict per outgoing image; any failure drops the bytes."""
+    """Ordered verdict per outgoing image; any failure drops the bytes.
+
+    A privacy state that is unknown counts as unverified; a key, task or capture
+    that is missing attests nothing.
+    """
     held = attestations.select(
         *keys,
         F.col("status").alias("_status"),
@@ -190,11 +194,11 @@ def check_attestations(images: DataFrame, attestations: DataFrame, keys: list[st
     joined = images.join(held, keys, "left")
     verdict = (
         F.when(~F.coalesce(F.col("image").startswith("data:image/png;base64,"), F.lit(False)), "NO_IMAGE")
-        .when(F.col("state") == "VISUAL_PRIVACY_UNVERIFIED", "STATE_UNVERIFIED")
+        .when(F.coalesce("state", F.lit("VISUAL_PRIVACY_UNVERIFIED")) == "VISUAL_PRIVACY_UNVERIFIED", "STATE_UNVERIFIED")
         .when(F.col("_status").isNull() | (F.col("_status") != "SANITIZED"), "NOT_SANITIZED")
         .when(~F.col("_digest").eqNullSafe(F.sha2("image", 256)), "DIGEST_MISMATCH")
-        .when(~F.col("_task").eqNullSafe(F.col("task_id")), "WRONG_TASK")
-        .when(~F.col("_capture").eqNullSafe(F.col("capture_id")), "WRONG_CAPTURE")
+        .when(~F.coalesce(F.col("_task") == F.col("task_id"), F.lit(False)), "WRONG_TASK")
+        .when(~F.coalesce(F.col("_capture") == F.col("capture_id"), F.lit(False)), "WRONG_CAPTURE")
         .otherwise("OK")
     )
     return (

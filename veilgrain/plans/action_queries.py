@@ -383,7 +383,7 @@ RESPONSES_SQL = """SELECT event_id * 10 + k AS response_id, CASE WHEN k = 1 THEN
 SQL["capture_response_valid"] = f"SELECT response_id, verdict FROM ({RESPONSES_SQL})"
 
 
-def navigation_binding(spark, d):
+def _binding_frames(spark, d):
     ev = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     own = F.concat(F.lit("https://s"), (F.col("user_id") % 7).cast("string"), F.lit(".example.com"))
     e = F.col("event_id")
@@ -399,7 +399,11 @@ def navigation_binding(spark, d):
         F.col("ts").alias("use_ts"),
     )
     navs = ev.filter("event_type = 'error'").select(F.col("user_id").alias("task_id"), F.col("ts").alias("nav_ts"))
-    out = A.navigation_binding(uses, navs, bucket_seconds=3600)
+    return uses, navs
+
+
+def navigation_binding(spark, d):
+    out = A.navigation_binding(*_binding_frames(spark, d), bucket_seconds=3600)
     return _ntz(out.select("use_id", "last_nav_ts", "verdict"))
 
 
@@ -461,12 +465,12 @@ SQL["bind_actions"] = V.with_views(
 )
 
 
-def verify_grounding(spark, d):
+def _bindings(spark, d):
     p = V.boxes_pred(spark, d)
     types = (*_TYPES[:5], "DISABLED_CONTROL", "UNKNOWN_VISUAL_REGION")
     k = F.round(F.col("conf") * 100).cast("int")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    rows = p.select(
+    return p.select(
         F.when(k != 7, F.col("pred_id")).alias("region_id"),
         F.col("pred_id"),
         V._pick(types, F.col("cls") % 7).alias("region_type"),
@@ -479,7 +483,9 @@ def verify_grounding(spark, d):
         (F.col("x") + k % 41).alias("lx"), F.col("y").alias("ly"),
         F.when(k == 9, 0).otherwise(F.col("w")).alias("lw"), F.col("h").alias("lh"),
     )
-    return A.verify_grounding(rows).select("pred_id", "verdict")
+
+def verify_grounding(spark, d):
+    return A.verify_grounding(_bindings(spark, d)).select("pred_id", "verdict")
 
 
 Q["verify_grounding"] = verify_grounding
@@ -491,3 +497,39 @@ SQL["verify_grounding"] = V.with_views(
     FROM (SELECT *, {V._case((*_TYPES[:5], 'DISABLED_CONTROL', 'UNKNOWN_VISUAL_REGION'), 'cls % 7')} AS region_type, {V._case(_ACTS, 'k % 5')} AS act
       FROM (SELECT *, CAST(round(conf * 100) AS INTEGER) AS k FROM boxes_pred))""",
 )
+
+
+# --- unknown inputs ---------------------------------------------------------
+
+
+def _forget(rows, columns):
+    """Each row once per column, with that column unknown and named in ``lost``."""
+    each = rows.withColumn("lost", F.explode(F.array(*map(F.lit, columns))))
+    return each.select(*[F.when(F.col("lost") != c, F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns], "lost")
+
+
+def _tally(judged, check):
+    n = F.count("*").alias("n"), F.count_if(F.col("verdict") == "OK").alias("passed")
+    return judged.groupBy(F.lit(check).alias("test"), "lost").agg(*n)
+
+
+GROUNDING_INPUTS = ("region_id", "region_type", "bound_ts", "now_ts", "rx", "ry", "rw", "rh", "lx", "ly", "lw", "lh")
+BINDING_INPUTS = ("task_id", "tab_id", "anchor_tab_id", "anchor_origin", "current_origin", "decision", "confirm_ts", "use_ts")
+
+
+def unknown_inputs(spark, d):
+    """Uses and bindings that pass, judged again with each of their inputs unknown."""
+    bindings = A.verify_grounding(_bindings(spark, d)).filter("verdict = 'OK' and action = 'CLICK'").drop("verdict")
+    grounding = A.verify_grounding(_forget(bindings, GROUNDING_INPUTS))
+    uses, navs = _binding_frames(spark, d)
+    good = A.navigation_binding(uses, navs, bucket_seconds=3600).filter("verdict = 'OK' and decision = 'CONFIRM'").select("use_id")
+    again = A.navigation_binding(_forget(uses.join(good, "use_id"), BINDING_INPUTS), navs, bucket_seconds=3600)
+    return _tally(grounding, "grounding").unionByName(_tally(again, "binding"))
+
+
+Q["unknown_inputs"] = unknown_inputs
+SQL["unknown_inputs"] = f"""SELECT 'grounding' AS test, lost, n, 0 AS passed FROM (SELECT unnest({list(GROUNDING_INPUTS)}) AS lost),
+    (SELECT count(*) AS n FROM ({SQL["verify_grounding"]}) v JOIN ({V.with_views(["boxes_pred"], "SELECT pred_id, conf FROM boxes_pred")}) p USING (pred_id)
+     WHERE verdict = 'OK' AND {V._case(_ACTS, "CAST(round(conf * 100) AS INTEGER) % 5")} = 'CLICK')
+  UNION ALL SELECT 'binding', lost, n, 0 FROM (SELECT unnest({list(BINDING_INPUTS)}) AS lost),
+    (SELECT count(*) AS n FROM ({SQL["navigation_binding"]}) WHERE verdict = 'OK' AND use_id % 3 <> 0)"""

@@ -215,9 +215,9 @@ def vault_ttl_stream(sightings: DataFrame, ttl_minutes: int = K.VAULT_TTL_MINUTE
 
 
 def staleness(captured: str, received: str, max_age_ms: int = K.GROUNDING_MAX_AGE_MS):
-    """``fresh``, ``stale`` or ``future`` by event time against ingest time."""
+    """``fresh``, ``stale`` or ``future`` by event time against ingest time; without both times ``stale``."""
     age = F.unix_millis(received) - F.unix_millis(captured)
-    return F.when(age < 0, "future").when(age > max_age_ms, "stale").otherwise("fresh")
+    return F.when(age < 0, "future").when(age <= max_age_ms, "fresh").otherwise("stale")
 
 
 def stale_filter(stream: DataFrame, captured: str, received: str, path: str, max_age_ms: int = K.GROUNDING_MAX_AGE_MS) -> None:
