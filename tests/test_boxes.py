@@ -138,3 +138,35 @@ def test_exact_quantiles(spark):
     ).first()
     ordered = sorted(values)
     assert got.n == 501 and got.p50 == pytest.approx(ordered[250]) and got.p95 == ordered[-(-501 * 95 // 100) - 1]
+
+
+def test_ranks_do_not_care_how_values_crowd(spark):
+    rng = random.Random(4)
+    values = [0.999 + rng.random() / 1000 for _ in range(990)] + [rng.random() for _ in range(9)] + [1e18]
+    rows = [(k % 3 if k % 5 else None, v) for k, v in enumerate(values)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(4)
+    placed = ranks.ranged(df.filter("v is not null").groupBy("g", "v").agg(F.count("*").alias("n")), ["g"], ["v"])
+    sizes = [r.n for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 1 or max(sizes) < 4 * len(values) / len(sizes)
+    got = ranks.value_ranks(df, ["g"], "v").groupBy("g").agg(
+        ranks.at_rank("v", F.floor(F.col("total") / 2) + 1).alias("median"), F.max("total").alias("total"), F.max("upto").alias("last")
+    )
+    for r in got.collect():
+        own = sorted(v for g, v in rows if g == r.g and v is not None)
+        assert (r.median, r.total, r.last) == (own[len(own) // 2], len(own), len(own))
+    ordered = ranks.value_ranks(df, [], "v").collect()
+    assert sorted((r.v, r.upto) for r in ordered) == [(v, k + 1) for k, v in enumerate(sorted(values))]
+
+
+def test_running_backward(spark):
+    rng = random.Random(6)
+    rows = [(k % 2, float(o), rng.random()) for k in range(2) for o in rng.sample(range(500), 200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ranks.ranged(spark.createDataFrame(rows, "g long, o double, x double"), ["g"], ["o"])
+        got = ranks.running(placed, ["g"], ["o"], {"top": "x"}, F.max, backward=True).collect()
+        assert len({r._range for r in got}) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for r in got:
+        assert r.top == max(x for g, o, x in rows if g == r.g and o >= r.o)

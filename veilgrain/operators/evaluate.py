@@ -121,7 +121,7 @@ def per_class_metrics(gt: DataFrame, matched: DataFrame, empty: float = 0.0) ->
 def iou_stats(matches: DataFrame, iou: float = K.MATCH_IOU, exact: bool = True) -> DataFrame:
     """Mean, median and p95 (linear interpolation) of matched IoU.
 
-    Exact ranks come from counted values in bins; ``exact=False`` uses a sketch.
+    Exact ranks come from counted values sorted over the cluster; ``exact=False`` uses a sketch.
     """
     hit = matches.filter(F.col("best_iou") >= iou).select(F.col("best_iou").alias("v"))
     if not exact:
@@ -329,8 +329,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, ious=(0.50,)) -> DataFrame
 
     Equal confidences count as one step. Predictions are reduced to one row per
     (threshold, class, confidence) map-side; running sums and the envelope go
-    over confidence bins first and within a bin second, so a class is never one
-    task.
+    over sampled ranges of the confidence, so a class is never one task, however
+    its confidences crowd.
     """
     pairs = iou_pairs(gt, pred, same_class=True)
     best = pairs.groupBy("image_id", "b_pred_id", "b_conf", "b_cls").agg(
@@ -347,23 +347,11 @@ def average_precision(gt: DataFrame, pred: DataFrame, ious=(0.50,)) -> DataFrame
         F.explode(cuts).alias("iou_thr"), "cls", "conf", F.lit(0).cast("long").alias("tp"), "n"
     )
     steps = hits.unionByName(shown).groupBy("iou_thr", "cls", "conf").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    # One row per confidence, read by several branches: written once, so the pairs are formed once.
-    steps = written(steps, "ap-steps")
-    steps = steps.withColumn("_b", F.floor(F.col("conf") * R.BINS))
     key = ["iou_thr", "cls"]
-    before = Window.partitionBy(*key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = steps.groupBy(*key, "_b").agg(F.sum("tp").alias("_t"), F.sum("n").alias("_n")).select(
-        *key, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0")
-    )
-    inside = Window.partitionBy(*key, "_b").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.join(bins, [*key, "_b"]).withColumn("_tp", F.col("_t0") + F.sum("tp").over(inside))
-    curve = curve.withColumn("_pr", F.col("_tp") / (F.col("_n0") + F.sum("n").over(inside)))
-    later_bins = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = curve.groupBy(*key, "_b").agg(F.max("_pr").alias("_top")).select(
-        *key, "_b", F.coalesce(F.max("_top").over(later_bins), F.lit(0.0)).alias("_later")
-    )
-    rest = Window.partitionBy(*key, "_b").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
-    envelope = curve.join(tops, [*key, "_b"]).withColumn("_env", F.greatest(F.col("_later"), F.max("_pr").over(rest)))
+    # one row per confidence, sorted over the cluster from the surest on
+    placed = R.ranged(steps.withColumn("_order", -F.col("conf")), key, ["_order"], "ap-steps")
+    curve = R.running(placed, key, ["_order"], {"_tp": "tp", "_n": "n"}).withColumn("_pr", F.col("_tp") / F.col("_n"))
+    envelope = R.running(curve, key, ["_order"], {"_env": "_pr"}, F.max, backward=True)
     truths = gt.groupBy("cls").agg(F.count("*").alias("gt"))
     area = envelope.groupBy(*key).agg(F.sum(F.col("tp") * F.col("_env")).alias("_area"))
     base = truths.select("cls", "gt", F.explode(cuts).alias("iou_thr"))
