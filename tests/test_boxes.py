@@ -170,3 +170,38 @@ def test_running_backward(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for r in got:
         assert r.top == max(x for g, o, x in rows if g == r.g and o >= r.o)
+
+
+def test_direction_counts_of_thin_and_crowded_boxes(spark):
+    rng = random.Random(8)
+    rows = [(1, k, rng.randrange(200), rng.randrange(80) / 2, rng.randrange(1, 30), rng.randrange(1, 30)) for k in range(300)]
+    rows += [(2, 1000 + k, 5, 5, 4, 4) for k in range(200)] + [(3, 5000, 1, 1, 1, 1)]
+    frame = spark.createDataFrame([(i, k, float(x), float(y), float(w), float(h)) for i, k, x, y, w, h in rows], "image_id long, id long, x double, y double, w double, h double")
+
+    def sign(a, b, p, s):
+        return 1 if a[p] + a[s] <= b[p] + 12 else -1 if b[p] + b[s] <= a[p] + 12 else 0
+
+    want = {}
+    for a in rows:
+        vert = [sign(a, b, 3, 5) for b in rows if b[0] == a[0] and b[1] != a[1]]
+        horiz = [sign(a, b, 2, 4) for b in rows if b[0] == a[0] and b[1] != a[1]]
+        want[a[1]] = (vert.count(1), vert.count(-1), horiz.count(1), horiz.count(-1))
+    got = {r.id: (r.n_above, r.n_below, r.n_left, r.n_right) for r in geometry.direction_counts(frame, "id").collect()}
+    assert got == want
+
+
+def test_alignment_runs_give_back_the_pairs(spark, frames):
+    gt, _, g, _ = frames
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = geometry.alignment_runs(g, "gt_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(runs) == 6 * len(gt)
+    by_run = {}
+    for r in runs:
+        by_run.setdefault((r.image_id, r.line, r.run), []).append(r)
+    assert all(len(v) == v[0].members for v in by_run.values())
+    pairs = {(a.image_id, a.gt_id, b.gt_id) for v in by_run.values() for a in v for b in v if a.gt_id != b.gt_id and abs(a.at - b.at) <= 8}
+    listed = geometry.spatial_relations(g, "gt_id").filter("relation = 'ALIGNED_WITH'").collect()
+    assert pairs == {(r.image_id, r.src, r.dst) for r in listed}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilgrain import constants as K
 from veilgrain.functions import boxes as B
+from veilgrain.functions import ranks as R
 from veilgrain.session import written
 
 CELL = 256
@@ -194,6 +195,9 @@ RELATION_CONFIDENCE = {
 }
 
 
+LINES = ("top", "bottom", "middle", "left", "right", "centre")
+
+
 def _alignments(p: str) -> list[Column]:
     x, y, w, h = B.box(p)
     return [y, y + h, y + h / 2, x, x + w, x + w / 2]
@@ -288,6 +292,89 @@ def spatial_relations(df: DataFrame, ident: str, directional: str = "near") -> D
     )
 
 
+def direction_counts(df: DataFrame, ident: str, slack: int = 12) -> DataFrame:
+    """How many boxes of its image each box is above, below, left of and right of, without forming pairs.
+
+    A box is above another if it ends at most ``slack`` below the other's start, and
+    below it if that holds the other way round only (likewise left and right). So
+    ``n_above`` counts starts from a point on: every edge and every question is a
+    place on one of two axes, all places of an image are sorted over the cluster, and
+    running sums count the edges before a question. Two boxes so thin that each
+    starts within the slack of the other's end would count both ways; those are
+    counted apart, by kinds of thin boxes in bands of the slack, and taken off.
+    Boxes without an area are left out; ``ident`` must be unique in an image.
+    """
+    boxes = df.filter((F.col("w") > 0) & (F.col("h") > 0))
+    boxes = boxes.select("image_id", F.col(ident).alias("id"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    sides = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(p).alias("low"), (F.col(p) + F.col(s)).alias("high")) for a, p, s in (("x", "x", "w"), ("y", "y", "h")))))
+    spans = written(boxes.select("image_id", "id", sides.alias("s")).select("image_id", "id", "s.*"), "spans")
+
+    def place(at, kind: str, weight: int) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(weight).alias("edge"))
+
+    # a start before a question at the same place does not count as after it, an end at the place counts as before it
+    low, high = F.col("low"), F.col("high")
+    places = F.array(
+        place(low, "b_start", 1), place(high - slack, "a_starts_before", 0),
+        place(high, "c_end", 1), place(low + slack, "d_ends_until", 0),
+    )
+    rows = spans.select("image_id", "axis", "id", "low", "high", F.explode(places).alias("p")).select("image_id", "axis", "id", "low", "high", "p.*")
+    starts = F.col("kind").isin("a_starts_before", "b_start").alias("of_starts")
+    group, order = ["image_id", "axis", "of_starts"], ["at", "kind", "id"]
+    counted = R.running(R.ranged(rows.select("*", starts), group, order, "places"), group, order, {"until": "edge"})
+    sizes = spans.groupBy("image_id", "axis").agg(F.count("*").alias("n"))
+    asked = counted.filter("edge = 0").join(sizes, ["image_id", "axis"])
+    own = (F.col("high") - F.col("low") <= slack).cast("long")
+    after = F.when(F.col("of_starts"), F.col("n") - F.col("until") - own)
+    before = F.when(~F.col("of_starts"), F.col("until") - own)
+    # thin boxes: kinds of equal (low, high), each met by the kinds of its bands
+    thin = spans.filter(high - low < 2 * slack)
+    kinds = thin.groupBy("image_id", "axis", "low", "high").agg(F.count("*").alias("n"))
+    band = 2 * slack
+    a = kinds.select("image_id", "axis", low.alias("a_low"), high.alias("a_high"), F.explode(F.sequence(F.floor((high - slack) / band), F.floor((low + slack) / band))).alias("_b"))
+    b = kinds.select("image_id", "axis", low.alias("b_low"), high.alias("b_high"), "n", F.floor(low / band).alias("_b"))
+    both = (F.col("b_low") >= F.col("a_high") - slack) & (F.col("b_high") <= F.col("a_low") + slack)
+    twice = a.join(b, ["image_id", "axis", "_b"]).filter(both).groupBy("image_id", "axis", F.col("a_low").alias("low"), F.col("a_high").alias("high"))
+    twice = twice.agg(F.sum("n").alias("twice")).withColumn("twice", F.col("twice") - (high - low <= slack).cast("long"))
+    taken = thin.join(twice, ["image_id", "axis", "low", "high"]).select("image_id", "id", "axis", F.lit(0).cast("long").alias("after"), (-F.col("twice")).alias("before"))
+    parts = asked.select("image_id", "id", "axis", F.coalesce(after, F.lit(0)).alias("after"), F.coalesce(before, F.lit(0)).alias("before"))
+
+    def total(axis: str, what: str) -> Column:
+        return F.sum(F.when(F.col("axis") == axis, F.col(what)).otherwise(0))
+
+    return parts.unionByName(taken).groupBy("image_id", F.col("id").alias(ident)).agg(
+        total("y", "after").alias("n_above"), total("y", "before").alias("n_below"),
+        total("x", "after").alias("n_left"), total("x", "before").alias("n_right"),
+    )
+
+
+def alignment_runs(df: DataFrame, ident: str, slack: int = 8) -> DataFrame:
+    """For each box and each of its six lines the run it lies on: one row, where pairs would be many.
+
+    Lines are top, bottom, middle, left, right and centre. A run is a chain of line
+    positions of an image, each within ``slack`` of the next; it is named by its
+    first position, and has ``members`` boxes. Two boxes are aligned on a line exactly
+    if they share a run and their positions differ by at most ``slack``. Positions
+    are made distinct map-side, then sorted over the cluster.
+    """
+    boxes = df.filter((F.col("w") > 0) & (F.col("h") > 0)).select("image_id", F.col(ident).alias("id"), "x", "y", "w", "h")
+    lines = F.array(*(F.struct(F.lit(n).alias("line"), v.cast("double").alias("at")) for n, v in zip(LINES, _alignments(""), strict=True)))
+    rows = written(boxes.select("image_id", "id", F.explode(lines).alias("l")).select("image_id", "id", "l.*"), "lines")
+    group = ["image_id", "line"]
+    spots = R.ranged(rows.groupBy(*group, "at").agg(F.count("*").alias("n")), group, ["at"], "line-spots")
+    order = Window.partitionBy("_range", *group).orderBy("at")
+    # the position before the first of a range is the last of the ranges before it
+    ends = spots.groupBy(*group, "_range").agg(F.max("at").alias("_end"))
+    ends = ends.withColumn("_ahead", F.max("_end").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    placed = spots.join(ends, [*group, "_range"])
+    gap = F.col("at") - F.coalesce(F.lag("at").over(order), F.col("_ahead"))
+    fresh = placed.withColumn("_start", F.when(gap.isNull() | (gap > slack), F.col("at"))).drop("_ahead")
+    runs = R.running(fresh, group, ["at"], {"run": "_start"}, F.max)
+    sizes = runs.groupBy(*group, "run").agg(F.sum("n").alias("members"))
+    named = runs.select(*group, "at", "run").join(sizes, [*group, "run"])
+    return rows.join(named, [*group, "at"]).select("image_id", F.col("id").alias(ident), "line", "at", "run", "members")
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """Boxes under each point (borders included), met on grid cells."""
     placed = boxes.withColumn("_cx", _cells(F.col("x"), F.col("x") + F.col("w"), cell)).withColumn(

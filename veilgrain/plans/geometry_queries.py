@@ -87,6 +87,25 @@ SQL["spatial_relations"] = V.with_views(
     {"pair": _PAIR},
 )
 
+Q["direction_counts"] = lambda spark, d: G.direction_counts(slim_gt(spark, d), "gt_id")
+SQL["direction_counts"] = V.with_views(
+    ["boxes_gt"],
+    """SELECT a.image_id, a.gt_id, count(*) FILTER (vert = 'ABOVE') AS n_above, count(*) FILTER (vert = 'BELOW') AS n_below,
+      count(*) FILTER (horiz = 'LEFT_OF') AS n_left, count(*) FILTER (horiz = 'RIGHT_OF') AS n_right
+    FROM boxes_gt a LEFT JOIN pair ON a.image_id = pair.image_id AND a.gt_id = pair.src GROUP BY a.image_id, a.gt_id""",
+    {"pair": _PAIR},
+)
+
+Q["alignment_runs"] = lambda spark, d: G.alignment_runs(slim_gt(spark, d), "gt_id")
+SQL["alignment_runs"] = V.with_views(
+    ["boxes_gt"],
+    """SELECT image_id, gt_id, line, "at", run, count(*) OVER (PARTITION BY image_id, line, run) AS members FROM (
+      SELECT *, max(start) OVER (PARTITION BY image_id, line ORDER BY "at") AS run FROM (
+        SELECT *, CASE WHEN "at" - coalesce(lag("at") OVER (PARTITION BY image_id, line ORDER BY "at"), "at" - 99) > 8 THEN "at" END AS start FROM (
+          SELECT image_id, gt_id, unnest(['top', 'bottom', 'middle', 'left', 'right', 'centre']) AS line,
+            unnest([y, y + h, y + h / 2.0, x, x + w, x + w / 2.0]) :: DOUBLE AS "at" FROM boxes_gt)))""",
+)
+
 
 def point_in_box(spark, d):
     gt = slim_gt(spark, d)
