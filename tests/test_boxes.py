@@ -43,13 +43,13 @@ def greedy_nms(rows, thr, aware):
 
 
 @pytest.mark.parametrize("aware", [True, False])
-@pytest.mark.parametrize("limit", [1000, 4])
-def test_nms_both_ways(frames, aware, limit):
+@pytest.mark.parametrize("cell", [256, 20])
+def test_nms(frames, aware, cell):
     _, pred, _, df = frames
     want = set()
     for i in range(12):
         want |= greedy_nms([r for r in pred if r[0] == i], 0.4, aware)
-    got = geometry.nms(df, "pred_id", 0.4, aware, max_group=limit)
+    got = geometry.nms(df, "pred_id", 0.4, aware, cell)
     assert {(r.image_id, r.pred_id) for r in got.collect()} == want
 
 
@@ -205,3 +205,60 @@ def test_alignment_runs_give_back_the_pairs(spark, frames):
     pairs = {(a.image_id, a.gt_id, b.gt_id) for v in by_run.values() for a in v for b in v if a.gt_id != b.gt_id and abs(a.at - b.at) <= 8}
     listed = geometry.spatial_relations(g, "gt_id").filter("relation = 'ALIGNED_WITH'").collect()
     assert pairs == {(r.image_id, r.src, r.dst) for r in listed}
+
+
+def test_neighbourhood_against_all_pairs(spark):
+    rng = random.Random(12)
+    rows = []
+    for image, n, span in ((1, 40, 3000), (2, 150, 300), (3, 2, 20000), (4, 1, 5), (5, 60, 1)):
+        for _ in range(n):
+            at = [float(rng.randrange(span)) for _ in range(2)]
+            rows.append((image, len(rows), *at, float(rng.randrange(20, 200)), rng.randrange(300) / 100, rng.randrange(100) / 100))
+    frame = spark.createDataFrame(rows + [(6, 9999, None, None, None, None, None)], "image_id long, id long, x double, y double, w double, aspect double, fill double")
+    got = {r.id: (r.isolation, r.alignment, r.similarity) for r in geometry.neighbourhood_stats(frame, "id").collect()}
+    for a in rows:
+        others = [b for b in rows if b[0] == a[0] and b[1] != a[1]]
+        near = min((((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 for b in others), default=500.0)
+        aligned = sum(any(abs(a[k] - b[k]) <= 10 for k in (2, 3, 4)) for b in others)
+        similar = sum(abs(a[5] - b[5]) <= 0.3 and abs(a[6] - b[6]) <= 0.2 for b in others)
+        assert got[a[1]] == (int(near + 0.5), min(1, aligned / 4), min(1, similar / 4)), a
+    assert got[9999] == (500, 0, 0)
+
+
+def test_a_crowded_image_has_no_pairs(spark):
+    crowd = spark.range(50000).selectExpr(
+        "1L as image_id", "id", "double(id % 250) as x", "double(id div 250) as y", "double(20 + id % 7) as w", "double(id % 9) / 3 as aspect", "double(id % 5) / 10 as fill"
+    )
+    got = geometry.neighbourhood_stats(crowd, "id").groupBy("isolation", "alignment", "similarity").count().collect()
+    assert [tuple(r) for r in got] == [(1, 1.0, 1.0, 50000)]
+
+
+def test_one_cluster_of_many_boxes(spark):
+    # a staircase that one box climbs step by step, and boxes beside it that stay free until it passes
+    stairs = spark.range(60000).selectExpr("1L as image_id", "id", "double(3 * id) as x", "double(3 * id) as y", "4.0D as w", "4.0D as h")
+    got = geometry.merge_overlapping(stairs, "id").collect()
+    assert [(r.id, r.x, r.w, r.h, r.members) for r in got] == [(0, 0.0, 180001.0, 180001.0, 60000)]
+
+
+def test_union_area(spark):
+    rng = random.Random(9)
+    rows = [(i, *(rng.randrange(300) for _ in range(2)), rng.randrange(0, 90), rng.randrange(0, 90)) for i in range(4) for _ in range(12)]
+    rows += [(9, 100, 100, 34, 16), (9, 135, 100, 34, 16)]
+    frame = spark.createDataFrame(rows, "image_id long, x long, y long, w long, h long")
+    spans = frame.selectExpr("image_id", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
+    want = {}
+    for i, x, y, w, h in rows:
+        want.setdefault(i, set()).update((a, b) for a in range(x, x + w) for b in range(y, y + h))
+    for cell in (16, 128):
+        assert {r.image_id: r.area for r in geometry.union_area(spans, cell).collect()} == {i: len(v) for i, v in want.items()}
+    near = geometry.redaction_coverage(frame.filter("image_id = 9")).first()
+    assert (near.sensitive, near.filled) == (2 * 34 * 16, 73 * 20)
+
+
+def test_nms_edges(spark):
+    rows = [(1, k, 0, 5, 5, 10, 10, 0.5) for k in range(4)] + [(1, 9, 0, 5, 5, 0, 4, 0.9), (1, 10, 0, 5, 5, 0, 4, 0.9), (1, 11, 0, 6, 5, 10, 10, None)]
+    frame = spark.createDataFrame(rows, "image_id long, id long, cls int, x long, y long, w long, h long, conf double")
+    assert sorted(r.id for r in geometry.nms(frame, "id", 0.4).collect()) == [0, 9, 10]
+    assert geometry.nms(frame.limit(0), "id").count() == 0
+    with pytest.raises(ValueError):
+        geometry.nms(frame, "id", 0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,21 +94,56 @@ def _strips(df: DataFrame, keys: list[str], start: str, size: str, out: str, ste
     return df.join(starts, keys).withColumn(out, number).drop("_starts")
 
 
+class _BoxTree:
+    """Boxes packed by place into a tree of bounding boxes, from which overlapping ones are taken once."""
+
+    FAN = 16
+
+    def __init__(self, x1, y1, x2, y2):
+        n = len(x1)
+        slab = max(1, int(np.ceil(np.sqrt(n / self.FAN)))) * self.FAN
+        by_x = np.argsort(x1 + x2, kind="stable")
+        self.index = by_x[np.lexsort(((y1 + y2)[by_x], np.arange(n) // slab))]
+        self.levels = [np.stack([v[self.index] for v in (x1, y1, x2, y2)])]
+        self.left = [np.ones(n, np.int64)]
+        while self.levels[-1].shape[1] > self.FAN:
+            low = self.levels[-1]
+            cuts = np.arange(0, low.shape[1], self.FAN)
+            least, most = np.minimum.reduceat(low[:2], cuts, axis=1), np.maximum.reduceat(low[2:], cuts, axis=1)
+            self.levels.append(np.concatenate([least, most]))
+            self.left.append(np.add.reduceat(self.left[-1], cuts))
+
+    def take(self, x1, y1, x2, y2) -> np.ndarray:
+        """Positions of the boxes still here that overlap this one; they are gone afterwards."""
+        at = np.arange(self.levels[-1].shape[1])
+        for level in range(len(self.levels) - 1, -1, -1):
+            box = self.levels[level][:, at]
+            at = at[(self.left[level][at] > 0) & (x1 < box[2]) & (x2 > box[0]) & (y1 < box[3]) & (y2 > box[1])]
+            if level:
+                at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
+                at = at[at < self.levels[level - 1].shape[1]]
+        self.drop(at)
+        return self.index[at]
+
+    def drop(self, at: np.ndarray) -> None:
+        for left in self.left:
+            np.subtract.at(left, at, 1)
+            at = at // self.FAN
+
+
 def _merge_cluster(x1, y1, x2, y2) -> list[tuple]:
     """Grow boxes by union with whatever they overlap, in array order."""
-    free = np.ones(len(x1), dtype=bool)
+    tree = _BoxTree(x1, y1, x2, y2)
+    place = np.empty(len(x1), np.int64)
+    place[tree.index] = np.arange(len(x1))
     rows = []
     for i in range(len(x1)):
-        if not free[i]:
+        if not tree.left[0][place[i]]:
             continue
-        free[i] = False
+        tree.drop(place[i : i + 1])
         l, t, r, b, n = x1[i], y1[i], x2[i], y2[i], 1
-        while free.any():
-            hit = free & (l < x2) & (r > x1) & (t < y2) & (b > y1)
-            if not hit.any():
-                break
-            free &= ~hit
-            n += int(hit.sum())
+        while len(hit := tree.take(l, t, r, b)):
+            n += len(hit)
             l, t = min(l, x1[hit].min()), min(t, y1[hit].min())
             r, b = max(r, x2[hit].max()), max(b, y2[hit].max())
         rows.append((i, l, t, r - l, b - t, n))
@@ -149,10 +186,12 @@ def _merge_batches(batches):
 def merge_overlapping(df: DataFrame, order: str) -> DataFrame:
     """Merge overlapping boxes to a fixpoint; a grown box absorbs what it meets.
 
-    The result depends on the order, so a cluster is merged by one Python call
-    on its sorted rows. Clusters are kept small beforehand: equal boxes collapse
-    map-side (one absorbs the other at once), and empty strips split an image
-    along x, then along y within each strip.
+    The result depends on the order, so a cluster is merged in one place, by an index
+    that hands out each box once: a growing box asks it only for what is left.
+    Clusters are kept small beforehand: equal boxes collapse map-side (one absorbs
+    the other at once), and empty strips split an image along x, then along y within
+    each strip. What remains in one task is the distinct boxes of one cluster, some
+    hundred bytes each. Boxes without an area take no part.
     """
     kind = dict(df.dtypes)[order]
     image = dict(df.dtypes)["image_id"]
@@ -424,76 +463,59 @@ def fuse_text_regions(regions: DataFrame, texts: DataFrame) -> DataFrame:
 # --- suppression ------------------------------------------------------------
 
 
-def _nms_fold(df: DataFrame, keys: list[str], ident: str, thr: float) -> DataFrame:
-    ranked = F.struct((-F.col("conf")).alias("neg"), F.col(ident).alias("id"), "x", "y", "w", "h")
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("_l"))
-
-    def parts(s):
-        return tuple(s[c] for c in "xywh")
-
-    kept = F.aggregate(
-        "_l",
-        F.filter("_l", lambda s: F.lit(False)),
-        lambda acc, s: F.when(
-            F.exists(acc, lambda k: B.iou(parts(k), parts(s)) >= thr), acc
-        ).otherwise(F.array_append(acc, s)),
-    )
-    return listed.select(*keys, F.explode(kept).alias("_k")).select(*keys, F.col("_k.id").alias(ident))
-
-
-def _nms_rounds(df: DataFrame, keys: list[str], ident: str, thr: float) -> DataFrame:
-    """The same result for crowded groups, from the conflict edges alone.
-
-    Each round keeps the boxes no undecided better box conflicts with, and drops
-    what those suppress. Rounds are written to the shared folder, so lineage
-    stays short and a lost executor costs a re-read.
-    """
-    extra = [k for k in keys if k != "image_id"]
-    slim = df.select("image_id", *extra, F.col(ident).alias("id"), "conf", "x", "y", "w", "h")
-    pairs = with_iou(overlap_pairs(slim, slim)).filter(F.col("iou") >= thr)
-    for k in extra:
-        pairs = pairs.filter(F.col(f"a_{k}") == F.col(f"b_{k}"))
-    better = (F.col("a_conf") > F.col("b_conf")) | (
-        (F.col("a_conf") == F.col("b_conf")) & (F.col("a_id") < F.col("b_id"))
-    )
-    edges = written(pairs.filter(better).select("image_id", F.col("a_id").alias("hi"), F.col("b_id").alias("lo")), "nms-edges")
-    nodes = written(slim.select("image_id", *extra, "id"), "nms-nodes")
-    kept_parts = []
-    while True:
-        blocked = edges.select("image_id", F.col("lo").alias("id")).distinct()
-        keep = written(nodes.join(blocked, ["image_id", "id"], "left_anti"), "nms-keep")
-        if keep.isEmpty():
-            break
-        kept_parts.append(keep)
-        winners = keep.select("image_id", F.col("id").alias("hi"))
-        gone = edges.join(winners, ["image_id", "hi"]).select("image_id", F.col("lo").alias("id")).distinct()
-        gone = written(gone, "nms-gone")
-        settled = gone.unionByName(keep.select("image_id", "id"))
-        nodes = written(nodes.join(settled, ["image_id", "id"], "left_anti"), "nms-nodes")
-        edges = edges.join(winners, ["image_id", "hi"], "left_anti")
-        edges = edges.join(gone.withColumnRenamed("id", "lo"), ["image_id", "lo"], "left_anti")
-        edges = written(edges.join(gone.withColumnRenamed("id", "hi"), ["image_id", "hi"], "left_anti"), "nms-edges")
-    out = kept_parts[0]
-    for part in kept_parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*keys, F.col("id").alias(ident))
-
-
-def nms(df: DataFrame, ident: str, thr: float = K.NMS_IOU, class_aware: bool = True, max_group: int = 1000) -> DataFrame:
+def _suppress(keys: list[str], thr: float, cell: int):
+    """Keep, from rows sorted by group and rank, each box that no kept one covers; only the kept ones are held."""
+
+    def run(batches):
+        group, kept = None, {}
+        for pdf in batches:
+            named = list(zip(*(pdf[k].tolist() for k in keys), strict=True))
+            keep = np.zeros(len(pdf), bool)
+            for row, box in enumerate(zip(*(pdf[c].tolist() for c in "xywh"), strict=True)):
+                if named[row] != group:
+                    group, kept = named[row], {}
+                x, y, w, h = box
+                spots = [
+                    (i, j)
+                    for i in range(int(x // cell), int((x + w) // cell) + 1)
+                    for j in range(int(y // cell), int((y + h) // cell) + 1)
+                ]
+                for other in {o for spot in spots for o in kept.get(spot, ())}:
+                    a, b, c, d = other
+                    wide, high = min(a + c, x + w) - max(a, x), min(b + d, y + h) - max(b, y)
+                    common = max(0, wide) * max(0, high)
+                    whole = c * d + w * h - common
+                    if whole > 0 and common / whole >= thr:
+                        break
+                else:
+                    keep[row] = True
+                    for spot in spots:
+                        kept.setdefault(spot, []).append(box)
+            yield pdf.loc[keep, [*keys, "id"]]
+
+    return run
+
+
+def nms(df: DataFrame, ident: str, thr: float = K.NMS_IOU, class_aware: bool = True, cell: int = CELL) -> DataFrame:
     """Greedy suppression by confidence; the kept rows come back.
 
-    Groups of up to ``max_group`` boxes are folded inside one row. Larger ones
-    are measured first and settled by rounds over conflict edges, so no group is
-    ever collected beyond that size. Equal confidences go by ``ident``.
+    Boxes of a group come sorted, the surest first, and stream past those kept so
+    far, which are found by the grid cells they lie in. A task holds kept boxes only:
+    boxes that overlap less than ``thr`` (above 0, up to 1), so the picture bounds
+    them, not the rows. Equal boxes collapse to the surest map-side, as they live and
+    fall with it. Equal confidences go by ``ident``; without a confidence a box comes last.
     """
+    if not 0 < thr <= 1:
+        raise ValueError("thr must lie above 0 and not above 1")
     keys = ["image_id", "cls"] if class_aware else ["image_id"]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    crowded = sizes.filter(F.col("_n") > max_group).select(*keys)
-    if crowded.isEmpty():
-        kept = _nms_fold(df, keys, ident, thr)
-    else:
-        small = _nms_fold(df.join(crowded, keys, "left_anti"), keys, ident, thr)
-        kept = small.unionByName(_nms_rounds(df.join(crowded, keys, "left_semi"), keys, ident, thr))
+    rank = F.struct((-F.coalesce(F.col("conf").cast("double"), F.lit(float("-inf")))).alias("neg"), F.col(ident).alias("id"))
+    # boxes without an area overlap nothing, not even their equals
+    flat = F.when((F.col("w") > 0) & (F.col("h") > 0), F.lit(None)).otherwise(F.col(ident)).alias("_flat")
+    best = df.groupBy(*keys, "x", "y", "w", "h", flat).agg(F.min(rank).alias("r"))
+    ranked = best.select(*keys, "x", "y", "w", "h", "r.neg", "r.id").repartition(*keys).sortWithinPartitions(*keys, "neg", "id")
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", id {types[ident]}"
+    kept = ranked.mapInPandas(_suppress(keys, thr, cell), schema).withColumnRenamed("id", ident)
     return df.join(kept, [*keys, ident], "left_semi")
 
 
@@ -615,48 +637,103 @@ def classify_regions(df: DataFrame) -> DataFrame:
     )
 
 
+def nearest_distance(points: DataFrame, start: int = 8, growth: int = 4) -> DataFrame:
+    """(image_id, x, y, near): distance from each distinct place of an image to the next point there; no row if there is none.
+
+    A nearest-neighbour join by growing rings. A round asks the cells around a place;
+    an answer within the size of a cell is final, the other places ask larger cells in
+    the next round. Whoever still asks has nobody within a cell of the round before,
+    so those who ask are thinly spread and no cell is asked by many, however crowded
+    it is. Each round is written to the shared folder.
+    """
+    spots = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("image_id", "x", "y").agg(F.count("*").alias("n"))
+    spots = written(spots, "spots")
+    images = spots.groupBy("image_id").agg(F.count("*").alias("places")).filter("places > 1").select("image_id")
+    asking = spots.filter("n = 1").join(images, "image_id").drop("n")
+    found = [spots.filter("n > 1").select("image_id", "x", "y", F.lit(0.0).alias("near"))]
+    size = start
+    while True:
+        cell_x, cell_y = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
+        around = asking.withColumn("_cx", F.explode(F.sequence(cell_x - 1, cell_x + 1))).withColumn("_cy", F.explode(F.sequence(cell_y - 1, cell_y + 1)))
+        others = spots.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"), cell_x.alias("_cx"), cell_y.alias("_cy"))
+        apart = (F.col("x") != F.col("ox")) | (F.col("y") != F.col("oy"))
+        distance = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+        answers = around.join(others, ["image_id", "_cx", "_cy"]).filter(apart).groupBy("image_id", "x", "y").agg(F.min(distance).alias("near"))
+        step = written(asking.join(answers, ["image_id", "x", "y"], "left"), "rings")
+        found.append(step.filter(F.col("near") <= size))
+        asking = step.filter(F.col("near").isNull() | (F.col("near") > size)).drop("near")
+        if asking.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        size *= growth
+
+
+def aligned_partners(rows: DataFrame, slack: float = 10, most: int = 4) -> DataFrame:
+    """(image_id, id, partners): others with x, y or w within ``slack``, counted up to ``most``.
+
+    Per image, axis and value the first ids stand for all (one more than ``most``),
+    and the next ``most`` values on either side name enough of the others: witnesses
+    that are too few are all there are.
+    """
+    axes = F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("at")) for c in "xyw"))
+    places = rows.select("image_id", "id", F.explode(axes).alias("a")).select("image_id", "id", "a.*").filter("at is not null")
+    rank = F.row_number().over(Window.partitionBy("image_id", "axis", "at").orderBy("id"))
+    firsts = places.withColumn("_rank", rank).filter(F.col("_rank") <= most + 1)
+    spots = firsts.groupBy("image_id", "axis", "at").agg(F.collect_list("id").alias("ids"))
+    close = Window.partitionBy("image_id", "axis").orderBy("at").rowsBetween(-most, most)
+    spots = spots.withColumn("_near", F.collect_list(F.struct("at", "ids")).over(close))
+    named = F.flatten(F.transform(F.filter("_near", lambda s: F.abs(s["at"] - F.col("at")) <= slack), lambda s: s["ids"]))
+    spots = spots.select("image_id", "axis", "at", named.alias("witnesses"))
+    met = places.join(spots, ["image_id", "axis", "at"]).groupBy("image_id", "id").agg(F.flatten(F.collect_list("witnesses")).alias("w"))
+    others = F.size(F.array_remove(F.array_distinct("w"), F.col("id")))
+    return met.select("image_id", "id", F.least(others, F.lit(most)).alias("partners"))
+
+
+def similar_partners(rows: DataFrame, aspect: float = 0.3, fill: float = 0.2, most: int = 4) -> DataFrame:
+    """(image_id, id, partners): others with a close aspect and fill, counted up to ``most``; none: no row.
+
+    Cells are a little smaller than the tolerances, so all of one cell are partners.
+    Members of a cell with more than ``most`` need no search; the members of other
+    cells are few, so each row nearby is met by few.
+    """
+    sizes = {"aspect": aspect - 0.001, "fill": fill - 0.001}
+    cells = {c: F.floor(F.col(c) / size) for c, size in sizes.items()}
+    placed = rows.filter(F.col("aspect").isNotNull() & F.col("fill").isNotNull())
+    placed = placed.select("image_id", "id", "aspect", "fill", cells["aspect"].alias("_ca"), cells["fill"].alias("_cf"))
+    home = ["image_id", "_ca", "_cf"]
+    placed = placed.join(placed.groupBy(*home).agg(F.count("*").alias("_n")), home)
+    crowded = placed.filter(F.col("_n") > most).select("image_id", "id", F.lit(most).cast("long").alias("partners"))
+
+    def reach(c: str, tolerance: float) -> Column:
+        slack = tolerance + 1e-9
+        return F.explode(F.sequence(F.floor((F.col(c) - slack) / sizes[c]), F.floor((F.col(c) + slack) / sizes[c])))
+
+    asking = placed.filter(F.col("_n") <= most).select("image_id", "id", "aspect", "fill")
+    asking = asking.withColumn("_ca", reach("aspect", aspect)).withColumn("_cf", reach("fill", fill))
+    others = placed.select(*home, F.col("id").alias("oid"), F.col("aspect").alias("oa"), F.col("fill").alias("of"))
+    close = (F.abs(F.col("aspect") - F.col("oa")) <= aspect) & (F.abs(F.col("fill") - F.col("of")) <= fill)
+    met = asking.join(others, home).filter(close & (F.col("id") != F.col("oid")))
+    counted = met.groupBy("image_id", "id").agg(F.least(F.count("*"), F.lit(most)).alias("partners"))
+    return crowded.unionByName(counted)
+
+
 def neighbourhood_stats(df: DataFrame, ident: str) -> DataFrame:
-    """Isolation, alignment and similarity of each region within its image.
+    """Isolation, alignment and similarity of each region within its image; ``ident`` is unique there.
 
-    Equal regions are first reduced to one row with a count, map-side; the
-    remaining comparisons of an image are aggregated, never emitted.
+    Isolation is the distance to the next region (500 if there is none); the scores
+    saturate at four partners. Nothing compares all regions of an image with each
+    other. A feature that is null is close to nothing.
     """
-    features = ["x", "y", "w", "aspect", "fill"]
-    kinds = df.groupBy("image_id", *features).agg(F.count("*").alias("n"))
-    a = kinds.select("image_id", *[F.col(c).alias(f"a_{c}") for c in (*features, "n")])
-    b = kinds.select("image_id", *[F.col(c).alias(f"b_{c}") for c in (*features, "n")])
-
-    def gap(name):
-        return F.abs(F.col(f"a_{name}") - F.col(f"b_{name}"))
-
-    same = F.lit(True)
-    for f in features:
-        same = same & (F.col(f"a_{f}") == F.col(f"b_{f}"))
-    others = F.when(same, F.col("b_n") - 1).otherwise(F.col("b_n"))
-    distance = F.sqrt(F.pow(gap("x"), 2) + F.pow(gap("y"), 2))
-    aligned = (gap("y") <= 10) | (gap("x") <= 10) | (gap("w") <= 10)
-    similar = (gap("aspect") <= 0.3) & (gap("fill") <= 0.2)
-    stats = (
-        a.join(b, "image_id")
-        .groupBy("image_id", *[f"a_{f}" for f in features])
-        .agg(
-            F.min(F.when(others > 0, distance)).alias("near"),
-            F.sum(F.when(aligned, others).otherwise(0)).alias("al"),
-            F.sum(F.when(similar, others).otherwise(0)).alias("si"),
-        )
-    )
+    rows = written(df.select("image_id", F.col(ident).alias("id"), "x", "y", "w", "aspect", "fill"), "regions")
 
-    def score(n):
-        return B.js_round(F.least(F.lit(1.0), F.col(n) / 4) * 100) / 100
+    def score(n: Column) -> Column:
+        return B.js_round(F.coalesce(n, F.lit(0)) / 4 * 100) / 100
 
-    named = stats.select(
-        "image_id",
-        *[F.col(f"a_{f}").alias(f) for f in features],
-        B.js_round(F.coalesce("near", F.lit(500.0))).alias("isolation"),
-        score("al").alias("alignment"),
-        score("si").alias("similarity"),
-    )
-    return df.join(named, ["image_id", *features]).select("image_id", ident, "isolation", "alignment", "similarity")
+    near = rows.join(nearest_distance(rows), ["image_id", "x", "y"], "left")
+    near = near.select("image_id", "id", B.js_round(F.coalesce("near", F.lit(500.0))).alias("isolation"))
+    aligned = aligned_partners(rows).withColumnRenamed("partners", "al")
+    similar = similar_partners(rows).withColumnRenamed("partners", "si")
+    joined = near.join(aligned, ["image_id", "id"], "left").join(similar, ["image_id", "id"], "left")
+    return joined.select("image_id", F.col("id").alias(ident), "isolation", score(F.col("al")).alias("alignment"), score(F.col("si")).alias("similarity"))
 
 
 def uncertainty(dets: DataFrame) -> DataFrame:
@@ -770,23 +847,51 @@ def grid_round_trip(gt: DataFrame, ident: str, vp_w: int = 1920, vp_h: int = 108
     )
 
 
+def union_area(df: DataFrame, cell: int = 128) -> DataFrame:
+    """(image_id, area): what the boxes ``x1, y1, x2, y2`` of an image cover, each point once.
+
+    Boxes are cut at the cells of a grid; in a cell, the edges make slabs, and in a
+    slab the intervals of the boxes that cross it are added up where they begin
+    beyond all before them. Equal intervals are one, so a crowded cell holds no more
+    than its pixels allow.
+    """
+    boxes = df.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select("image_id", "x1", "y1", "x2", "y2").distinct()
+    for a, b, c in (("x1", "x2", "_cx"), ("y1", "y2", "_cy")):
+        boxes = boxes.withColumn(c, F.explode(F.sequence(F.floor(F.col(a) / cell), F.ceil(F.col(b) / cell) - 1)))
+        low = F.col(c) * cell
+        boxes = boxes.withColumns({a: F.greatest(F.col(a), low), b: F.least(F.col(b), low + cell)})
+    home = ["image_id", "_cx", "_cy"]
+    edges = boxes.select(*home, F.explode(F.array("x1", "x2")).alias("at")).distinct()
+    slabs = edges.withColumn("until", F.lead("at").over(Window.partitionBy(*home).orderBy("at"))).filter("until is not null")
+    inside = (F.col("x1") <= F.col("at")) & (F.col("x2") >= F.col("until"))
+    strips = boxes.distinct().join(slabs, home).filter(inside).select(*home, "at", "until", "y1", "y2").distinct()
+    order = Window.partitionBy(*home, "at").orderBy("y1", "y2").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("y2").over(order), F.col("y1"))
+    covered = strips.select("image_id", ((F.col("until") - F.col("at")) * F.greatest(F.lit(0), F.col("y2") - F.greatest("y1", reach))).alias("area"))
+    return covered.groupBy("image_id").agg(F.sum("area").alias("area"))
+
+
 def redaction_coverage(pii: DataFrame, pad: int = 2, vp_w: int = 800, vp_h: int = 450) -> DataFrame:
-    """Area truly sensitive against area filled (with padding), per image.
+    """Area truly sensitive against area filled (with padding), per image, each point counted once.
 
-    Boxes are expected to be disjoint (merge them first), as in the definition.
-    A box outside of the viewport fills nothing; an image where nothing is filled has no precision.
+    Boxes are padded, clipped to the viewport, and then united. A box outside of the
+    viewport fills nothing; an image where nothing is filled has no precision.
     """
     x, y, w, h = B.box()
-    px, py = F.greatest(F.lit(0), x - pad), F.greatest(F.lit(0), y - pad)
-    wide, high = F.least(vp_w - px, w + 2 * pad), F.least(vp_h - py, h + 2 * pad)
-    filled = F.greatest(F.lit(0), wide) * F.greatest(F.lit(0), high)
-    sums = pii.groupBy("image_id").agg(F.sum(w * h).alias("sensitive"), F.sum(filled).alias("filled"))
+    raw = pii.select("image_id", x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+    left, top = F.greatest(F.lit(0), x - pad), F.greatest(F.lit(0), y - pad)
+    # as published: the padded size is kept where the corner is clipped
+    right, bottom = F.least(F.lit(vp_w), left + w + 2 * pad), F.least(F.lit(vp_h), top + h + 2 * pad)
+    padded = pii.select("image_id", left.alias("x1"), top.alias("y1"), right.alias("x2"), bottom.alias("y2"))
+    true, fill = union_area(raw).withColumnRenamed("area", "sensitive"), union_area(padded).withColumnRenamed("area", "filled")
+    sums = pii.select("image_id").distinct().join(true, "image_id", "left").join(fill, "image_id", "left").fillna(0, ["sensitive", "filled"])
     benign = vp_w * vp_h - F.col("sensitive")
+    caught = F.least(F.col("sensitive"), F.col("filled"))
     return sums.select(
         "image_id",
         "sensitive",
         "filled",
-        F.round(F.least(F.col("sensitive"), F.col("filled")) / F.nullif(F.col("filled"), F.lit(0)), 6).alias("precision"),
-        F.round(F.least(F.col("sensitive"), F.col("filled")) / F.col("sensitive"), 6).alias("recall"),
+        F.round(caught / F.nullif(F.col("filled"), F.lit(0)), 6).alias("precision"),
+        F.round(caught / F.nullif(F.col("sensitive"), F.lit(0)), 6).alias("recall"),
         F.when(benign > 0, F.round((F.col("filled") - F.col("sensitive")) / benign, 6)).alias("over_redaction"),
     )

@@ -58,7 +58,33 @@ def merge_overlapping(spark, d):
     return G.merge_overlapping(V.boxes_pred(spark, d), "pred_id")
 
 
-Q["merge_overlapping"] = merge_overlapping  # an order-dependent fixpoint: checked in tests, no SQL
+Q["merge_overlapping"] = merge_overlapping
+
+
+def merge_ctes(boxes: str, ident: str) -> dict[str, str]:
+    """Box by box: the open one takes in what it meets until nothing is left to meet, then the next one opens."""
+    hits = "list_filter(rest, lambda b: cur.x1 < b.x2 AND cur.x2 > b.x1 AND cur.y1 < b.y2 AND cur.y2 > b.y1)"
+    ends = ", ".join(f"{c}: {f}(cur.{c}, {g}(list_transform(hits, lambda b: b.{c})))" for c, f, g in
+                     (("x1", "least", "list_min"), ("y1", "least", "list_min"), ("x2", "greatest", "list_max"), ("y2", "greatest", "list_max")))
+    return {
+        "queue": f"""SELECT image_id, list({{id: id, x1: x1, y1: y1, x2: x2, y2: y2, n: 1}} ORDER BY id) AS rest FROM (
+          SELECT image_id, min({ident}) AS id, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM {boxes} WHERE w > 0 AND h > 0 GROUP BY image_id, x, y, w, h) GROUP BY image_id""",
+        "growing": f"""SELECT image_id, rest[1] AS cur, rest[2:] AS rest, false AS shut FROM queue
+          UNION ALL SELECT image_id,
+            CASE WHEN shut THEN rest[1] WHEN len(hits) > 0 THEN {{id: cur.id, {ends}, n: cur.n + CAST(len(hits) AS INTEGER)}} ELSE cur END,
+            CASE WHEN shut THEN rest[2:] WHEN len(hits) > 0 THEN list_filter(rest, lambda b: NOT list_contains(list_transform(hits, lambda k: k.id), b.id)) ELSE rest END,
+            NOT shut AND len(hits) = 0
+          FROM (SELECT *, {hits} AS hits FROM growing ) WHERE NOT (shut AND len(rest) = 0)""",
+        "merged": f"""SELECT image_id, cur.id AS {ident}, cur.x1 AS x, cur.y1 AS y, cur.x2 - cur.x1 AS w, cur.y2 - cur.y1 AS h, cur.n AS members
+          FROM growing WHERE shut""",
+    }
+
+
+SQL["merge_overlapping"] = V.with_views(
+    ["boxes_pred"],
+    """SELECT image_id, pred_id, x :: DOUBLE AS x, y :: DOUBLE AS y, w :: DOUBLE AS w, h :: DOUBLE AS h, members FROM merged""",
+    merge_ctes("boxes_pred", "pred_id"),
+)
 
 LOCAL = ("CONTAINS", "OVERLAPS", "NEAR", "ALIGNED_WITH")
 
@@ -304,13 +330,30 @@ def redaction_coverage(spark, d):
     return G.redaction_coverage(merged.select("image_id", "x", "y", "w", "h"), 2, 1920, 1080)
 
 
-Q["redaction_coverage"] = redaction_coverage  # rests on the merge, so no SQL
+Q["redaction_coverage"] = redaction_coverage
 Q["redaction_coverage_disjoint"] = lambda spark, d: G.redaction_coverage(
     slim_gt(spark, d).filter("cls = 3").select("image_id", "x", "y", "w", "h"), 2, 1600, 900
 )
+
+
+def _area_sql(boxes: str) -> str:
+    """Union area line by line: on each pixel row, what every interval adds to those before it."""
+    return f"""SELECT image_id, sum(greatest(0, x2 - greatest(x1, reach))) AS area FROM (
+      SELECT *, coalesce(max(x2) OVER (PARTITION BY image_id, line ORDER BY x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), x1) AS reach FROM (
+        SELECT DISTINCT image_id, x1, x2, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS line FROM ({boxes}) WHERE x2 > x1 AND y2 > y1)) GROUP BY image_id"""
+
+
+def _coverage_sql(boxes: str, width: int, height: int, kind: str) -> str:
+    padded = f"""SELECT image_id, greatest(0, x - 2) AS x1, greatest(0, y - 2) AS y1, least({width}, greatest(0, x - 2) + w + 4) AS x2,
+      least({height}, greatest(0, y - 2) + h + 4) AS y2 FROM {boxes}"""
+    raw = f"SELECT image_id, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM {boxes}"
+    return f"""SELECT image_id, CAST(s AS {kind}) AS sensitive, CAST(f AS {kind}) AS filled, round(least(s, f) / nullif(f, 0), 6) AS precision, round(least(s, f) / s, 6) AS recall,
+      CASE WHEN {width * height} - s > 0 THEN round((f - s) / ({width * height} - s), 6) END AS over_redaction FROM (
+      SELECT image_id, coalesce(t.area, 0) AS s, coalesce(p.area, 0) AS f FROM (SELECT DISTINCT image_id FROM {boxes})
+        LEFT JOIN ({_area_sql(raw)}) t USING (image_id) LEFT JOIN ({_area_sql(padded)}) p USING (image_id))"""
+
+
 SQL["redaction_coverage_disjoint"] = V.with_views(
-    ["boxes_gt"],
-    """SELECT image_id, CAST(s AS BIGINT) AS sensitive, CAST(f AS BIGINT) AS filled, round(least(s, f) / nullif(f, 0), 6) AS precision, round(least(s, f) / s, 6) AS recall,
-      CASE WHEN 1440000 - s > 0 THEN round((f - s) / (1440000 - s), 6) END AS over_redaction FROM (
-      SELECT image_id, sum(w * h) AS s, sum(greatest(0, least(1600 - greatest(0, x - 2), w + 4)) * greatest(0, least(900 - greatest(0, y - 2), h + 4))) AS f FROM boxes_gt WHERE cls = 3 GROUP BY image_id)""",
+    ["boxes_gt"], _coverage_sql("(SELECT * FROM boxes_gt WHERE cls = 3)", 1600, 900, "BIGINT")
 )
+SQL["redaction_coverage"] = V.with_views(["boxes_gt"], _coverage_sql("merged", 1920, 1080, "DOUBLE"), merge_ctes("boxes_gt", "gt_id"))
