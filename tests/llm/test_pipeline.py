@@ -98,3 +98,14 @@ def test_packed_text_keeps_its_white_space(spark):
         own = sorted((int(b.split("-")[-1]), t) for b, t in parts.items() if int(b.split("-")[-2]) == k)
         assert "".join(t for _, t in own) == text
     assert sum(map(len, made.values())) == sum(map(len, texts)) + placed.count() - len(made)
+
+
+def test_columns_of_any_name_come_through(spark):
+    clash = ["gone", "gone_key", "row_key", "n_lines", "_line_host", "component_id", "whole", "name", "best", "text_key", "n_rows"]
+    texts = [page(k) for k in range(6)] + [page(1), None]
+    docs = rows(spark, enumerate(texts)).select("*", *(F.concat(F.lit(c), "doc_id").alias(c) for c in clash))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in clash), name

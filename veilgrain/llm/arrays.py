@@ -7,12 +7,13 @@ Hashes have 64 bits, wrap around, and depend on nothing but the bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GROWN: dict[str, np.ndarray] = {}
@@ -33,15 +34,27 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82E
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    have = _GROWN.get("up")
-    if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 1024)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _GROWN[name] = np.cumprod(steps, dtype=np.uint64)
-    return _GROWN["up"], _GROWN["down"]
+    """Powers of the base and of its inverse, at least n of each; kept for pieces, made anew for longer texts."""
+    usual = PIECE_BYTES + 1024
+    if n <= usual and "up" in _GROWN:
+        return _GROWN["up"], _GROWN["down"]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(max(n, usual), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= usual:
+        _GROWN["up"], _GROWN["down"] = made
+    return made[0], made[1]
+
+
+def release() -> None:
+    """Hand memory that a finished task has freed back to the machine; the worker lives on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def sums(values: np.ndarray) -> np.ndarray:
@@ -78,6 +91,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         last = min(n, max(first + 1, last))
         yield first, last, data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    release()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgrain.llm.arrays import mix, pieces, shingle_hashes, word_hashes
+from veilgrain.llm.arrays import mix, pieces, release, shingle_hashes, word_hashes
 from veilgrain.llm.graphs import components
 from veilgrain.session import written
 
 TILE_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 
 
 class Plan:
@@ -174,7 +174,16 @@ def _send(plan: Plan, n: int, buckets: int):
 
 
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
+    """The values packed in all cells of a binary column, in order; null cells hold none."""
+    parts = []
+    for chunk in column.chunks:
+        if not len(chunk):
+            continue
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if data is not None and at[-1] > at[0]:
+            parts.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].tobytes())
+    return np.frombuffer(b"".join(parts), kind)
 
 
 MET_SQL = "head long, node long, doc_id long, n long"
@@ -199,6 +208,7 @@ def _meet(table: pa.Table) -> pa.Table:
     pairs = np.unique(np.stack([head, member], axis=1), axis=0) if len(head) else np.zeros((0, 2), np.int64)
     met = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], schema=MET)
     seen = pa.table([pa.nulls(len(docs), pa.int64()), docs["node"], docs["doc_id"], docs["n"]], schema=MET)
+    release()
     return pa.concat_tables([met, seen])
 
 
@@ -262,6 +272,8 @@ def _search_pack(plan: Plan):
             for left, right in search([len(x) for x in grams], shared_only(grams), plan):
                 a.append(members[left][0])
                 b.append(members[right][0])
+        blocks.clear()
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from veilgrain.llm import (
     boilerplate,
     decontaminate,
@@ -176,7 +175,3 @@ from nodes join sized on nodes.p = sized.p join below on nodes.p = below.p
   left join nodes parent on nodes.d > 0 and parent.p = nodes.p[1:nodes.d - 1] and parent.d = nodes.d - 1
 """
 
-
-@query
-def pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_pipeline.run(spark, folder)
