@@ -10,6 +10,7 @@ from veilgrain.plans import action_queries as AQ
 from veilgrain.plans import views as V
 from veilgrain.session import fresh_path
 from veilgrain.sources.tables import stream_table
+from veilgrain.streaming import late as L
 from veilgrain.streaming import streams as S
 
 Q = {}
@@ -102,3 +103,48 @@ Q["ledger_stream"] = ledger_stream
 SQL["ledger_stream"] = """SELECT window_start, actions, unsafe, round(unsafe / actions * 100, 2) AS unsafe_pct, round(CASE WHEN sens = 0 THEN 1.0 ELSE 1 - exposed / sens END, 4) AS mds FROM (
   SELECT date_trunc('hour', ts) AS window_start, count(*) AS actions, count(*) FILTER (event_id % 5 = 3 AND event_id % 7 <> 0) AS unsafe,
     count(*) FILTER (event_id % 3 <> 0) AS sens, count(*) FILTER (event_id % 12 = 1) AS exposed FROM events GROUP BY 1)"""
+
+
+# --- late rows --------------------------------------------------------------
+
+#: The events arrive in six files of five days; every tenth one six days late.
+ARRIVAL_SQL = """CAST(least(5, greatest(0, (epoch_us(ts) // 1000000 + CASE WHEN event_id % 10 = 0 THEN 518400 ELSE 0 END - 1704067200) // 432000)) AS BIGINT)"""
+
+
+def _arriving(spark, d, shuffled: bool):
+    """The events as a stream of six files, one a micro-batch: by arrival, or dealt by id."""
+    events = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts")
+    arrival = F.unix_seconds("ts") + F.when(F.col("event_id") % 10 == 0, 518400).otherwise(0)
+    place = F.col("event_id") % 6 if shuffled else F.least(F.lit(5), F.greatest(F.lit(0), F.floor((arrival - 1704067200) / 432000)))
+    path = fresh_path(spark, "arrivals")
+    for k in range(6):
+        events.filter(place == k).coalesce(1).write.parquet(f"{path}/file={k}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/file=*")
+
+
+def _late_windows(spark, d, shuffled: bool):
+    """Events per hour: those a windowed aggregate counted, and those beside it."""
+    stream = _arriving(spark, d, shuffled)
+    path = fresh_path(spark, "late")
+    L.split_late(stream, "ts", 3_600_000, path)
+    e = F.col("event_id")
+    ledger = L.on_time(spark, path, stream.schema).select(
+        "ts", (e % 5 == 3).alias("untrusted_flag"), (e % 7 != 0).alias("executed"), (e % 3 != 0).alias("sensitive"), (e % 12 == 1).alias("exposed")
+    )
+    counted = S.drain_updates(S.ledger_stream(ledger), ["window_start"], "ledger").select("window_start", F.col("actions").alias("on_time"))
+    beside = L.late_rows(spark, path, stream.schema).groupBy(F.date_trunc("hour", "ts").alias("window_start")).agg(F.count("*").alias("late"))
+    both = counted.join(beside, "window_start", "full_outer").fillna(0, ["on_time", "late"])
+    return both.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _late_sql(place: str) -> str:
+    return f"""SELECT date_trunc('hour', ts) AS window_start, count(*) FILTER (NOT behind) AS on_time, count(*) FILTER (behind) AS late FROM (
+      SELECT ts, coalesce(ts <= date_trunc('milliseconds', seen) - INTERVAL 1 HOUR, false) AS behind FROM (SELECT ts, {place} AS k FROM events) e
+        JOIN (SELECT k, max(last) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (
+          SELECT b.k, max(ts) AS last FROM (SELECT unnest(range(6)) AS k) b LEFT JOIN (SELECT ts, {place} AS k FROM events) e ON e.k = b.k GROUP BY b.k)) m USING (k)) GROUP BY 1"""
+
+
+Q["late_rows"] = lambda spark, d: _late_windows(spark, d, False)
+SQL["late_rows"] = _late_sql(ARRIVAL_SQL)
+Q["late_rows_shuffled"] = lambda spark, d: _late_windows(spark, d, True)
+SQL["late_rows_shuffled"] = _late_sql("event_id % 6")

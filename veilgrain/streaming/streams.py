@@ -103,6 +103,8 @@ class _ChainProcessor(StatefulProcessor):
         state = self.first.get() if self.first.exists() else None
         first = (state[0], state[1]) if state and state[0] is not None else None
         last = state[2] if state else 0
+        timer = last // 1000 + self.idle_ms if state else None
+        # sixteen bytes a departure of this micro-batch
         undecided = []
         for pdf in rows:
             inputs = pdf[pdf["is_input"]]
@@ -113,21 +115,23 @@ class _ChainProcessor(StatefulProcessor):
             last = max(last, int(pdf["at"].max()))
             # Only departures can be chains; they wait until the batch's first input is known.
             away = pdf["away"].to_numpy(bool)
-            undecided.append(pdf.loc[away, ["task_id", "action_id", "at"]])
+            undecided.append(pdf.loc[away, ["action_id", "at"]].to_numpy(np.int64))
             calm = pdf.loc[~away, ["task_id", "action_id"]]
             if len(calm):
                 yield calm.assign(exfil_chain=False)
-        rest = pd.concat(undecided)
+        rest = np.concatenate(undecided)
         if len(rest):
             if first is None:
                 hit = np.zeros(len(rest), dtype=bool)
             else:
-                later = rest["at"].to_numpy() > first[0]
-                tie = (rest["at"].to_numpy() == first[0]) & (rest["action_id"].to_numpy() > first[1])
-                hit = later | tie
-            yield rest[["task_id", "action_id"]].assign(exfil_chain=hit)
+                hit = (rest[:, 1] > first[0]) | ((rest[:, 1] == first[0]) & (rest[:, 0] > first[1]))
+            yield pd.DataFrame({"task_id": key[0], "action_id": rest[:, 0], "exfil_chain": hit})
         self.first.update((first[0] if first else None, first[1] if first else None, last))
-        self.handle.registerTimer(last // 1000 + self.idle_ms)
+        # one timer a task: the earlier one goes before the new one comes
+        if timer != last // 1000 + self.idle_ms:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.first.exists() and self.first.get()[2] // 1000 + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
@@ -174,13 +178,17 @@ class _VaultProcessor(StatefulProcessor):
         # Eight bytes a sighting: only the times of the micro-batch are held.
         times = np.sort(np.concatenate([pdf["at"].to_numpy(np.int64) for pdf in rows]))
         expires = int(self.expires.get()[0]) if self.expires.exists() else -(2**62)
+        timer = expires // 1000
         made, i = [], int(np.searchsorted(times, expires))
         while i < len(times):
             made.append(int(times[i]))
             expires = int(times[i]) + self.ttl_us
             i = int(np.searchsorted(times, expires))
-        self.expires.update((expires,))
-        self.handle.registerTimer(expires // 1000)
+        if made:
+            self.expires.update((expires,))
+            if timer > -(2**52):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(expires // 1000)
         frame = pd.DataFrame({"created_us": np.array(made, dtype=np.int64)})
         for name, value in zip(("task_id", "origin", "raw_value"), key):
             frame.insert(0, name, value)
