@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SENSITIVE = ("CRITICAL", "HIGH", "MEDIUM")
 
@@ -30,9 +32,42 @@ def action_ledger(judged: DataFrame, outcomes: DataFrame | None = None) -> DataF
     return rows.join(outcomes.select("action_id", "executed"), "action_id", "left")
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append, partitioned by day, so readers prune to the days they ask for."""
-    rows.write.mode("append").partitionBy("day").parquet(path)
+COMMIT = T.StructType([T.StructField("n_rows", T.LongType()), T.StructField("batch", T.StringType())])
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(n_rows, batch) of every whole batch of a ledger."""
+    try:
+        return spark.read.schema(COMMIT).parquet(f"{path}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT)
+
+
+def append_ledger(rows: DataFrame, path: str, batch: str) -> bool:
+    """Append ``rows`` as the batch of that name, once; False if it is there already.
+
+    Rows go into a folder of the batch, by day, and count only when the batch is
+    named among the commits, which is the last thing written. A batch that was cut off
+    leaves no trace for readers and is written over when it comes again; one that is
+    whole is not touched, so a replay adds nothing.
+    """
+    spark = rows.sparkSession
+    if not committed(spark, path).filter(F.col("batch") == batch).isEmpty():
+        return False
+    folder = f"{path}/data/batch={batch}"
+    rows.write.mode("overwrite").partitionBy("day").parquet(folder)
+    n = spark.read.schema(rows.schema).parquet(folder).agg(F.count("*").alias("n_rows"))
+    n.write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
+    return True
+
+
+def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all whole batches; a filter on ``day`` or ``batch`` reads no other folders."""
+    done = committed(spark, path).select("batch")
+    whole = T.StructType([*(f for f in schema.fields if f.name != "batch"), T.StructField("batch", T.StringType())])
+    return spark.read.schema(whole).parquet(f"{path}/data").join(done, "batch", "left_semi")
 
 
 def minimum_disclosure_score(ledger: DataFrame, by: list[str] | None = None) -> DataFrame:

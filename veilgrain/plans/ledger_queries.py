@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from veilgrain.operators import ledger as L
@@ -9,6 +11,7 @@ from veilgrain.operators import policy
 from veilgrain.plans import action_queries as AQ
 from veilgrain.plans import policy_queries as P
 from veilgrain.plans import views as V
+from veilgrain.session import fresh_path, written
 
 Q = {}
 SQL = {}
@@ -115,3 +118,30 @@ SQL["utility_preserved"] = V.with_views(
             unnest(range(CASE WHEN task_id % 5 = 0 AND pos >= 2 THEN pos - 2 ELSE pos END, pos + length(raw_value))) FROM decided) GROUP BY ALL""",
     },
 )
+
+
+def ledger_append(spark, d):
+    """Both ledgers in three batches: one comes twice, one is cut off half-way and comes again."""
+    found = []
+    for name, rows in (("privacy", _ledger(spark, d)), ("action", _actions(spark, d))):
+        path = fresh_path(spark, f"{name}-ledger")
+        for k in (0, 1, 1):
+            L.append_ledger(rows.filter(F.col("task_id") % 3 == k), path, str(k))
+        last = rows.filter(F.col("task_id") % 3 == 2)
+        last.filter(F.col("task_id") % 2 == 0).write.partitionBy("day").parquet(f"{path}/data/batch=2")
+        before = L.read_ledger(spark, path, rows.schema).groupBy("day", F.lit(f"{name}, two batches").alias("part")).agg(F.count("*").alias("n"))
+        found.append(written(before, "seen"))
+        L.append_ledger(last, path, "2")
+        found.append(L.read_ledger(spark, path, rows.schema).groupBy("day", F.lit(f"{name}, whole").alias("part")).agg(F.count("*").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+Q["ledger_append"] = ledger_append
+SQL["ledger_append"] = V.with_views(
+    [*P.BASE, *AQ.ACTION_VIEWS],
+    """SELECT * FROM (SELECT CAST(created_ts AS DATE) AS day, 'privacy, two batches' AS part, count(*) AS n FROM entries WHERE task_id % 3 < 2 GROUP BY ALL
+      UNION ALL SELECT CAST(created_ts AS DATE), 'privacy, whole', count(*) FROM entries GROUP BY ALL
+      UNION ALL SELECT CAST(ts AS DATE), 'action, two batches', count(*) FROM acts WHERE task_id % 3 < 2 GROUP BY ALL
+      UNION ALL SELECT CAST(ts AS DATE), 'action, whole', count(*) FROM acts GROUP BY ALL)""",
+    {**ENTRIES, **ACTS},
+)
