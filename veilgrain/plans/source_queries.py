@@ -49,6 +49,38 @@ SQL["page_nodes"] = """SELECT tag, count(*) AS nodes, count(*) FILTER (WHERE tag
   WHERE tag NOT IN ('script', 'style', 'noscript') GROUP BY tag"""
 
 
+#: One row per element of a body: the piece of markup after each "<" that opens one, and the piece that follows.
+_PIECES = """SELECT page_id, n, piece, row_number() OVER (PARTITION BY page_id ORDER BY n) AS node_ord, nxt FROM (
+    SELECT page_id, n, piece, lead(piece) OVER (PARTITION BY page_id ORDER BY n) AS nxt FROM (
+      SELECT page_id, unnest(range(len(p))) AS n, unnest(p) AS piece FROM (
+        SELECT page_id, string_split(regexp_replace(html, '^.*<body[^>]*>', '', 's'), '<') AS p FROM {pages})))
+  WHERE regexp_matches(piece, '^[a-z][a-z0-9]*')"""
+_ATTRIBUTE = """coalesce(regexp_extract(piece, '^[^>]* {name}="([^"]*)"', 1), '')"""
+
+
+def _nodes_sql(pages: str) -> str:
+    """Leaves are elements that the next piece of markup ends: by their own end tag, or, for a paragraph, by a block."""
+    return f"""SELECT page_id, CAST(node_ord AS INTEGER) AS node_ord, tag, tag IN ('a', 'button') AS is_clickable, tag IN ('input', 'textarea', 'select') AS is_input,
+      CASE WHEN tag = 'input' THEN coalesce(nullif({_ATTRIBUTE.format(name='value')}, ''), {_ATTRIBUTE.format(name='placeholder')})
+        WHEN tag IN ('br', 'img') THEN '' WHEN starts_with(nxt, '/') OR (tag = 'p' AND regexp_matches(nxt, '^(p|article|div|footer|form|ul|nav|h1)[ >]'))
+        THEN replace(replace(replace(replace(replace(replace(trim(regexp_replace(piece, '^[^>]*>', ''), chr(32) || chr(10) || chr(9)),
+          '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE '' END AS text,
+      {_ATTRIBUTE.format(name='href')} AS href, CAST(len(list_filter(regexp_extract_all(regexp_extract(piece, '^[^>]*'), ' ([a-z-]+)=', 1), lambda x: x NOT IN ('style', 'class', 'onclick'))) AS BIGINT) AS n_attributes
+    FROM (SELECT *, regexp_extract(piece, '^[a-z][a-z0-9]*') AS tag FROM ({_PIECES.format(pages=pages)}))"""
+
+
+def page_elements(spark, d):
+    nodes = html.page_nodes(tables.read_table(spark, d, "pages"))
+    return nodes.select(
+        "page_id", "node_ord", "tag", "is_clickable", "is_input", "text",
+        F.coalesce(F.col("attributes")["href"], F.lit("")).alias("href"), F.size("attributes").cast("long").alias("n_attributes"),
+    )
+
+
+Q["page_elements"] = page_elements
+SQL["page_elements"] = _nodes_sql("pages")
+
+
 def write_report(spark, d):
     labels = tables.read_table(spark, d, "labels")
     path = fresh_path(spark, "report")
