@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilgrain import constants as K
 from veilgrain.functions import ranks as R
-from veilgrain.operators.geometry import nms, overlap_pairs, with_iou
+from veilgrain.operators.geometry import nms, overlap_pairs, tile_grid, untile, with_iou
 from veilgrain.session import written
 
 GT = ["image_id", "gt_id", "cls", "x", "y", "w", "h"]
@@ -397,6 +397,51 @@ def compare_configs(runs: DataFrame, config: str, baseline: str, metrics: list[s
     return means.select(config, *metrics, *[F.round(F.col(m) - base(m), 6).alias(f"{m}_delta") for m in metrics])
 
 
+CONFIGS = ("full", "tiled", "hybrid")
+
+
+def detector_configs(pred: DataFrame, ident: str, vp_w: int, vp_h: int, thr: float = K.NMS_IOU) -> DataFrame:
+    """What three ways of running one detector give, for every image, in one pass.
+
+    ``full`` is the detections as they are, ``tiled`` those cut at a disjoint two by
+    two grid of tiles, ``hybrid`` both; the last two are suppressed per class. Every
+    detection is repeated for the configurations it is in, and one suppression runs
+    over all of them: ``run`` names image and configuration together.
+    """
+    plain = pred.select("image_id", F.concat(F.col(ident).cast("string"), F.lit("/f")).alias("pred_id"), "cls", "conf", "x", "y", "w", "h")
+    cut = untile(tile_grid(pred.select("image_id", F.col(ident).alias("_id"), "cls", "conf", "x", "y", "w", "h"), vp_w, vp_h, 0.5))
+    cut = cut.select("image_id", F.concat(F.col("_id").cast("string"), F.lit("/"), F.col("tile").cast("string")).alias("pred_id"), "cls", "conf", "x", "y", "w", "h")
+
+    def run(rows: DataFrame, *configs: str) -> DataFrame:
+        k = F.explode(F.array(*(F.lit(CONFIGS.index(c)) for c in configs)))
+        return rows.withColumn("_k", k).withColumn("run", F.col("image_id") * len(CONFIGS) + F.col("_k"))
+
+    suppressed = run(plain, "hybrid").unionByName(run(cut, "tiled", "hybrid")).withColumn("image_id", F.col("run"))
+    kept = nms(suppressed, "pred_id", thr)
+    return run(plain, "full").drop("image_id", "_k").unionByName(kept.drop("image_id", "_k"))
+
+
+def compare_detectors(gt: DataFrame, runs: DataFrame, iou: float = K.MATCH_IOU, small: int = 32) -> DataFrame:
+    """Recall of each configuration over the same boxes, overall (class null) and per class, and the difference to ``full``.
+
+    ``runs`` as from ``detector_configs``. The truth is repeated per configuration,
+    matched at once, and reduced by grouping sets.
+    """
+    truth = gt.withColumn("run", F.explode(F.array(*(F.col("image_id") * len(CONFIGS) + k for k in range(len(CONFIGS))))))
+    truth = truth.select(F.col("run").alias("image_id"), "gt_id", "cls", "x", "y", "w", "h")
+    hits = greedy_match(truth, runs.withColumnRenamed("run", "image_id"), iou).filter("tp").select("image_id", "gt_id", F.lit(1).alias("_hit"))
+    config = F.element_at(F.array(*map(F.lit, CONFIGS)), (F.pmod("image_id", F.lit(len(CONFIGS))) + 1).cast("int"))
+    rows = truth.join(hits, ["image_id", "gt_id"], "left").select(config.alias("config"), "cls", F.coalesce("_hit", F.lit(0)).alias("hit"), (F.greatest("w", "h") < small).alias("small"))
+    n, tp = F.count("*"), F.sum("hit")
+    few, few_tp = F.count_if("small"), F.sum(F.when(F.col("small"), F.col("hit")))
+    rated = rows.groupingSets([("config",), ("config", "cls")], "config", "cls").agg(
+        n.alias("gt"), tp.alias("tp"), F.round(tp / n, 6).alias("recall"), F.when(few > 0, F.round(few_tp / few, 6)).alias("small_recall")
+    )
+    # a row per configuration and class
+    base = F.max(F.when(F.col("config") == CONFIGS[0], F.col("recall"))).over(Window.partitionBy("cls"))
+    return rated.withColumn("recall_delta", F.round(F.col("recall") - base, 6))
+
+
 def quality_gates(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Each metric against its rule; a metric that is missing fails."""
     joined = rules.join(metrics, "metric", "left")

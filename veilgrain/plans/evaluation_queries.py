@@ -191,6 +191,31 @@ SQL["compare_configs"] = sql(
 )
 
 
+Q["compare_detectors"] = lambda spark, d: E.compare_detectors(_gt(spark, d), E.detector_configs(_pred(spark, d), "pred_id", 1600, 900))
+_CONFIGS = {
+    "cut": """SELECT image_id, pred_id || '/' || tile AS pred_id, cls, conf, l AS x, u AS y, r - l AS w, d - u AS h FROM (
+      SELECT image_id, pred_id, cls, conf, tile, greatest(x, tx) AS l, least(x + w, tx + 800) AS r, greatest(y, ty) AS u, least(y + h, ty + 450) AS d
+      FROM boxes_pred, (VALUES (0, 0, 0), (1, 800, 0), (2, 0, 450), (3, 800, 450)) t(tile, tx, ty)) WHERE r > l AND d > u""",
+    "whole": "SELECT image_id, pred_id || '/f' AS pred_id, cls, conf, x, y, w, h FROM boxes_pred",
+    "rough": """SELECT image_id * 3 + 1 AS image_id, * EXCLUDE image_id FROM cut UNION ALL SELECT image_id * 3 + 2, * EXCLUDE image_id FROM cut
+      UNION ALL SELECT image_id * 3 + 2, * EXCLUDE image_id FROM whole""",
+    **nms_ctes("image_id, cls", "r.cls = s.cls", source="rough"),
+    "runs": f"""SELECT image_id * 3 AS image_id, * EXCLUDE image_id FROM whole UNION ALL SELECT * FROM rough WHERE (image_id, pred_id) IN ({NMS_KEPT})""",
+    "truth": "SELECT image_id * 3 + k AS image_id, gt_id, cls, x, y, w, h, k FROM boxes_gt, (SELECT unnest([0, 1, 2]) AS k)",
+    "claim": f"""SELECT * FROM (SELECT a.image_id, gt_id, pred_id, {IOU_SQL} AS iou FROM truth a JOIN runs b ON a.image_id = b.image_id, LATERAL (SELECT {INTER_SQL} AS i) WHERE i > 0)
+      QUALIFY row_number() OVER (PARTITION BY image_id, pred_id ORDER BY iou DESC, gt_id) = 1""",
+    "found": """SELECT k, cls, greatest(w, h) < 32 AS small, (image_id, gt_id) IN (SELECT (image_id, gt_id) FROM claim WHERE iou >= 0.3) AS hit FROM truth""",
+    "rated": """SELECT k, cls, count(*) AS gt, count(*) FILTER (hit) AS tp, round(count(*) FILTER (hit) / count(*), 6) AS recall,
+      round(count(*) FILTER (hit AND small) / nullif(count(*) FILTER (small), 0), 6) AS small_recall FROM found GROUP BY GROUPING SETS ((k), (k, cls))""",
+}
+SQL["compare_detectors"] = V.with_views(
+    ["boxes_pred"],
+    """SELECT ['full', 'tiled', 'hybrid'][r.k + 1] AS config, CAST(r.cls AS INTEGER) AS cls, r.gt, r.tp, r.recall, r.small_recall, round(r.recall - f.recall, 6) AS recall_delta
+      FROM rated r JOIN rated f ON f.k = 0 AND r.cls IS NOT DISTINCT FROM f.cls""",
+    _CONFIGS,
+)
+
+
 def quality_gates(spark, d):
     rated = E.pr_f1(E.class_counts(_gt(spark, d), greedy(spark, d)))
     long = rated.select(F.explode(F.create_map(F.lit("precision"), "precision", F.lit("recall"), "recall", F.lit("f1"), "f1")).alias("metric", "value"))

@@ -173,9 +173,9 @@ SQL["fuse_text_regions"] = V.with_views(
 NMS_KEPT = "SELECT image_id, k.id AS pred_id FROM (SELECT image_id, unnest(kept) AS k FROM steps WHERE n = total)"
 
 
-def nms_ctes(keys: str, same: str, where: str = "true") -> dict[str, str]:
+def nms_ctes(keys: str, same: str, where: str = "true", source: str = "boxes_pred") -> dict[str, str]:
     return {
-        "ranked": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY conf DESC, pred_id) AS n, count(*) OVER (PARTITION BY {keys}) AS total FROM boxes_pred WHERE {where}""",
+        "ranked": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY conf DESC, pred_id) AS n, count(*) OVER (PARTITION BY {keys}) AS total FROM {source} WHERE {where}""",
         "steps": f"""SELECT image_id, cls, n, total, [{{id: pred_id, x: x, y: y, w: w, h: h}}] AS kept FROM ranked WHERE n = 1
           UNION ALL SELECT s.image_id, s.cls, r.n, s.total, CASE WHEN len(list_filter(kept, lambda k: list_sum(list_transform(
             [greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y))],

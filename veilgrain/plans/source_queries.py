@@ -29,9 +29,9 @@ def flatten_samples(spark, d):
 Q["flatten_samples"] = flatten_samples
 SQL["flatten_samples"] = """SELECT CAST(vec_id AS VARCHAR) AS image_id, 1920 AS vp_w, 1080 AS vp_h, CAST(i AS INTEGER) AS gt_ord,
     'a' || i AS gt_id, 'c' || (i % 3) AS cls,
-    floor(abs(CAST(embedding[i * 6 + 1] AS DOUBLE)) * 1000) AS x, floor(abs(CAST(embedding[i * 6 + 2] AS DOUBLE)) * 1000) AS y,
-    floor(abs(CAST(embedding[i * 6 + 3] AS DOUBLE)) * 1000) AS w, floor(abs(CAST(embedding[i * 6 + 4] AS DOUBLE)) * 1000) AS h
-  FROM embeddings, (SELECT unnest(range(10)) AS i)"""
+    floor(abs(CAST(embedding[i * 4 + 1] AS DOUBLE)) * 1000) AS x, floor(abs(CAST(embedding[i * 4 + 2] AS DOUBLE)) * 1000) AS y,
+    floor(abs(CAST(embedding[i * 4 + 3] AS DOUBLE)) * 1000) AS w, floor(abs(CAST(embedding[i * 4 + 4] AS DOUBLE)) * 1000) AS h
+  FROM (SELECT *, unnest(range(len(embedding) // 4)) AS i FROM embeddings)"""
 
 BODY_TAGS = ("nav", "ul", "li", "a", "div", "article", "h1", "p", "b", "br", "footer")
 

@@ -196,10 +196,10 @@ def boxes_pred(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slots(spark: SparkSession, d: str) -> DataFrame:
-    """Ten slots of six values per embedding, stretched to the range of a detector."""
-    emb = table(spark, d, "embeddings")
+    """Slots of six values per embedding, the last one with what is left, stretched to the range of a detector."""
+    emb = table(spark, d, "embeddings").filter(F.size("embedding") > 0)
     cut = F.transform(
-        F.sequence(F.lit(0), F.lit(9)),
+        F.sequence(F.lit(0), F.ceil(F.size("embedding") / 6).cast("int") - 1),
         lambda i: F.transform(
             F.slice("embedding", i * 6 + 1, 6), lambda v: v.cast("double") * 4.0
         ),
@@ -208,10 +208,10 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Nested samples cut from the embeddings, ten annotations each."""
-    emb = table(spark, d, "embeddings")
+    """Nested samples cut from the embeddings, an annotation for every four values."""
+    emb = table(spark, d, "embeddings").filter(F.size("embedding") >= 4)
     def ann(i):
-        at = F.slice("embedding", i * 6 + 1, 4)
+        at = F.slice("embedding", i * 4 + 1, 4)
         return F.struct(
             F.concat(F.lit("a"), i.cast("string")).alias("id"),
             F.concat(F.lit("c"), (i % 3).cast("string")).alias("category"),
@@ -220,7 +220,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return emb.select(
         F.col("vec_id").cast("string").alias("sample_id"),
         F.struct(F.lit(1920).alias("width"), F.lit(1080).alias("height")).alias("viewport"),
-        F.transform(F.sequence(F.lit(0), F.lit(9)), ann).alias("annotations"),
+        F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), ann).alias("annotations"),
     )
 
 
@@ -341,7 +341,7 @@ CTES: dict[str, str] = {
       FROM boxes_gt, (SELECT unnest([0, 1]) AS dup) WHERE pk % 6 <> 0 AND (dup = 0 OR pk % 8 = 0)""",
     "slots": """SELECT vec_id AS image_id, CAST(i AS INTEGER) AS slot,
         list_transform(embedding[i * 6 + 1 : i * 6 + 6], lambda v: CAST(v AS DOUBLE) * 4.0) AS v
-      FROM embeddings, (SELECT unnest(range(10)) AS i)""",
+      FROM (SELECT *, unnest(range(CAST(ceil(len(embedding) / 6) AS BIGINT))) AS i FROM embeddings)""",
     "actions": f"""SELECT user_id AS task_id, event_id AS action_id, ts, action,
         CASE WHEN event_id % 19 = 0 THEN '' ELSE 'el_' || (event_id % 12) END AS node_id,
         CASE action WHEN 'NAVIGATE' THEN CASE WHEN event_id % 5 < 3 THEN 'https://' || own || '/next' WHEN event_id % 5 = 3 THEN 'evil.com/' || event_id

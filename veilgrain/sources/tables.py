@@ -101,16 +101,17 @@ def decode_slots(
     """Raw detector slots ``v = [x1, y1, x2, y2, logit, class]`` to boxes.
 
     ``class_rounding`` is ``round`` (half up) or ``truncate``; both are in use.
+    A slot without a logit has no confidence and is dropped.
     """
     unit = [
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v")[i].cast("double"))) for i in range(4)
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.get("v", i).cast("double"))) for i in range(4)
     ]
     x1, y1, x2, y2 = unit
-    raw_cls = F.col("v")[5].cast("double")
+    raw_cls = F.get("v", 5).cast("double")
     whole = js_round(raw_cls) if class_rounding == "round" else raw_cls.cast("long")
     left = x1 if class_rounding == "round" else F.least(x1, x2)
     top = y1 if class_rounding == "round" else F.least(y1, y2)
-    conf = 1.0 / (1.0 + F.exp(-F.col("v")[4].cast("double")))
+    conf = 1.0 / (1.0 + F.exp(-F.get("v", 4).cast("double")))
     return slots.select(
         "image_id",
         "slot",
