@@ -586,14 +586,41 @@ def _compat_rows(regions: DataFrame) -> DataFrame:
     return regions.withColumn("_action", F.explode(F.filter(arms, lambda a: a.isNotNull())))
 
 
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters of a text; the whole text where it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (size - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def mentioned(reasons: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, _reason, _text) for every text of the scope that a reason contains; both sides distinct and not empty.
+
+    Each text is filed under its rarest piece of four characters among the texts of
+    its scope (a shorter text under itself), and a reason looks under its own pieces.
+    So a reason meets texts that share an unusual piece with it, not all of them; the
+    pieces travel without the texts, which are compared afterwards.
+    """
+    pieces = texts.select(*scope, "_text", F.explode(_grams(F.col("_text"), GRAM)).alias("_g"))
+    spread = pieces.groupBy(*scope, "_g").agg(F.count("*").alias("_n"))
+    filed = pieces.join(spread, [*scope, "_g"]).groupBy(*scope, "_text").agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g"))
+    named = reasons.withColumn("_key", F.xxhash64(*scope, "_reason"))
+    looks = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_reason"), k) for k in range(1, GRAM + 1)))))
+    looked = named.select("_key", *scope, F.explode(looks).alias("_g"))
+    met = looked.join(filed, [*scope, "_g"]).select("_key", "_text").distinct()
+    return named.join(met, "_key").filter(F.contains("_reason", "_text")).select(*scope, "_reason", "_text")
+
+
 def bind_actions(actions: DataFrame, regions: DataFrame, cell: int = 256) -> DataFrame:
     """The region each action is meant for.
 
     Order: a compatible region under the click point, else one whose text the
     reasoning mentions, else the first compatible one. Each step is a ``min``
-    over an equi-join: points meet regions on grid cells, texts are reduced to
-    the first region per (image, action, text), the fallback to one per
-    (image, action). Regions carry ``region_ord`` as their order in the image.
+    over an equi-join: points meet regions on grid cells, reasons meet the texts they
+    share a rare piece with (the first region per image, action and text), the
+    fallback is one per (image, action). Regions carry ``region_ord`` as their order in the image.
     An action for which an image has no compatible region stays, as ``UNBOUND``.
     """
     known = F.upper("action").isin(*K.ACTION_COMPATIBILITY)
@@ -625,13 +652,11 @@ def bind_actions(actions: DataFrame, regions: DataFrame, cell: int = 256) -> Dat
         .groupBy("image_id", "_action", F.lower("region_text").alias("_text"))
         .agg(F.min(picked).alias("_r"))
     )
-    by_text = (
-        acts.select("action_id", "image_id", "_action", F.lower("reasoning").alias("_reason"))
-        .join(texts, ["image_id", "_action"])
-        .filter(F.contains(F.col("_reason"), F.col("_text")))
-        .groupBy("action_id")
-        .agg(F.min("_r").alias("_t"))
-    )
+    scope = ["image_id", "_action"]
+    said = acts.select("action_id", *scope, F.lower("reasoning").alias("_reason")).filter("_reason <> ''")
+    found = mentioned(said.select(*scope, "_reason").distinct(), texts.select(*scope, "_text"), scope)
+    named = found.join(texts, [*scope, "_text"]).groupBy(*scope, "_reason").agg(F.min("_r").alias("_t"))
+    by_text = said.join(named, [*scope, "_reason"]).select("action_id", "_t")
     first = open_.groupBy("image_id", "_action").agg(F.min(picked).alias("_f"))
     joined = (
         acts.join(first, ["image_id", "_action"], "left")

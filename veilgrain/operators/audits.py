@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrain.functions import ranks as R
+from veilgrain.session import written
 
 
 def split_overlap(df: DataFrame, key: Column, split: str = "split") -> DataFrame:
@@ -95,17 +96,41 @@ def benchmark_leakage(docs: DataFrame, bench: DataFrame, doc_id: str, item_id: s
     join, so common grams of ordinary text never reach the pair join.
     """
 
-    def grams(df, key):
-        words = df.select(F.col(key), F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_w"))
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        hashed = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))))
-        return words.filter(F.size("_w") >= n).select(key, F.explode(hashed).alias("_g"))
-
-    items = grams(bench, item_id)
+    items, found = _grams(bench, item_id, text, n), _grams(docs, doc_id, text, n)
     totals = items.groupBy(item_id).agg(F.count("*").alias("grams"))
     known = items.select("_g").distinct()
-    hits = grams(docs, doc_id).join(known, "_g", "left_semi")
+    hits = found.join(known, "_g", "left_semi")
     shared = hits.join(items, "_g").groupBy(doc_id, item_id).agg(F.count("*").alias("shared"))
     return shared.join(totals, item_id).select(
         doc_id, item_id, "shared", "grams", F.round(F.col("shared") / F.col("grams"), 6).alias("containment")
     )
+
+
+def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, _g): the distinct hashed n-grams of words of each text."""
+    words = df.select(F.col(key), F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_w"))
+    starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+    hashed = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))))
+    return words.filter(F.size("_w") >= n).select(key, F.explode(hashed).alias("_g"))
+
+
+def benchmark_containment(docs: DataFrame, bench: DataFrame, doc_id: str, item_id: str, least: float = 0.5, text: str = "text", n: int = 8) -> DataFrame:
+    """Documents that hold at least the share ``least`` of an item's word n-grams, as in benchmark_leakage.
+
+    Whoever shares k of an item's g grams shares one of any g - k + 1 of them. Pairs
+    therefore meet on the g - k + 1 grams that the fewest documents hold; a gram that
+    is everywhere brings nobody together. What a pair shares is counted afterwards, on
+    (document, gram), where no key is large. Ids must be unique and not null.
+    """
+    items = written(_grams(bench, item_id, text, n), "item-grams")
+    hits = written(_grams(docs, doc_id, text, n).join(items.select("_g").distinct(), "_g", "left_semi"), "gram-hits")
+    spread = hits.groupBy("_g").agg(F.count("*").alias("_n"))
+    totals = items.groupBy(item_id).agg(F.count("*").alias("grams"))
+    rarity = Window.partitionBy(item_id).orderBy("_n", "_g")
+    ranked = items.join(spread, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).join(totals, item_id)
+    need = F.greatest(F.lit(1), F.ceil(F.col("grams") * least - 1e-9))
+    rare = ranked.withColumn("_rank", F.row_number().over(rarity)).filter((F.col("_rank") <= F.col("grams") - need + 1) & (F.col("_n") > 0))
+    pairs = hits.join(rare.select("_g", item_id), "_g").select(doc_id, item_id).distinct()
+    shared = pairs.join(items, item_id).join(hits, [doc_id, "_g"]).groupBy(doc_id, item_id).agg(F.count("*").alias("shared"))
+    found = shared.join(totals, item_id).filter(F.col("shared") >= need)
+    return found.select(doc_id, item_id, "shared", "grams", F.round(F.col("shared") / F.col("grams"), 6).alias("containment"))

@@ -68,3 +68,8 @@ SQL["benchmark_leakage"] = f"""WITH d AS ({_G.format(k='doc_id', t='documents')}
   t AS (SELECT item_id, count(*) AS grams FROM b GROUP BY item_id)
   SELECT doc_id, item_id, count(*) AS shared, any_value(grams) AS grams, round(count(*) / any_value(grams), 6) AS containment
   FROM d JOIN b USING (g) JOIN t USING (item_id) GROUP BY doc_id, item_id"""
+
+Q["benchmark_containment"] = lambda spark, d: A.benchmark_containment(
+    V.table(spark, d, "documents"), V.table(spark, d, "benchmark"), "doc_id", "item_id", least=0.3
+)
+SQL["benchmark_containment"] = f"SELECT * FROM ({SQL['benchmark_leakage']}) WHERE shared >= greatest(1, ceil(0.3 * grams))"
