@@ -10,6 +10,9 @@ from veilgrain.operators import detect, leaks, policy
 from veilgrain.plans import policy_queries as P
 from veilgrain.plans import views as V
 from veilgrain.plans.entity_sql import entities_sql, region_sql
+from veilgrain.plans.source_queries import SQL as SOURCE
+from veilgrain.session import written
+from veilgrain.sources import html
 
 Q = {}
 SQL = {}
@@ -294,3 +297,45 @@ Q["gate_payloads"] = gate_payloads
 SQL["gate_payloads"] = V.with_views(
     P.BASE, "SELECT task_id, CASE WHEN zero_raw_pii THEN 'sent' ELSE 'quarantine' END AS route FROM report", _REPORT
 )
+
+
+# --- from pages to the gate -------------------------------------------------
+
+#: A form, and a part that is not displayed, at the end of every page.
+_FORM = (
+    '<form><label for="card">Card of <b>Ann</b></label><input id="card" name="card" value="4111 1111 1111 1111">'
+    '<label>Mail <input name="mail" value="ann@site.example"></label><input type="password" value="s3cret-word">'
+    '<button>Pay now</button><img src="x.png" alt=""></form><div hidden><p>call (212) 555-0187</p></div>'
+)
+
+
+def page_to_gate(spark, d):
+    """Pages to nodes, findings, sanitised texts and payloads; every fourth page is sent as it is.
+
+    One row per page: its displayed elements, inputs and their labels, unread
+    pictures, and whether its payload may leave.
+    """
+    pages = V.table(spark, d, "pages").select("page_id", F.concat("html", F.lit(_FORM)).alias("html"))
+    tree = written(html.with_labels(html.visible_nodes(html.page_tree(pages))), "tree")
+    found = written(P.entities_of(tree).withColumn("task_id", F.col("page_id")), "node-entities")
+    media = detect.unverified_media(tree).groupBy("page_id").agg(F.count("*").alias("unread"))
+    clean = policy.sanitise_nodes(tree.select("page_id", "node_ord", "label", F.col("text").alias("raw"), "text"), found)
+    said = F.when(F.col("page_id") % 4 == 0, F.col("raw")).otherwise(F.col("text"))
+    line = F.struct("node_ord", F.concat_ws(": ", "label", said).alias("line"))
+    payloads = clean.groupBy(F.col("page_id").alias("task_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text")
+    )
+    payloads = written(payloads, "page-payloads")
+    report = leaks.boundary_report(policy.disclosure_counts(found), payloads, leaks.outgoing_findings(payloads, found), found)
+    sent, _ = leaks.gate_payloads(payloads, report)
+    shape = tree.groupBy("page_id").agg(
+        F.count("*").alias("nodes"), F.count_if("is_input").alias("inputs"),
+        F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"),
+    )
+    routed = shape.join(media, "page_id", "left").join(sent.select(F.col("task_id").alias("page_id"), F.lit(True).alias("sent")), "page_id", "left")
+    return routed.select("page_id", "nodes", "inputs", "labels", F.coalesce("unread", F.lit(0)).alias("unread"), F.coalesce("sent", F.lit(False)).alias("sent"))
+
+
+Q["page_to_gate"] = page_to_gate
+SQL["page_to_gate"] = f"""SELECT page_id, count(*) + 9 AS nodes, 3 AS inputs, 'Card of Ann|Mail' AS labels, 1 AS unread, page_id % 4 <> 0 AS sent
+  FROM ({SOURCE["page_elements"]}) GROUP BY page_id"""

@@ -217,8 +217,11 @@ SQL["active_tokens"] = V.with_views(
 
 
 def node_entities(spark, d):
+    return entities_of(V.nodes_synth(spark, d))
+
+
+def entities_of(nodes):
     """Attribute findings first, then text findings, with their tokens."""
-    nodes = V.nodes_synth(spark, d)
     attrs = detect.scan_attributes(nodes).withColumn("pos", F.lit(0))
     keyed = nodes.withColumn("_src", F.struct("page_id", "node_ord"))
     texts = detect.scan_all(keyed, "_src").select("src_id.*", "*").drop("src_id")
