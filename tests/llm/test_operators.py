@@ -437,3 +437,17 @@ def test_pieces_hold_whole_texts():
 
 def test_types(spark):
     assert isinstance(ngram_join.near_groups(table(spark, ["a"])).schema["doc_id"].dataType, T.LongType)
+
+
+def test_license_coverage_is_that_of_the_alignment(monkeypatch):
+    templates = {n: [w for w, _, _ in licenses.normal(t)] for n, t in licenses.TEMPLATES.items()}
+    words = licenses.TEMPLATES["MPL-2.0"].split()
+    text = "before " + " ".join(w for i, w in enumerate(words) if i % 9 != 4) + " after"
+    (found,) = (n for n in licenses.find(text, templates) if n["license"] == "MPL-2.0")
+    kept = [w for w, _, _ in licenses.normal(text)]
+    assert found["coverage"] == len(licenses.align(kept, templates["MPL-2.0"])) / len(templates["MPL-2.0"]) < 1
+    monkeypatch.setattr(licenses, "align", lambda text, template: [])
+    assert licenses.find(text, templates) == []
+    a, b = "x p x q x r x".split(), "x q x r x p".split()
+    monkeypatch.undo()
+    assert all(a[i] == b[j] for i, j in licenses.align(a, b)) and len(licenses.align(a, b)) >= 4

@@ -2,11 +2,11 @@
 
 Words that occur once in the text and once in the template are anchors. Of these the longest
 run that rises in both (patience sorting) is kept, and the gaps between its members are aligned
-the same way, where more words are unique; where none are, equal words at the ends of a gap
-still match. That settles a stretch that holds the whole template and no word of it more often.
-Where words are repeated, changed or missing, the longest common subsequence with the template
-decides, from bit vectors, so copies side by side do not hide each other.
-Coverage is the share of the template's words that are aligned.
+the same way, where more words are unique; equal words at the ends of a gap match, and in a gap
+without a unique word its longest common subsequence does, as in a plain difference of texts.
+Coverage is the share of the template's words that this alignment pairs; it decides.
+Which stretches are aligned at all comes from a filter that loses none: bit vectors bound what
+a stretch can have in common with the template, so copies side by side do not hide each other.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 COVERAGE, STRETCH = 0.8, 2
@@ -69,6 +74,27 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _subsequence(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as positions; for gaps of at most a few template lengths."""
+    rows = [[0] * (len(template) + 1)]
+    for w in reversed(text):
+        below, row = rows[-1], [0]
+        for j in range(len(template) - 1, -1, -1):
+            row.append(below[j + 1] + 1 if w == template[j] else max(below[j], row[-1]))
+        rows.append(row[::-1])
+    rows.reverse()
+    out, i, j = [], 0, 0
+    while i < len(text) and j < len(template) and rows[i][j]:
+        if text[i] == template[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Aligned positions (text, template), rising in both."""
     out: list[tuple[int, int]] = []
@@ -88,6 +114,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         other = Counter(template[c:d])
         anchors = _rising(sorted((place[w], j) for j, w in enumerate(template[c:d], c) if other[w] == 1 and w in place))
         if not anchors:
+            out += [(a + i, c + j) for i, j in _subsequence(text[a:b], template[c:d])]
             continue
         out += anchors
         ends = [(a - 1, c - 1), *anchors, (b, d)]
@@ -194,13 +221,12 @@ def find(text: str, templates: dict[str, list[str]], coverage: float = COVERAGE)
                 else:
                     spans.append([low, high + 1])
         for a, b in spans:
-            own = marks[a:b]
-            if len(own) == len(template) and own[-1] - own[0] < reach and len(align([names[i] for i in own], template)) == len(template):
-                places = [(own[0], own[-1], len(template))]
-            else:
-                places = _places(own, names, template, need)
-            for first, last, n in places:
-                found.append({"license": name, "coverage": n / len(template), "start": words[first][1], "end": words[last][2]})
+            for first, last, _ in _places(marks[a:b], names, template, need):
+                own = marks[bisect_left(marks, first) : bisect_left(marks, last + 1)]
+                pairs = align([names[i] for i in own], template)
+                if len(pairs) >= need:
+                    begin, end = own[pairs[0][0]], own[pairs[-1][0]]
+                    found.append({"license": name, "coverage": len(pairs) / len(template), "start": words[begin][1], "end": words[end][2]})
     found.sort(key=lambda x: (x["start"], -x["end"], x["license"]))
     return found
 
