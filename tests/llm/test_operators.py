@@ -181,7 +181,7 @@ def test_automaton_prefers_its_format():
     model, other = secrets.Automaton(words), secrets.Background(["ordinary-words1-with-a-dash", "another/path/of2/words"])
     assert len(model.states) < 20
     assert all(model.log_likelihood(w) > other.log_likelihood(w) for w in HEX[50:])
-    assert model.log_likelihood("zz-not-hex-at-all") == -np.inf
+    assert -np.inf < model.log_likelihood("zz-not-hex-at-all") < other.log_likelihood("zz-not-hex-at-all")
 
 
 def test_quality(spark):
@@ -451,3 +451,35 @@ def test_license_coverage_is_that_of_the_alignment(monkeypatch):
     a, b = "x p x q x r x".split(), "x q x r x p".split()
     monkeypatch.undo()
     assert all(a[i] == b[j] for i, j in licenses.align(a, b)) and len(licenses.align(a, b)) >= 4
+
+
+def test_automata_keep_length_and_forgive(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    model = secrets.Automaton.learn(hexes)
+    assert len(model.states) == 41
+    fresh = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    assert model.log_likelihood(fresh) > model.log_likelihood(fresh[:39]) + 5
+    assert model.log_likelihood(fresh) > model.log_likelihood(fresh + "0") + 5
+    assert model.log_likelihood(fresh) > model.log_likelihood("g" + fresh[1:]) > model.log_likelihood("g" * 40)
+    # merging against a plain prefix tree: the same counts leave and enter
+    words = ["ab" * (1 + min(k for k in range(12) if k == 11 or rng.random() < 0.5)) for _ in range(800)]
+    merged = secrets.Automaton(words, {})
+    assert len(merged.states) < 6 < 2 * max(map(len, words)) and sum(merged.stop[s] for s in merged.states) == len(words)
+    assert sum(merged.seen[s].total() for s in merged.states) == sum(map(len, words))
+
+
+def test_bare_credentials_of_a_learned_format(spark, monkeypatch):
+    rng = random.Random(6)
+    pin = lambda: "x" + "".join(rng.choice("0123456789") for _ in range(7))
+    token = lambda: "ghp_" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20))
+    words = prose(3, 400).split()
+    texts = [f"{prose(k, 30)} password: {pin()} then" for k in range(120)] + [f"{prose(k, 30)} token = {token()} then" for k in range(120)]
+    bare = [pin(), token(), pin()]
+    texts += [f"{prose(900 + k, 20)} {value} {prose(k, 9)}" for k, value in enumerate(bare)] + [" ".join(words)]
+    rows = {r.doc_id: r.spans for r in secrets.find_secrets(table(spark, texts)).collect()}
+    for k, value in enumerate(bare):
+        at = texts[240 + k].index(value)
+        assert [(s.kind, s.start, s.end) for s in rows[240 + k]] == [("format", at, at + len(value))]
+    assert rows[243] == []
+    assert all(s.score is not None and s.score > 0 for k in range(240) for s in rows[k])

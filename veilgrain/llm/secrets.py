@@ -3,9 +3,13 @@
 The values that the patterns find are labelled examples. For each kind a prefix tree
 of their character classes is built and states whose futures agree statistically are
 merged (the Hoeffding bound of ALERGIA), which leaves a probabilistic automaton; each
-class has its own character frequencies. A model of one state, fitted on tokens that
-no pattern marks, is the background. Every token that could be a credential is scored by how
-much likelier, per character, an automaton is to write it than the background.
+class has its own character frequencies. Which classes there are is decided by the
+likelihood of examples held back, so that hex digits become one class where they are,
+and states of little weight are not merged, so that an automaton keeps lengths that its
+examples have. A model of one state, fitted on tokens that no pattern marks, is the
+background. Every token from the shortest example's length on, and every value that a
+pattern finds, is scored by how much likelier, per character, an automaton is to write it
+than the background.
 """
 
 from __future__ import annotations
@@ -28,9 +32,29 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % min(LEAST.values()))
+SIGNS = 66
 SAMPLE = 4000
-CLASSES = {**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
+#: States lighter than this are not compared: chance would merge them with anything.
+LEAST_WEIGHT = 16
+#: Scores of tokens kept in a task.
+MEMO = 1 << 17
+
+
+def _classes(*groups: str) -> dict[str, str]:
+    return {ch: group[0] for group in groups for ch in group}
+
+
+_DIGITS, _AF, _GZ = "0123456789", "abcdef", "ghijklmnopqrstuvwxyz"
+#: Character classes to choose from; a sign outside of them is a class of its own.
+ALPHABETS = (
+    _classes(_DIGITS, _AF, _GZ, _AF.upper(), _GZ.upper()),
+    _classes(_DIGITS + _AF, _GZ, _AF.upper(), _GZ.upper()),
+    _classes(_DIGITS + _AF.upper(), _GZ.upper(), _AF + _GZ),
+    _classes(_DIGITS + _AF.upper() + _GZ.upper(), _AF + _GZ),
+    _classes(_DIGITS, _AF + _GZ, _AF.upper() + _GZ.upper()),
+    _classes(_DIGITS + _AF + _GZ + _AF.upper() + _GZ.upper()),
+)
 _KEY = re.compile("passw|secret|token|key", re.I)
 
 
@@ -50,7 +74,9 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 class Automaton:
     """States with counts of what follows; built as a prefix tree, then merged."""
 
-    def __init__(self, words: list[str], alpha: float = 0.05):
+    def __init__(self, words: list[str], classes: dict[str, str] = ALPHABETS[0], alpha: float = 0.05):
+        self.classes = classes
+        self.shortest = min(map(len, words), default=0)
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[Counter] = [Counter()]
         self.stop: list[int] = [0]
@@ -58,7 +84,7 @@ class Automaton:
         for word in words:
             state = 0
             for ch in word:
-                c = CLASSES.get(ch, ch)
+                c = classes.get(ch, ch)
                 letters.setdefault(c, Counter())[ch] += 1
                 self.seen[state][c] += 1
                 if c not in self.next[state]:
@@ -70,7 +96,29 @@ class Automaton:
             self.stop[state] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.merge()
-        self.letters = {c: {ch: math.log(n / t.total()) for ch, n in t.items()} for c, t in letters.items()}
+        size = Counter(classes.values())
+        self.letters = {}
+        for c, t in letters.items():
+            whole = t.total() + 0.5 * max(size[c], 1)
+            self.letters[c] = {ch: math.log((t[ch] + 0.5) / whole) for ch in [x for x, y in classes.items() if y == c] or [c]}
+        self.steps = [self._odds(state) for state in range(len(self.next))]
+
+    @classmethod
+    def learn(cls, words: list[str]) -> Automaton:
+        """With the classes under which a fifth of the words, held back, is likeliest."""
+        late = words[::5]
+        early = [w for i, w in enumerate(words) if i % 5]
+        if not early:
+            return cls(words)
+        fitted = ((sum(map(cls(early, classes).log_likelihood, late)), -i) for i, classes in enumerate(ALPHABETS))
+        return cls(words, ALPHABETS[-max(fitted)[1]])
+
+    def _odds(self, state: int) -> tuple[dict[str, float], float, float, int]:
+        """Log odds of each class, of a class not seen here and of the end, and where an unseen class leads: the usual way."""
+        n = self.weight(state) + 0.01 * (SIGNS + 1)
+        known = {c: math.log((count + 0.01) / n) for c, count in self.seen[state].items() if count}
+        usual = max(self.seen[state].items(), key=lambda x: (x[1], x[0]), default=(None, 0))[0]
+        return known, math.log(0.01 / n), math.log((self.stop[state] + 0.01) / n), self.next[state].get(usual, state)
 
     def weight(self, state: int) -> int:
         return self.seen[state].total() + self.stop[state]
@@ -110,7 +158,7 @@ class Automaton:
         while True:
             known = set(red)
             blue = [(self.weight(to), r, c, to) for r in red for c, to in self.next[r].items() if to not in known]
-            if not blue:
+            if not blue or max(blue)[0] < LEAST_WEIGHT:
                 break
             _, r, c, to = max(blue)
             for q in red:
@@ -123,18 +171,17 @@ class Automaton:
         self.states = red
 
     def log_likelihood(self, word: str) -> float:
-        """Of the whole token, its end included; a step never seen has the odds of one more sample."""
+        """Of the whole token, its end included; what was never seen has the odds of a hundredth of a sample."""
         state, total = 0, 0.0
         for ch in word:
-            c = CLASSES.get(ch, ch)
-            n = self.weight(state)
-            known = self.letters.get(c, {}).get(ch)
-            count = self.seen[state][c]
-            if not count or known is None:
-                return -math.inf
-            total += math.log(count / (n + 1)) + known
-            state = self.next[state][c]
-        return total + math.log((self.stop[state] + 0.01) / (self.weight(state) + 1))
+            c = self.classes.get(ch, ch)
+            known, unseen, _, usual = self.steps[state]
+            total += known.get(c, unseen) + self.letters.get(c, {}).get(ch, _UNSEEN)
+            state = self.next[state][c] if c in known else usual
+        return total + self.steps[state][2]
+
+
+_UNSEEN = -math.log(SIGNS)
 
 
 class Background:
@@ -142,7 +189,7 @@ class Background:
 
     def __init__(self, words: list[str]):
         count = Counter("".join(words))
-        size = count.total() + 66
+        size = count.total() + SIGNS
         self.odds = {ch: math.log((count[ch] + 1) / size) for ch in map(chr, range(128))}
         self.end = math.log(1 / (1 + (sum(map(len, words)) / len(words) if words else 24)))
 
@@ -161,11 +208,10 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
 
 
 def _tokens(text: str, marked: list[tuple]) -> Iterator[re.Match]:
-    """Tokens that could be credentials and touch no marked span: they hold a digit and a letter."""
+    """Tokens that touch no marked span."""
     covered = [(a, b) for a, b, _, _ in marked]
     for m in TOKEN.finditer(text):
-        word = m[0]
-        if any(ch.isdigit() for ch in word) and any(ch.isalpha() for ch in word) and not any(a < m.end() and m.start() < b for a, b in covered):
+        if not covered or not any(a < m.end() and m.start() < b for a, b in covered):
             yield m
 
 
@@ -181,18 +227,31 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(automata: dict[str, Automaton], background: Background, threshold: float):
+    least = min((a.shortest for a in automata.values()), default=math.inf)
+
+    def score(word: str, kinds) -> float | None:
+        """Nats a character by which the likeliest of these automata beats the background."""
+        best = max((automata[k].log_likelihood(word) for k in kinds if k in automata), default=None)
+        return None if best is None else (best - background.log_likelihood(word)) / (len(word) + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float | None] = {}
         for batch in batches:
             ids, spans = [], []
             for doc_id, text in _texts(batch):
                 marked = base_spans(text)
-                found = [{"kind": k, "start": a, "end": b, "score": None} for a, b, k, _ in marked]
+                found = [{"kind": k, "start": a, "end": b, "score": score(v, (k,))} for a, b, k, v in marked]
                 for m in _tokens(text, marked):
-                    size = len(m[0]) + 1
-                    best = max((a.log_likelihood(m[0]) for a in automata.values()), default=-math.inf)
-                    score = (best - background.log_likelihood(m[0])) / size
-                    if score >= threshold:
-                        found.append({"kind": "format", "start": m.start(), "end": m.end(), "score": score})
+                    word = m[0]
+                    if len(word) < least:
+                        continue
+                    if word not in memo:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[word] = score(word, KINDS)
+                    value = memo[word]
+                    if value is not None and value >= threshold:
+                        found.append({"kind": "format", "start": m.start(), "end": m.end(), "score": value})
                 found.sort(key=lambda x: (x["start"], (*KINDS, "format").index(x["kind"])))
                 ids.append(doc_id)
                 spans.append(found)
@@ -204,9 +263,9 @@ def _mark(automata: dict[str, Automaton], background: Background, threshold: flo
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """(doc_id, spans) for each row; ``spans`` is an array of (kind, start, end, score) by start, then kind.
 
-    Kinds are assign, access, hex (fixed patterns, no score) and format (a token that
-    an automaton writes likelier than the background by ``threshold`` nats a
-    character). The automata learn from the ``sample`` distinct values of each kind with the
+    Kinds are assign, access, hex (fixed patterns, the value scored by the automaton of
+    its kind) and format (a token that an automaton writes likelier than the background
+    by ``threshold`` nats a character). The automata learn from the ``sample`` distinct values of each kind with the
     least hashes; all texts are searched for values, and all are scored. A null or empty text has no spans; with no
     values there are no automata and no format spans.
     """
@@ -216,5 +275,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for kind in (*KINDS, "other"):
         ranked = examples.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
         chosen[kind] = [r.value for r in ranked.select("value").collect()]
-    automata = {kind: Automaton(chosen[kind]) for kind in KINDS if chosen[kind]}
+    automata = {kind: Automaton.learn(chosen[kind]) for kind in KINDS if chosen[kind]}
     return rows.mapInArrow(_mark(automata, Background(chosen["other"]), threshold), f"doc_id long, spans array<{SPAN}>")
