@@ -483,3 +483,12 @@ def test_bare_credentials_of_a_learned_format(spark, monkeypatch):
         assert [(s.kind, s.start, s.end) for s in rows[240 + k]] == [("format", at, at + len(value))]
     assert rows[243] == []
     assert all(s.score is not None and s.score > 0 for k in range(240) for s in rows[k])
+
+
+def test_items_of_one_id_do_not_add_up(spark):
+    first, second = ("alder birch cedar dogwood elm fir gum hazel ironwood juniper kapok larch", "maple nutmeg oak pine quince rowan spruce teak ash bay cob dill")
+    tests = spark.createDataFrame([(1, first), (1, second), (1, first)], "item_id long, text string")
+    halves = " ".join(first.split()[:5]) + " filler words here " + " ".join(second.split()[:5])
+    docs = table(spark, [halves, "x " * 40 + first + " y" * 40, second])
+    got = sorted((r.doc_id, r.start, r.end, r.matched) for r in decontaminate.contaminated(docs, tests).collect())
+    assert got == [(1, 40, 52, 12), (2, 0, 12, 12)]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.arrays import mix, pieces, word_hashes
+from veilgrain.llm.sums import in_two_levels
 from veilgrain.session import written
 
 #: One of them fits every stretch of five agreeing words or more of which 70 % agree, whatever the places of the others.
@@ -122,8 +123,8 @@ def _hits(bits):
     return run
 
 
-FOUND_SQL = "doc_id long, text_key long, item_id long, start int, end int, item_words int, hit binary"
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())] + [("item_words", pa.int32()), ("hit", pa.binary())])
+FOUND_SQL = "doc_id long, text_key long, item_id long, item_key long, start int, end int, item_words int, hit binary"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("item_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())] + [("item_words", pa.int32()), ("hit", pa.binary())])
 
 
 def counted(same: np.ndarray, identity: float) -> np.ndarray:
@@ -144,14 +145,15 @@ def _verify(identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, key, item_id, shift, document, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document, item = np.frombuffer(document, np.uint64), np.frombuffer(item, np.uint64)
-                a, b = max(0, -shift), min(len(item), len(document) - shift)
+            for doc_id, key, item_id, item_key, shift, window, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                window, item = np.frombuffer(window, np.uint64), np.frombuffer(item, np.uint64)
+                a = max(0, -shift)
+                b = a + len(window)
                 hit = np.zeros(len(item), bool)
-                hit[a:b] = counted(item[a:b] == document[a + shift : b + shift], identity)
+                hit[a:b] = counted(item[a:b] == window, identity)
                 on = np.flatnonzero(hit)
                 if len(on):
-                    rows.append((doc_id, key, item_id, int(on[0]) + shift, int(on[-1]) + 1 + shift, len(item), np.packbits(hit).tobytes()))
+                    rows.append((doc_id, key, item_id, item_key, int(on[0]) + shift, int(on[-1]) + 1 + shift, len(item), np.packbits(hit).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(FOUND)], schema=FOUND)
 
     return run
@@ -161,11 +163,11 @@ def _cover(table: pa.Table) -> pa.Table:
     """Several diagonals of one document and item, where words were put in or left out, count together."""
     best: dict[tuple, list] = {}
     for row in table.to_pylist():
-        own = best.setdefault((row["doc_id"], row["text_key"], row["item_id"]), [0, row["item_words"], None, None])
+        own = best.setdefault((row["doc_id"], row["text_key"], row["item_id"], row["item_key"]), [0, row["item_words"], None, None])
         own[0] |= int.from_bytes(row["hit"], "big")
         own[2] = row["start"] if own[2] is None else min(own[2], row["start"])
         own[3] = row["end"] if own[3] is None else max(own[3], row["end"])
-    rows = [(*k, a, b, n, x.bit_count()) for k, (x, n, a, b) in best.items()]
+    rows = [(*k[:3], a, b, n, x.bit_count()) for k, (x, n, a, b) in best.items()]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
     names = ("doc_id", "text_key", "item_id", "start", "end", "item_words", "matched")
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
@@ -189,22 +191,29 @@ def contaminated(
     missed. All agreeing words of an item's stretches count together; the document is reported with the item if the agreeing words are at
     least ``share`` of the item's, or ``words`` of them. ``start`` and ``end`` are word positions in the document;
     ``text_key`` is xxhash64 of its text, which tells rows of one id apart (equal rows are reported once).
+    Items of one id with different texts are different items (equal ones are one).
     Items of fewer than five words, null and empty texts match nothing.
     """
     spark = docs.sparkSession
     items = tests.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     items = written(items.where("text is not null").mapInArrow(_items, ITEM_SQL), "items")
-    merged = items.select("bits").mapInArrow(_filter, "k int, bits binary").groupBy("k").applyInArrow(_either, "k int, bits binary").collect()
+    merged = in_two_levels(items.select("bits").mapInArrow(_filter, "k int, bits binary"), "k", _either, "k int, bits binary").collect()
     bits = merged[0].bits if merged else bytes(FILTER_BITS // 8)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     hits = written(rows.mapInArrow(_hits(spark.sparkContext.broadcast(bits)), "doc_id long, text_key long, words binary, seeds array<struct<seed:long,at:int>>"), "hits")
     left = hits.select("doc_id", "text_key", F.inline("seeds"))
-    right = items.select("item_id", F.inline("seeds")).withColumnRenamed("at", "item_at")
-    lines = left.join(right, "seed").select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    items = items.withColumn("item_key", F.xxhash64("words"))
+    size = (F.octet_length("words") / 8).cast("int").alias("n")
+    right = items.select("item_id", "item_key", size, F.inline("seeds")).withColumnRenamed("at", "item_at")
+    lines = left.join(right, "seed").select("doc_id", "text_key", "item_id", "item_key", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     document = hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("words").alias("document")).dropDuplicates(["d", "t"])
     pairs = lines.join(document, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    pairs = pairs.join(items.select(F.col("item_id").alias("i"), F.col("words").alias("item")), F.col("item_id").eqNullSafe(F.col("i")))
-    checked = pairs.select("doc_id", "text_key", "item_id", "shift", "document", "item").mapInArrow(_verify(identity), FOUND_SQL)
+    # of a document only the words beside the item go on
+    window = F.substring("document", 8 * F.greatest("shift", F.lit(0)) + 1, 8 * (F.col("n") + F.least("shift", F.lit(0))))
+    pairs = pairs.select("doc_id", "text_key", "item_id", "item_key", "shift", window.alias("window"))
+    known = items.select(F.col("item_id").alias("i"), F.col("item_key").alias("k"), F.col("words").alias("item")).dropDuplicates(["i", "k"])
+    pairs = pairs.join(known, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k")))
+    checked = pairs.select("doc_id", "text_key", "item_id", "item_key", "shift", "window", "item").mapInArrow(_verify(identity), FOUND_SQL)
     columns = "doc_id long, text_key long, item_id long, start int, end int, item_words int, matched int"
     whole = checked.groupBy("doc_id", "text_key").applyInArrow(_cover, columns)
     return whole.where((F.col("matched") >= share * F.col("item_words")) | (F.col("matched") >= words)).where(f"matched >= {LEAST_WORDS}")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.arrays import lower_ascii, mix, pieces
+from veilgrain.llm.sums import in_two_levels
 from veilgrain.llm.quality import fold
 from veilgrain.session import written
 
@@ -74,7 +75,7 @@ def text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lan
     """(languages, log probabilities); one row of fixed size for each language."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = rows.where("lang is not null and text is not null").mapInArrow(_count, "lang string, counts binary")
-    found = sorted(parts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect())
+    found = sorted(in_two_levels(parts, "lang", _add, "lang string, counts binary").collect())
     counts = np.array([np.frombuffer(r.counts, np.int64) for r in found], np.float64).reshape(-1, BUCKETS) + 0.5
     return [r.lang for r in found], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgrain.llm.arrays import BYTE_VALUES, mix, pieces, span_hash, sums
+from veilgrain.llm.sums import in_two_levels
 from veilgrain.session import written
 
 BUCKETS, DIMS, NONZERO, BLOCK = 1 << 14, 32, 2, 1 << 10
@@ -86,7 +87,7 @@ def _add(table: pa.Table) -> pa.Table:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The vector of each class, from all texts; its size is fixed, whatever the input."""
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_contexts, "block int, sums binary")
-    summed = parts.groupBy("block").applyInArrow(_add, "block int, sums binary").collect()
+    summed = in_two_levels(parts, "block", _add, "block int, sums binary").collect()
     total = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS), np.float64)
     for row in summed:
         total[row.block] = np.frombuffer(row.sums, np.int64)
