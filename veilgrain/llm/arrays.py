@@ -35,7 +35,7 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82E
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each; kept for pieces, made anew for longer texts."""
-    usual = PIECE_BYTES + 1024
+    usual = 2 * PIECE_BYTES + 1024
     if n <= usual and "up" in _GROWN:
         return _GROWN["up"], _GROWN["down"]
     made = []

@@ -12,7 +12,8 @@
    the others are merged with a heap, and what appears there is looked up in the
    long lists by binary search until it reaches or can no longer reach T.
    Partners already connected are not compared again: a block returns a spanning
-   forest of its links, never its pairs.
+   forest of its links, never its pairs. The first large component of a block has
+   representatives; a set that one of them links stays away from its lists.
 4. Components of these links are the components of all links.
 
 Blocks of more than TILE_BYTES are dealt as pairs of tiles. Signatures travel
@@ -24,7 +25,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ from veilgrain.llm.graphs import components
 from veilgrain.session import written
 
 TILE_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 24 << 20
+#: Text whose signatures travel together; larger pieces pack them better.
+SEND_BYTES = 2 << 20
 
 
 class Plan:
@@ -141,7 +144,7 @@ SENT_SQL = "bucket int, signs binary, nodes binary, runs binary, doc_id long, n
 def _send(plan: Plan, n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in pieces(batch.column(1)):
+            for first, last, data, offsets in pieces(batch.column(1), SEND_BYTES):
                 hashes, firsts = shingle_sets(data, offsets, n)
                 node = _node_keys(hashes, firsts).view(np.int64)
                 count = last - first
@@ -221,43 +224,122 @@ def shared_only(sets: list[np.ndarray]) -> list[list[int]]:
     return [name[a:b][keep[a:b]].tolist() for a, b in itertools.pairwise(cuts)]
 
 
-def search(sizes: list[int], sets: list[list[int]], plan: Plan) -> list[tuple[int, int]]:
-    """Links that connect all sets of a block which links connect; sets ascend by size."""
-    parent = list(range(len(sets)))
+#: A component of this many sets gets representatives; of these there are at most so many.
+CROWD, REPRESENTATIVES = 16, 64
+
+
+class _Block:
+    """Inverted lists over the sets of a block; those of the first large component are kept apart.
+
+    A set that a representative of the large component links need not look among its
+    members, so copies of one text do not wade through each other's lists.
+    """
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, sizes: list[int], sets: list[list[int]], plan: Plan):
+        self.sizes, self.sets, self.plan = sizes, sets, plan
+        self.parent = list(range(len(sets)))
+        self.members = {}
+        self.index: dict[int, list[int]] = {}
+        self.crowd_index: dict[int, list[int]] = {}
+        self.crowd: int | None = None
+        self.leaders: list[tuple[int, set[int]]] = []
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    index: dict[int, list[int]] = {}
-    links = []
-    for me, own in enumerate(sets):
-        need = max(1, -(-plan.percent * sizes[me] // 100))
-        lists = sorted((index[x] for x in own if x in index), key=len)
+    def link(self, a: int, b: int) -> None:
+        """Join two components; the large one takes in the lists of the other."""
+        self.links.append((a, b))
+        a, b = self.root(a), self.root(b)
+        crowd = None if self.crowd is None else self.root(self.crowd)
+        low, high = (a, b) if len(self.members[a]) >= len(self.members[b]) else (b, a)
+        if crowd in (a, b):
+            self.move(self.members[b if crowd == a else a])
+        self.parent[high] = low
+        self.members[low] += self.members.pop(high)
+        if self.crowd is None and len(self.members[low]) >= CROWD:
+            self.crowd = low
+            self.move(self.members[low])
+            self.leaders = [(low, set(self.sets[low]))]
+
+    def move(self, members: list[int]) -> None:
+        for who in members:
+            for x in self.sets[who]:
+                entries = self.index.get(x)
+                at = bisect_left(entries, who) if entries else 0
+                if entries and at < len(entries) and entries[at] == who:
+                    del entries[at]
+                    if not entries:
+                        del self.index[x]
+                insort(self.crowd_index.setdefault(x, []), who)
+
+    def add(self, me: int) -> None:
+        own = self.sets[me]
+        self.members[me] = [me]
+        led = self.led(me, own)
+        self.look(me, [self.index[x] for x in own if x in self.index])
+        if self.crowd is not None and self.root(me) != self.root(self.crowd):
+            self.look(me, [self.crowd_index[x] for x in own if x in self.crowd_index])
+        if self.crowd is not None and not led:
+            if len(self.leaders) < REPRESENTATIVES and self.root(me) == self.root(self.crowd):
+                self.leaders.append((me, set(own)))
+        # a set that has joined the large component is in its lists by now
+        if self.crowd is None or self.root(me) != self.root(self.crowd):
+            for x in own:
+                self.index.setdefault(x, []).append(me)
+
+    def led(self, me: int, own: list[int]) -> bool:
+        """Whether a representative of the large component links this set."""
+        mine = set(own)
+        for k, (who, theirs) in enumerate(self.leaders):
+            if self.plan.enough(len(mine & theirs), self.sizes[me], self.sizes[who]):
+                self.leaders[0], self.leaders[k] = self.leaders[k], self.leaders[0]
+                self.link(who, me)
+                return True
+        return False
+
+    def look(self, me: int, lists: list[list[int]]) -> None:
+        """Heap-merge the short lists, probe the longest T - 1, and link what is similar."""
+        need = max(1, -(-self.plan.percent * self.sizes[me] // 100))
+        lists = sorted(lists, key=len)
         aside = need - 1
-        if len(lists) >= need:
-            short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-            counted = [(len(list(same)), who) for who, same in itertools.groupby(heapq.merge(*short))]
-            for count, who in sorted(counted, reverse=True):
-                size = sizes[who]
-                if 100 * size < plan.percent * sizes[me] or root(who) == root(me):
-                    continue
-                least = -(-plan.percent * (sizes[me] + size) // (100 + plan.percent))
-                left = len(long)
-                for entries in long:
-                    if count + left < least:
-                        break
-                    left -= 1
-                    at = bisect_left(entries, who)
-                    count += at < len(entries) and entries[at] == who
-                if plan.enough(count, sizes[me], size):
-                    links.append((who, me))
-                    parent[root(me)] = root(who)
-        for x in own:
-            index.setdefault(x, []).append(me)
-    return links
+        if len(lists) < need:
+            return
+        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        counted = [(len(list(same)), who) for who, same in itertools.groupby(heapq.merge(*short))]
+        # links move entries between lists, so what is found is linked after the search
+        found = []
+        for count, who in sorted(counted, reverse=True):
+            size = self.sizes[who]
+            if 100 * size < self.plan.percent * self.sizes[me] or self.root(who) == self.root(me):
+                continue
+            if any(self.root(who) == self.root(x) for x in found[-1:]):
+                continue
+            least = -(-self.plan.percent * (self.sizes[me] + size) // (100 + self.plan.percent))
+            left = len(long)
+            for entries in long:
+                if count + left < least:
+                    break
+                left -= 1
+                at = bisect_left(entries, who)
+                count += at < len(entries) and entries[at] == who
+            if self.plan.enough(count, self.sizes[me], size):
+                found.append(who)
+        for who in found:
+            if self.root(who) != self.root(me):
+                self.link(who, me)
+
+
+def search(sizes: list[int], sets: list[list[int]], plan: Plan) -> list[tuple[int, int]]:
+    """Links that connect all sets of a block which links connect; sets ascend by size."""
+    block = _Block(sizes, sets, plan)
+    for me in range(len(sets)):
+        block.add(me)
+    return block.links
 
 
 def _search_pack(plan: Plan):
