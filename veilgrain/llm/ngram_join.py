@@ -390,10 +390,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     sent = rows.mapInArrow(_send(plan, n, buckets), SENT_SQL)
-    met = written(sent.groupBy("bucket").applyInArrow(_meet, MET_SQL), "met")
+    met = written(sent.groupBy("bucket").applyInArrow(_meet, MET_SQL), "met", compression="zstd")
     seen = met.where("head is null").select("doc_id", "n", "node")
     nodes = seen.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    members = written(met.where("head is not null").select("head", "node").distinct().join(nodes, "node"), "members")
+    members = written(met.where("head is not null").select("head", "node").distinct().join(nodes, "node"), "members", compression="zstd")
     sizes = members.groupBy("head").agg((8 * F.sum("n")).alias("bytes"))
     placed = members.join(sizes, "head").withColumn("tiles", F.ceil(F.col("bytes") / TILE_BYTES).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
